@@ -233,3 +233,80 @@ texts AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, lang, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN 'RT ' || text
     WHEN 2 THEN text || ' https://t.co/x y' WHEN 3 THEN '@us_er1 ' || text
     ELSE '\U0001F600❤ ' || text || chr(92) END AS text FROM documents)"""
+
+# --- URL table: customers link to suppliers' sites in eight spellings --------
+_LINK_KINDS = [
+    "concat('https://www.', site, '/a/', n)",
+    "concat('http://shop.', site, '/x?y=', n)",
+    "concat('https://', replace(site, 'news', 'newss'), '/', n)",
+    "concat('https://', replace(site, 'news', 'nws'), '/', n)",
+    "concat('https://m.short.example/', n)",
+    "concat('https://youtu.be/', n)",
+    "concat('http:', n)",
+    "concat('/', upper(site), ':80/ ', n, '/')",
+]
+_SITE = "concat('supplier-', lpad(CAST({} AS STRING), 6, '0'), '-news.com')"
+
+
+def site_urls(t: Inputs) -> DataFrame:
+    """(author_id, expanded_urls): two links per customer, joined by a space."""
+    n_sup = t.table("supplier").count()
+    c = t.table("customer").select("c_custkey", F.col("c_custkey").cast("string").alias("n"))
+    c = c.withColumn("site", F.expr(_SITE.format(f"c_custkey % {n_sup + 20}")))
+    url = "CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(_LINK_KINDS)) + " END"
+    c = c.withColumn("url", F.regexp_replace(F.expr(url), " ", "%20"))
+    return c.select(
+        F.col("n").alias("author_id"),
+        F.concat_ws(" ", "url", F.concat(F.lit("https://"), "site", F.lit("/front"))).alias("expanded_urls"),
+    )
+
+
+def sites(t: Inputs) -> DataFrame:
+    """Rated names: the suppliers' sites."""
+    return t.table("supplier").select(F.expr(_SITE.format("s_suppkey")).alias("ng_domain"))
+
+
+def resolution(t: Inputs) -> DataFrame:
+    """Expansion results of the short links; every third request failed."""
+    c = t.table("customer").filter("c_custkey % 8 = 4 AND c_custkey % 5 <> 0")
+    site = _SITE.format("c_custkey % 90")
+    return c.select(
+        F.expr("concat('https://m.short.example/', c_custkey)").alias("url"),
+        F.expr(
+            f"CASE WHEN c_custkey % 3 = 0 THEN concat('Cannot connect to host ', {site}, ':443 ssl:default') "
+            f"WHEN c_custkey % 7 = 0 THEN 'http:timeout' ELSE concat('https://', {site}, '/', c_custkey) END"
+        ).alias("unraveled_url"),
+        F.expr("CASE WHEN c_custkey % 3 <> 0 THEN 200 END").alias("status_code"),
+    )
+
+
+def _duck(expr: str) -> str:
+    return expr.replace("AS STRING", "AS VARCHAR")
+
+
+def domain_sql(url: str) -> str:
+    """extract_domain in SQL."""
+    u = f"replace(lower(regexp_replace(regexp_replace({url}, '^/+|/+$', '', 'g'), '^\\s+|\\s+$', '', 'g')), ' ', '')"
+    rest = f"CASE WHEN starts_with({u}, 'http') THEN CASE WHEN contains({u}, '//') THEN split_part({u}, '//', 2) END ELSE {u} END"
+    return f"split_part(replace({rest}, 'www.', ''), '/', 1)"
+
+
+_N_SUP = "(SELECT count(*) FROM supplier)"
+SITES = f"""
+sited AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS n, {_duck(_SITE.format(f'c_custkey % ({_N_SUP} + 20)'))} AS site FROM customer),
+site_urls AS (SELECT n AS author_id, replace(CASE c_custkey % 8 {' '.join(f'WHEN {i} THEN {e}' for i, e in enumerate(_LINK_KINDS))} END, ' ', '%20')
+  || ' https://' || site || '/front' AS expanded_urls FROM sited),
+urls AS (SELECT url, {domain_sql('url')} AS domain FROM (SELECT DISTINCT unnest(string_split(expanded_urls, ' ')) AS url FROM site_urls)),
+sites AS (SELECT {_duck(_SITE.format('s_suppkey'))} AS ng_domain FROM supplier),
+resolution AS (SELECT concat('https://m.short.example/', c_custkey) AS url, CASE WHEN c_custkey % 3 = 0 THEN concat('Cannot connect to host ', {_duck(_SITE.format('c_custkey % 90'))}, ':443 ssl:default')
+  WHEN c_custkey % 7 = 0 THEN 'http:timeout' ELSE concat('https://', {_duck(_SITE.format('c_custkey % 90'))}, '/', c_custkey) END AS unraveled_url,
+  CASE WHEN c_custkey % 3 <> 0 THEN 200 END AS status_code FROM customer WHERE c_custkey % 8 = 4 AND c_custkey % 5 <> 0),
+resolved AS (SELECT url, status_code, host AS unraveled_url, {domain_sql('host')} AS domain FROM (SELECT DISTINCT url, status_code,
+  CASE WHEN starts_with(unraveled_url, 'Cannot') THEN split_part(split_part(unraveled_url, ' ', 5), ':', 1) ELSE unraveled_url END AS host FROM resolution)),
+shorteners AS (SELECT unnest(['m.short.example', 'youtu.be']) AS domain),
+shortened AS (SELECT * FROM urls WHERE domain IN (SELECT domain FROM shorteners)),
+unshortened AS (SELECT * FROM urls WHERE domain IS NULL OR domain NOT IN (SELECT domain FROM shorteners)),
+expanded AS (SELECT url, unraveled_url, domain FROM resolved UNION ALL
+  SELECT url, domain, CASE domain WHEN 'youtu.be' THEN 'youtube.com' WHEN 't.co' THEN 'twitter.com' WHEN 'fb.me' THEN 'facebook.com' WHEN 'tmblr.co' THEN 'tumblr.com' WHEN 'instagr.am' THEN 'instagram.com' ELSE domain END
+  FROM shortened WHERE url NOT IN (SELECT url FROM resolved)),
+all_urls AS (SELECT url, domain FROM expanded WHERE domain IS NOT NULL UNION ALL SELECT url, domain FROM unshortened WHERE domain IS NOT NULL)"""

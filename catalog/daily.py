@@ -22,8 +22,8 @@ def rounded(df, digits=R):
     )
 
 
-def r(expr: str, name: str) -> str:
-    return f"round({expr}, {R}) + 0.0 AS {name}"
+def r(expr: str, name: str, digits: int = R) -> str:
+    return f"round({expr}, {digits}) + 0.0 AS {name}"
 
 
 def q3s(posts):

@@ -125,3 +125,22 @@ def exact_quantiles(
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out = out.withColumn(name, lo + (at - F.floor(at)) * (hi - lo))
     return out.select(*keys, *probs)
+
+
+def last_known(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, name: str
+) -> DataFrame:
+    """Adds ``name``: the latest non-null ``col`` at or before the row (as-of)."""
+    parts = split_by_order(df, keys, order)
+    known_at = F.when(F.col(col).isNotNull(), F.struct(*order))
+    tails = parts.groupBy(_PART, *keys).agg(F.max_by(col, known_at).alias("_val"))
+    before = (
+        Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = (
+        tails.select(_PART, *keys, F.last("_val", ignorenulls=True).over(before).alias(col))
+        .filter(F.col(col).isNotNull())
+    )
+    upto = _inside_split(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = _with_carry(parts, carry).withColumn(name, F.last(col, ignorenulls=True).over(upto))
+    return out.filter(F.col(_CARRY) == 0).drop(_PART, _CARRY)
