@@ -100,7 +100,7 @@ class Inputs:
         )
 
     def authors(self) -> DataFrame:
-        return self.users().filter(F.col("author_id").cast("bigint") % 5 != 0)
+        return self.users().filter(F.col("author_id").try_cast("bigint") % 5 != 0)
 
     def panel(self) -> DataFrame:
         return panel.restrict_panel(self.posts(), self.authors(), START, END)

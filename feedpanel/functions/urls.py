@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedpanel.functions.text import strip_space
-
 # Suffixes of more than one label that count as one public suffix.
 # A full list can be passed in; every other suffix is the last label.
 PUBLIC_SUFFIXES = [
@@ -30,15 +28,19 @@ PLATFORM_ALIASES = {
 }
 
 
+# Slashes, then white space, go from both ends; blanks go everywhere.
+_EDGES_AND_BLANKS = r"^/*[\s\p{Z}\x1c-\x1f\x85]*|[\s\p{Z}\x1c-\x1f\x85]*/*$| "
+# The part up to the next slash: after the first ``//`` if the text starts with
+# http (no match without ``//``), else from the start.
+_HOST_PART = r"^(?:http(?s:.*?)//|(?!http))([^/]*)"
+
+
 def extract_domain(url: Column) -> Column:
     """Lower-case host part of a URL, every ``www.`` removed; port and query stay
     when no slash ends the host. Null for ``http`` URLs without ``//``."""
-    u = strip_space(F.regexp_replace(url, "^/+|/+$", ""))
-    u = F.replace(F.lower(u), F.lit(" "), F.lit(""))
-    after_scheme = F.get(F.split(u, "//"), F.lit(1))
-    u = F.when(u.startswith("http"), after_scheme).otherwise(u)
-    u = F.replace(u, F.lit("www."), F.lit(""))
-    return F.get(F.split(u, "/"), F.lit(0))
+    u = F.regexp_replace(F.lower(url), _EDGES_AND_BLANKS, "")
+    host = F.get(F.regexp_extract_all(u, F.lit(_HOST_PART), F.lit(1)), F.lit(0))
+    return F.replace(host, F.lit("www."), F.lit(""))
 
 
 def host_from_failure(text: Column) -> Column:
@@ -48,11 +50,8 @@ def host_from_failure(text: Column) -> Column:
 
 
 def registered_domain(domain: Column, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
-    """The label before the public suffix, with the suffix."""
+    """The label before the public suffix, with the suffix; null for single labels."""
+    known = "|".join(x.replace(".", r"\.") for x in suffixes)
+    pattern = rf"([^.]+\.(?:{known}|[^.]+))$"
     host = F.regexp_replace(domain, "[:?#].*$", "")
-    last_two = F.substring_index(host, ".", -2)
-    keep = F.when(last_two.isin(*suffixes), 3).otherwise(2)
-    labels = F.split(host, r"\.")
-    return F.array_join(
-        F.slice(labels, -F.least(keep, F.size(labels)), F.least(keep, F.size(labels))), "."
-    )
+    return F.get(F.regexp_extract_all(host, F.lit(pattern), F.lit(1)), F.lit(0))
