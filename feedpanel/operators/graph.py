@@ -135,7 +135,7 @@ def transitivity(edges: DataFrame) -> DataFrame:
     )
 
 
-_WORDS = 16  # 64 sources per word
+_MAX_WORDS = 16  # 64 sources per word
 
 
 def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,8 +148,8 @@ def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     inside = materialize(induced_edges(edges.filter("src <> dst").select("src", "dst").distinct(), nodes))
     numbered = materialize(row_numbers(nodes.select("id"), ["id"], "no").select("id", (F.col("no") - 1).alias("no")))
     n = numbered.count()
-    words = [f"w{i}" for i in range(_WORDS)]
-    per_batch = 64 * _WORDS
+    words = [f"w{i}" for i in range(min(_MAX_WORDS, n // 64 + 1))]
+    per_batch = 64 * len(words)
     total = pairs = 0
     for start in range(0, n, per_batch):
         offset = F.col("no") - start
@@ -202,27 +202,26 @@ def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def core_numbers(edges: DataFrame) -> DataFrame:
     """k-core number per node by peeling. Both directions of a pair count, loops
     do not."""
-    ids = materialize(nodes_of(edges))
     rest = materialize(
         _either_way(edges.filter("src <> dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     )
-    done = ids.join(rest.select(F.col("src").alias("id")), "id", "left_anti").withColumn("core", F.lit(0))
-    k = 0
+    done = nodes_of(edges).join(rest.select(F.col("src").alias("id")), "id", "left_anti").withColumn("core", F.lit(0))
+    k = rounds = 0
     while True:
-        degree = materialize(rest.groupBy("src").agg(F.sum("m").alias("d")))
+        degree = rest.groupBy("src").agg(F.sum("m").alias("d"))
         lowest = degree.agg(F.min("d")).first()[0]
         if lowest is None:
             return done
         k = max(k, int(lowest))
         leaving = degree.filter(F.col("d") <= k)
-        rest = materialize(
-            rest.join(leaving.select("src"), "src", "left_anti").join(
-                leaving.select(F.col("src").alias("dst")), "dst", "left_anti"
-            )
-        )
+        stay = rest.join(leaving.select("src"), "src", "left_anti")
+        stay = materialize(stay.join(leaving.select(F.col("src").alias("dst")), "dst", "left_anti"))
         # nodes that left, and nodes that lost their last neighbour by it
-        out = degree.join(rest.select("src"), "src", "left_anti")
-        done = materialize(done.unionByName(out.select(F.col("src").alias("id"), F.lit(k).alias("core"))))
+        out = degree.join(stay.select("src"), "src", "left_anti")
+        done = done.unionByName(out.select(F.col("src").alias("id"), F.lit(k).alias("core")))
+        rest, rounds = stay, rounds + 1
+        if rounds % 10 == 0:
+            done = materialize(done)
 
 
 def network_summary(edges: DataFrame, name: str) -> DataFrame:
