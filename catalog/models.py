@@ -80,7 +80,7 @@ def describe_features(t):
 @query("wilcoxon_groups", f"""{GROUP_FEATURES_SQL}, rk AS (SELECT metric, "group", rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY metric, value) AS ties FROM gl),
  sm AS (SELECT metric, count(*) FILTER ("group" = 'Trustworthy') AS n1, count(*) FILTER ("group" = 'Untrustworthy') AS n2, sum(rk) FILTER ("group" = 'Trustworthy') AS r1, sum(CAST(ties AS DOUBLE) ^ 2 - 1) AS tt FROM rk GROUP BY 1),
  w AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS w FROM sm)
- SELECT metric, n1 AS n_first, n2 AS n_second, {r('w', 'w')}, {r("(w - n1 * n2 / 2.0 - sign(w - n1 * n2 / 2.0) * 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1.0))))", 'z')} FROM w""")
+ SELECT metric, n1 AS n_first, n2 AS n_second, {r('w', 'w')}, {r("(w - n1 * n2 / 2.0 - sign(w - n1 * n2 / 2.0) * 0.5) / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1.0)))), 0)", 'z')} FROM w""")
 def wilcoxon_groups(t):
     cols = [f"{e}_{m}" for e in EMOTIONS for m in features.MEASURES]
     long = make_group_features(t).unpivot(["group"], cols, "metric", "value")
