@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedpanel.operators import panel
+from feedpanel.plans import flows
 from feedpanel.session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,7 +107,7 @@ class Inputs:
         return panel.restrict_panel(self.posts(), self.authors(), START, END)
 
     def scored(self, langs: str = "all") -> DataFrame:
-        return panel.mask_language(panel.attach_scores(self.panel(), self.scores()), langs)
+        return flows.scored_panel(self.posts(), self.authors(), self.scores(), langs, START, END)
 
     # --- posts with links --------------------------------------------------
     def link_posts(self) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import END, POSTS, START, Inputs, query, scored_sql
 from feedpanel.functions import scores as S
 from feedpanel.operators import daily, panel
+from feedpanel.plans import flows
 from feedpanel.schema import EMOTIONS
 
 R = 6  # digits kept for doubles on both sides
@@ -26,10 +27,6 @@ def r(expr: str, name: str, digits: int = R) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name}"
 
 
-def q3s(posts):
-    return daily.third_quartiles(posts)
-
-
 _COUNT_BANDS = """
  count(*) FILTER (Score <= 39) AS count_max_caution,
  count(*) FILTER (Score >= 40 AND Score <= 59) AS count_caution,
@@ -58,8 +55,7 @@ daily AS (SELECT day, count(*) AS tweet_count, count(anger_v2) AS n_scored, coun
 
 
 def make_daily(t: Inputs, langs: str = "all"):
-    posts = t.scored(langs)
-    return daily.daily_panel(posts, q3s(posts))
+    return flows.daily_series(t.scored(langs))
 
 
 def _daily_out(langs: str) -> str:

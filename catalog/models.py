@@ -12,6 +12,7 @@ from catalog.users import (
 from feedpanel.operators import (
     daily, features, panel, regressions, release, scoring, sharers, stats, validation, windows,
 )
+from feedpanel.plans import flows
 from feedpanel.schema import EMOTIONS
 
 BASELINES = [f"{e}_baseline" for e in EMOTIONS]
@@ -283,9 +284,8 @@ def coder_agreement(t):
 
 
 def make_population(t):
-    pop = panel.all_scored(panel.drop_languages(t.scored(), "de_en"))
-    done = pop.filter(F.col("id").endswith("7")).select("id")
-    return validation.exclude_ids(pop, done).withColumn("stratum", validation.stratum())
+    done = t.posts().filter(F.col("id").endswith("7")).select("id")
+    return flows.validation_population(t.scored(), done)
 
 
 _STRATA = f"""WITH {scored_sql()}, pop AS (SELECT *, CASE WHEN fear_v2 >= 0.5 THEN 'fear_hi' WHEN disgust_v2 >= 0.5 THEN 'disgust_hi' WHEN anger_v2 >= 0.5 THEN 'anger_hi' ELSE 'low' END AS stratum

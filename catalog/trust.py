@@ -10,6 +10,7 @@ from catalog.base import (
 from catalog.daily import _TOP, r, rounded
 from feedpanel.functions import urls as U
 from feedpanel.operators import daily, domains, linking, panel, ratings
+from feedpanel.plans import flows
 
 SINCE = "1998-01-01"
 
@@ -100,7 +101,7 @@ matched AS (SELECT url, a.domain, ng_domain, matched_by FROM all_urls a JOIN (SE
 
 
 def make_matched(t):
-    return linking.match_domains(all_urls(t), sites(t))
+    return flows.matched_urls(site_urls(t), shorteners(t), resolution(t), sites(t))
 
 
 @query("match_exact", f"{_MATCH} SELECT domain, ng_domain FROM ex")
@@ -198,7 +199,7 @@ _MERGED = f"""{_LK}, mg AS (SELECT id, author_id, min(created_at) AS created_at,
 
 
 def make_rated_posts(t):
-    return ratings.rate_posts(t.link_posts(), link_map(t), make_ratings(t), SINCE)
+    return flows.rated_posts(t.link_posts(), link_map(t), t.raw_ratings(), SINCE)
 
 
 @query("merge_multilink", f"WITH {_MERGED} SELECT id, author_id, ng_domain, {r('Score', 'Score', 9)}, Orientation FROM mg")
@@ -213,7 +214,7 @@ _LIT = f"""WITH {_LK}, ll AS (SELECT lk.*, x.Score, x.Orientation, x.Domain FROM
 @query("merge_multilink_literal", f"""{_LIT} SELECT g.id, {r('CASE WHEN n >= 2 THEN g.Score ELSE f.Score END', 'Score', 9)}, CASE WHEN n >= 2 THEN names ELSE f.ng_domain END AS ng_domain,
  CASE WHEN n >= 2 THEN CAST(n_labels AS BIGINT) WHEN f.Orientation IS NOT NULL THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n_labels FROM g JOIN (SELECT id, Score, Orientation, ng_domain FROM ll WHERE position = 0 OR position IS NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY Score) = 1) f ON g.id = f.id""")
 def merge_multilink_literal(t):
-    out = ratings.rate_posts(t.link_posts(), link_map(t), make_ratings(t), SINCE, literal=True)
+    out = flows.rated_posts(t.link_posts(), link_map(t), t.raw_ratings(), SINCE, literal=True)
     n = F.when(F.col("Orientation").isNull(), 0).otherwise(F.size(F.split("Orientation", ", "))).cast("bigint")
     return rounded(out.select("id", "Score", "ng_domain", n.alias("n_labels")), 9)
 
@@ -235,7 +236,7 @@ def make_criterion(t):
 
 
 def make_criterion_links(t):
-    return ratings.attach_criterion(ratings.untrustworthy_links(make_rated_posts(t)), make_criterion(t), SINCE)
+    return flows.criterion_links(make_rated_posts(t), t.raw_ratings(), ["crit_new", "crit_old"], SINCE)
 
 
 @query("ratings_with_criterion", f"WITH {_CRIT} SELECT Domain, file_month, Score, passes FROM rc")
@@ -321,14 +322,13 @@ def classified_daily(t):
     return domains.classified_daily(domains.classify_domains(make_uses(t)))
 
 
-def make_spikes(t):
-    uses = make_uses(t)
-    return domains.mark_spikes(domains.daily_untrustworthy(domains.classified_daily(domains.classify_domains(uses))))
+def make_report(t):
+    return flows.domain_report(make_rated_posts(t))
 
 
 @query("spike_days", f"WITH {_CLASS} SELECT * FROM sp")
 def spike_days(t):
-    return make_spikes(t)
+    return make_report(t)["spikes"]
 
 
 @query("spike_comparison", f"""WITH {_CLASS}, lw AS (SELECT ng_domain, round(Score, 9) AS Score, n_used, u.day, is_spike FROM uses u JOIN sp ON u.day = sp.day WHERE Score < 60),
@@ -336,7 +336,8 @@ def spike_days(t):
  nm AS (SELECT ng_domain, avg(n_used) AS u FROM lw WHERE NOT is_spike GROUP BY 1)
  SELECT bz.ng_domain, Score + 0.0 AS Score, total_uses, n_spike_days, {r('b', 'avg_uses_per_spike_day', 9)}, {r('u', 'avg_uses_normal', 9)}, {r('b - coalesce(u, 0)', 'spike_increase', 9)}, {r('b / coalesce(u, 0.1)', 'spike_ratio', 9)} FROM bz LEFT JOIN nm ON bz.ng_domain = nm.ng_domain""")
 def spike_comparison(t):
-    return rounded(domains.spike_comparison(make_uses(t).withColumn("Score", F.round("Score", 9)), make_spikes(t)), 9)
+    rated = make_rated_posts(t).withColumn("Score", F.round("Score", 9))
+    return rounded(flows.domain_report(rated)["comparison"], 9)
 
 
 @query("hashtags_on_spikes", f"{_TOP}, d AS (SELECT day, count(*) FILTER (Score < 60) AS total_untrustworthy FROM panel GROUP BY 1) SELECT d.day, total_untrustworthy, top_1, top_2, top_3 FROM d LEFT JOIN top ON d.day = top.day WHERE total_untrustworthy > (SELECT quantile_cont(total_untrustworthy, 0.9) FROM d)")

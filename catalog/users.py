@@ -8,6 +8,7 @@ from catalog.base import POSTS, START, query, scored_sql
 from catalog.daily import r, rounded
 from feedpanel.functions import scores as S
 from feedpanel.operators import features, panel, sharers, windows
+from feedpanel.plans import flows
 from feedpanel.schema import EMOTIONS
 
 # --- features --------------------------------------------------------------
@@ -307,7 +308,7 @@ GROUPS_SQL = f"""{_CONC}, groups AS (SELECT author_id, 'Untrustworthy' AS "group
 
 
 def make_groups(t):
-    return sharers.supersharer_groups(sharers.user_totals(make_author_day(t)))
+    return flows.user_tables(t.scored("de_en"))["groups"]
 
 
 @query("supersharer_groups", f"{GROUPS_SQL} SELECT * FROM groups")
@@ -322,7 +323,8 @@ GROUP_FEATURES_SQL = _GF
 
 
 def make_group_features(t):
-    return make_groups(t).join(features.user_features(t.scored("de_en")), "author_id")
+    tables = flows.user_tables(t.scored("de_en"))
+    return tables["groups"].join(tables["features"], "author_id")
 
 
 @query("group_means", f"{_GF} SELECT \"group\", metric, count(*) AS n, {r('avg(value)', 'mean_value')}, {r('stddev_samp(value)', 'std_value')} FROM gl GROUP BY 1, 2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Code point ranges removed as pictographs. The last range is wide
@@ -12,12 +12,16 @@ PICTOGRAPHS = (
     r"\x{1F780}-\x{1F7FF}\x{1F800}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}"
     r"\x{1FA70}-\x{1FAFF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
 )
-_EDGES = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
+# Characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_space(text: Column) -> Column:
     """Drops white space of any script from both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def clean_text(text: Column) -> Column:
@@ -29,6 +33,12 @@ def clean_text(text: Column) -> Column:
     return strip_space(F.translate(out, "\n\\", "  "))
 
 
+def with_costly(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Adds a column that is evaluated once per row, here: the optimizer neither
+    copies the expression into later filters nor moves it below an aggregation."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def empty_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 

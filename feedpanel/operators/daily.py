@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedpanel.functions import scores as S
 from feedpanel.functions.text import split_list
-from feedpanel.operators.ordered import exact_quantiles
+from feedpanel.operators.ordered import exact_quantiles, first_rows
 from feedpanel.operators.panel import add_day
 from feedpanel.schema import EMOTIONS
 
@@ -96,10 +96,9 @@ def daily_hashtags(posts: DataFrame, sep: str = " ") -> DataFrame:
 def top_hashtags(hashtags: DataFrame, k: int = 3) -> DataFrame:
     """The k most used hashtags per day in columns top_1..top_k, null-padded;
     ties go to the alphabetically first."""
-    w = Window.partitionBy("day").orderBy(F.desc("uses"), "hashtag")
-    top = hashtags.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+    top = first_rows(hashtags.withColumn("_down", -F.col("uses")), ["day"], ["_down", "hashtag"], k)
     return top.groupBy("day").agg(
-        *[F.max(F.when(F.col("_rn") == i, F.col("hashtag"))).alias(f"top_{i}") for i in range(1, k + 1)]
+        *[F.max(F.when(F.col("rn") == i, F.col("hashtag"))).alias(f"top_{i}") for i in range(1, k + 1)]
     )
 
 

@@ -48,10 +48,14 @@ def user_baseline(posts: DataFrame, emotions: Sequence[str] = EMOTIONS) -> DataF
 
 def with_previous(posts: DataFrame, emotions: Sequence[str] = EMOTIONS) -> DataFrame:
     """Scored posts with the scores and time of the author's post before. Periods
-    are stretches of time, so one pass serves day, week and month."""
+    are stretches of time, so one pass serves day, week and month. Copies of a
+    post become one row with ``copies``: posts at one instant form no pair, and
+    the posts around them see the same neighbours."""
     cols = [f"{e}_v2" for e in emotions]
-    slim = all_scored(posts, emotions).select("author_id", "id", "created_at", *cols)
-    return previous_values(slim, ["author_id"], ["created_at", "id"], ["created_at", *cols])
+    slim = all_scored(posts, emotions).groupBy("author_id", "id", "created_at", *cols).agg(
+        F.count(F.lit(1)).alias("copies")
+    )
+    return previous_values(slim, ["author_id"], ["created_at", "id", *cols], ["created_at", *cols])
 
 
 def period_dynamics(
@@ -65,7 +69,7 @@ def period_dynamics(
     seconds = F.when(same, S.whole_seconds(now, then))
     rows = pairs.withColumns({"period": period, "_s": seconds, "_h": F.floor(seconds / 3600)})
 
-    aggs = [F.count(F.lit(1)).alias("n_posts")]
+    aggs = [F.sum("copies").alias("n_posts")]
     for e in emotions:
         x1, x0 = F.col(f"{e}_v2"), F.col(f"prev_{e}_v2")
         usable = (F.col("_h") > 0) & (x0 != 0) & (x1 != 0)

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from feedpanel.functions import urls as U
-from feedpanel.functions.text import split_list
+from feedpanel.functions.text import split_list, with_costly
 from feedpanel.operators.panel import keep_one
 
 
 def distinct_urls(posts: DataFrame) -> DataFrame:
     """Every URL of the posts once, with its domain."""
     urls = posts.select(F.explode(split_list(F.col("expanded_urls"))).alias("url")).distinct()
-    return urls.withColumn("domain", U.extract_domain(F.col("url")))
+    return with_costly(urls, "domain", U.extract_domain(F.col("url")))
 
 
 def split_shortened(urls: DataFrame, shorteners: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +44,7 @@ def read_resolution(resolution: DataFrame) -> DataFrame:
     """Distinct expansion results with their domain; failed requests carry the
     host in the message."""
     out = resolution.distinct().withColumn("unraveled_url", U.host_from_failure(F.col("unraveled_url")))
-    return out.withColumn("domain", U.extract_domain(F.col("unraveled_url")))
+    return with_costly(out, "domain", U.extract_domain(F.col("unraveled_url")))
 
 
 def resolve_urls(shortened: DataFrame, resolution: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def match_exact(domains: DataFrame, rated: DataFrame) -> DataFrame:
 def match_registered(
     domains: DataFrame, rated: DataFrame, suffixes: Sequence[str] = U.PUBLIC_SUFFIXES
 ) -> DataFrame:
-    hosts = domains.withColumn("host", U.registered_domain(F.col("domain"), suffixes))
+    hosts = with_costly(domains, "host", U.registered_domain(F.col("domain"), suffixes))
     names = rated.select("ng_domain").distinct()
     return hosts.join(names, hosts["host"] == names["ng_domain"])
 
@@ -231,9 +231,8 @@ def match_domains(
     exact = match_exact(domains, rated)
     open_1 = domains.join(exact.select("domain"), "domain", "left_anti")
     registered = match_registered(open_1, rated, suffixes)
-    open_2 = open_1.join(registered.select("domain"), "domain", "left_anti").withColumn(
-        "host", U.registered_domain(F.col("domain"), suffixes)
-    )
+    open_2 = open_1.join(registered.select("domain"), "domain", "left_anti")
+    open_2 = with_costly(open_2, "host", U.registered_domain(F.col("domain"), suffixes))
     near = open_2.join(match_fuzzy(open_2, rated, threshold), "host")
     names = (
         exact.select("domain", "ng_domain", F.lit("exact").alias("matched_by"))

@@ -93,6 +93,20 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -
     return running_sums(df, [], order, {name: F.lit(1).cast("bigint")})
 
 
+# Up to this rank Spark drops rows before the shuffle as well.
+_PRUNED_RANK = 1000
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows per key with their place ``rn``; order by ascending,
+    unique columns. Large n are counted split by split instead of in one window."""
+    if n <= _PRUNED_RANK:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    out = running_sums(df, keys, order, {"rn": F.lit(1).cast("bigint")}).drop("rn_total")
+    return out.filter(F.col("rn") <= n)
+
+
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per (keys, value): ``n`` copies, ``upto`` rows at or below it,
     ``size`` rows of the key and the average rank of the copies."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedpanel.functions import scores as S
-from feedpanel.functions.text import clean_text
+from feedpanel.functions.text import clean_text, with_costly
 from feedpanel.schema import EMOTIONS, check_language_set
 
 # Observation period, end excluded.
@@ -86,11 +86,9 @@ def flag_posts(posts: DataFrame) -> DataFrame:
 
 def filter_scorable(posts: DataFrame) -> DataFrame:
     """(id, text_cleaned) of posts with something left to score, reposts excluded."""
-    return (
-        posts.filter(~F.col("text").startswith("RT"))
-        .select("id", clean_text(F.col("text")).alias("text_cleaned"))
-        .filter(F.col("text_cleaned") != "")
-    )
+    kept = posts.filter(~F.col("text").startswith("RT"))
+    cleaned = with_costly(kept, "text_cleaned", clean_text(F.col("text")))
+    return cleaned.select("id", "text_cleaned").filter(F.col("text_cleaned") != "")
 
 
 def filter_followers(users: DataFrame, low: float = 50, high: float = 100_000) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedpanel.functions import scores as S
-from feedpanel.operators.ordered import running_sums
+from feedpanel.operators.ordered import first_rows, running_sums
 from feedpanel.schema import EMOTIONS
 
 # Strata in order of priority, rows per stratum and language.
@@ -36,15 +36,11 @@ def stratified_sample(
     pop: DataFrame, n_high: int = N_HIGH, n_low: int = N_LOW, seed: int = 636
 ) -> DataFrame:
     """Up to n rows per language and stratum in pseudo-random order, with stratum
-    sizes and weights N/n. The rank limit applies before the shuffle too."""
+    sizes and weights N/n."""
     wanted = F.when(F.col("stratum") == "low", n_low).otherwise(n_high)
-    w = Window.partitionBy("lang", "stratum").orderBy(S.keyed_order(F.col("id"), seed), "id")
-    drawn = (
-        pop.withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= max(n_high, n_low))
-        .filter(F.col("_rn") <= wanted)
-        .drop("_rn")
-    )
+    keyed = pop.withColumn("_order", S.keyed_order(F.col("id"), seed))
+    drawn = first_rows(keyed, ["lang", "stratum"], ["_order", "id"], max(n_high, n_low))
+    drawn = drawn.filter(F.col("rn") <= wanted).drop("rn", "_order")
     out = drawn.join(stratum_sizes(pop), ["lang", "stratum"])
     size = F.least(F.col("N_stratum"), wanted.cast("bigint"))
     return out.withColumns({"n_stratum": size, "weight": F.col("N_stratum") / size})

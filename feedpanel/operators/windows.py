@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedpanel.functions import scores as S
-from feedpanel.operators.ordered import row_numbers, running_sums
+from feedpanel.operators.ordered import first_rows, row_numbers, running_sums
 from feedpanel.operators.panel import keep_one
 from feedpanel.schema import EMOTIONS
 
@@ -50,33 +50,34 @@ def window_totals(
     posts: DataFrame, events: DataFrame, hours: float, emotions: Sequence[str] = EMOTIONS
 ) -> DataFrame:
     """Per event: posts, scored posts and score sums on both sides."""
-    cols = [f"{e}_v2" for e in emotions]
     span = int(hours * _HOUR)
-    facts = posts.select(
-        "author_id", F.unix_micros("created_at").alias("t"), F.lit(_POST).alias("place"), *cols
-    )
-    marks = events.select(
-        "author_id",
+    # posts of one instant are summed first: copies and bursts become one row
+    facts = posts.groupBy("author_id", F.unix_micros("created_at").alias("t")).agg(
+        F.count(F.lit(1)).alias("n_tweets"),
+        *[F.count(f"{e}_v2").alias(f"n_{e}") for e in emotions],
+        *[F.sum(f"{e}_v2").alias(f"s_{e}") for e in emotions],
+    ).withColumn("place", F.lit(_POST))
+    event = [
         F.col("id").alias("event_id"),
         F.col("created_at").alias("event_timestamp"),
         F.col("Score").alias("event_score"),
         *[F.col(f"{e}_v2").alias(f"event_{e}") for e in emotions],
-        _marks(F.unix_micros("created_at"), span).alias("m"),
-    ).select("*", "m.*").drop("m")
-    is_post = F.col("place") == _POST
-    sums = {"n_tweets": F.when(is_post, 1).otherwise(0).cast("bigint")}
-    for e in emotions:
-        sums[f"n_{e}"] = F.when(is_post & F.col(f"{e}_v2").isNotNull(), 1).otherwise(0).cast("bigint")
-        sums[f"s_{e}"] = F.when(is_post, F.col(f"{e}_v2"))
-    rows = facts.unionByName(marks, allowMissingColumns=True)
-    totals = running_sums(rows, ["author_id"], ["t", "place"], sums).filter(~is_post)
-    return totals.groupBy("event_id").agg(
-        *[F.first(c).alias(c) for c in ("author_id", "event_timestamp", "event_score")],
-        *[F.first(f"event_{e}").alias(f"event_{e}") for e in emotions],
+    ]
+    marks = events.select("author_id", *event, _marks(F.unix_micros("created_at"), span).alias("m"))
+    rows = facts.unionByName(marks.select("*", "m.*").drop("m"), allowMissingColumns=True)
+    names = ["n_tweets", *[f"n_{e}" for e in emotions], *[f"s_{e}" for e in emotions]]
+    totals = running_sums(
+        rows.withColumnsRenamed({c: f"_{c}" for c in names}),
+        ["author_id"],
+        ["t", "place", "event_id"],
+        {c: F.col(f"_{c}") for c in names},
+    ).filter(F.col("place") != _POST)
+    own = ["event_id", "author_id", "event_timestamp", "event_score", *[f"event_{e}" for e in emotions]]
+    return totals.groupBy(*own).agg(
         *[
             F.sum(F.when(F.col("side") == side, F.col("sign") * F.col(name))).alias(f"{name}_{side}")
             for side in ("before", "after")
-            for name in sums
+            for name in names
         ],
     )
 
@@ -121,26 +122,23 @@ def window_values(
     """
     span = int(hours * _HOUR)
     seen_from = "after" if side == "before" else "before"
-    facts = windows.select(
-        "author_id", F.unix_micros("event_timestamp").alias("t"), F.lit(_POST).alias("place")
-    )
+    facts = windows.groupBy("author_id", F.unix_micros("event_timestamp").alias("t")).agg(
+        F.count(F.lit(1)).alias("events")
+    ).withColumn("place", F.lit(_POST))
     marks = (
         posts.filter(F.col(f"{emotion}_v2").isNotNull())
-        .select(
-            "author_id",
-            F.col(f"{emotion}_v2").alias("value"),
-            _marks(F.unix_micros("created_at"), span).alias("m"),
-        )
-        .select("author_id", "value", "m.*")
+        .groupBy("author_id", "created_at", F.col(f"{emotion}_v2").alias("value"))
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .select("author_id", "value", "copies", _marks(F.unix_micros("created_at"), span).alias("m"))
+        .select("author_id", "value", "copies", "m.*")
         .filter(F.col("side") == seen_from)
     )
-    is_event = F.col("place") == _POST
     rows = facts.unionByName(marks, allowMissingColumns=True)
-    sums = {"n": F.when(is_event, 1).otherwise(0).cast("bigint")}
-    totals = running_sums(rows, ["author_id"], ["t", "place"], sums).filter(~is_event)
+    totals = running_sums(rows, ["author_id"], ["t", "place", "value"], {"n": F.col("events")})
     return (
-        totals.groupBy("value")
-        .agg(F.sum(F.col("sign") * F.col("n")).alias("weight"))
+        totals.filter(F.col("place") != _POST)
+        .groupBy("value")
+        .agg(F.sum(F.col("sign") * F.col("n") * F.col("copies")).alias("weight"))
         .filter("weight > 0")
     )
 
@@ -175,8 +173,8 @@ def ntiles(df: DataFrame, value: str, key: str, k: int = 10, name: str = "decile
 
 def sample_per_tile(df: DataFrame, tile: str, key: str, n: int, seed: int = 636) -> DataFrame:
     """n rows per tile in a reproducible pseudo-random order."""
-    w = Window.partitionBy(tile).orderBy(S.keyed_order(F.col(key), seed), key)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    keyed = df.withColumn("_order", S.keyed_order(F.col(key), seed))
+    return first_rows(keyed, [tile], ["_order", key], n).drop("_order", "rn")
 
 
 def with_untrust_degree(windows: DataFrame) -> DataFrame:
