@@ -78,10 +78,14 @@ def describe_features(t):
 
 
 # --- tests -----------------------------------------------------------------
-@query("wilcoxon_groups", f"""{GROUP_FEATURES_SQL}, rk AS (SELECT metric, "group", rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY metric, value) AS ties FROM gl),
+# Rank sums, tie counts and z per metric, written with window functions.
+_WILCOXON = f"""{GROUP_FEATURES_SQL}, rk AS (SELECT metric, "group", rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY metric, value) AS ties FROM gl),
  sm AS (SELECT metric, count(*) FILTER ("group" = 'Trustworthy') AS n1, count(*) FILTER ("group" = 'Untrustworthy') AS n2, sum(rk) FILTER ("group" = 'Trustworthy') AS r1, sum(CAST(ties AS DOUBLE) ^ 2 - 1) AS tt FROM rk GROUP BY 1),
- w AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS w FROM sm)
- SELECT metric, n1 AS n_first, n2 AS n_second, {r('w', 'w')}, {r("(w - n1 * n2 / 2.0 - sign(w - n1 * n2 / 2.0) * 0.5) / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1.0)))), 0)", 'z')} FROM w""")
+ w AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS w FROM sm),
+ zs AS (SELECT *, (w - n1 * n2 / 2.0 - sign(w - n1 * n2 / 2.0) * 0.5) / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1.0)))), 0) AS z FROM w)"""
+
+
+@query("wilcoxon_groups", f"{_WILCOXON} SELECT metric, n1 AS n_first, n2 AS n_second, {r('w', 'w')}, {r('z', 'z')} FROM zs")
 def wilcoxon_groups(t):
     cols = [f"{e}_{m}" for e in EMOTIONS for m in features.MEASURES]
     long = make_group_features(t).unpivot(["group"], cols, "metric", "value")
@@ -89,12 +93,13 @@ def wilcoxon_groups(t):
     return rounded(out.select("metric", "n_first", "n_second", "w", "z"))
 
 
-@query("wilcoxon_significance")
+# Normal quantiles of two-sided p = 0.05, 0.01 and 0.001.
+@query("wilcoxon_significance", f"{_WILCOXON} SELECT metric, CASE WHEN abs(z) > 3.290526731 THEN '***' WHEN abs(z) > 2.575829304 THEN '**' WHEN abs(z) > 1.959963985 THEN '*' ELSE 'ns' END AS significance FROM zs")
 def wilcoxon_significance(t):
     cols = [f"{e}_{m}" for e in EMOTIONS for m in features.MEASURES]
     long = make_group_features(t).unpivot(["group"], cols, "metric", "value")
     out = stats.wilcoxon_ranksum(long, "value", "group", "Trustworthy", "Untrustworthy", ["metric"])
-    return rounded(out.select("metric", "p_value", "significance"))
+    return out.select("metric", "significance")
 
 
 @query("icc_anova", f"""{WINDOWS_SQL}, x AS (SELECT author_id, mean_anger_after AS v FROM win WHERE mean_anger_after IS NOT NULL),

@@ -129,3 +129,18 @@ def test_all_urls_of_a_near_host_are_kept(spark):
     rated = spark.createDataFrame([("supplier-000001-news.com",)], "ng_domain string")
     got = {(r["url"], r["matched_by"]) for r in linking.match_domains(urls, rated).collect()}
     assert got == {("a", "fuzzy"), ("b", "fuzzy"), ("d", "registered")}
+
+
+def test_small_functions(spark):
+    from datetime import datetime
+
+    from feedpanel.functions import scores as S
+
+    times = ["2021-01-01T10:00:00.123Z", "not a time", None]
+    assert apply(spark, S.post_time, times) == [datetime(2021, 1, 1, 10, 0, 0, 123000), None, None]
+    share = spark.range(20000).agg(F.avg(S.hash_share(F.col("id"), 636, 4).cast("int"))).first()[0]
+    assert share == pytest.approx(0.25, abs=0.02)
+    df = spark.createDataFrame([(float("nan"),), (1.0,)], "x double")
+    assert [r[0] for r in df.select(S.null_if_nan(F.col("x"))).collect()] == [None, 1.0]
+    ratio = df.select(linking.indel_ratio(F.lit("abcd"), F.lit("abc"))).first()[0]
+    assert ratio == pytest.approx((1 - 1 / 7) * 100)

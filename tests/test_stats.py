@@ -253,3 +253,11 @@ def test_stratified_sample(spark):
 def test_zscore(df):
     row = panel.zscore(df, ["a", "y"]).agg(F.avg("a"), F.stddev_samp("y")).first()
     assert row[0] == pytest.approx(0, abs=1e-12) and row[1] == pytest.approx(1)
+
+
+def test_annotations(spark):
+    key = spark.createDataFrame([("1", 0.5), ("2", 0.1)], "id string, anger_v2 double")
+    coded = spark.createDataFrame([("1", 1, None), ("2", 0, "1"), ("3", 0, None)], "id string, anger_manual int, uncodable string")
+    got = validation.annotations_with_key(coded, key).collect()
+    assert [r["id"] for r in got] == ["1"]
+    assert validation.drop_uncodable(key).count() == 2
