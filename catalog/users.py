@@ -62,7 +62,7 @@ FEATURES_SQL = f"""{_FEATURES}, features AS (SELECT b.* , {', '.join(f'u.{e}_{m}
 
 
 def make_features(t):
-    return features.user_features(t.scored())
+    return features.user_features(flows.stored_panel(t.scored()))
 
 
 @query("user_baseline", f"WITH {scored_sql('de_en')}, {_BASE} SELECT * REPLACE ({', '.join(r(f'{e}_{m}', f'{e}_{m}') for e in EMOTIONS for m in ('baseline', 'variability'))}) FROM base")
@@ -207,7 +207,7 @@ _MEANS = [f"mean_{e}_{s}" for s in ("before", "after") for e in EMOTIONS] + [f"e
 
 
 def make_windows(t):
-    return windows.event_windows(t.scored(), HOURS, MIN_MEAN)
+    return flows.window_tables(t.scored(), [HOURS], MIN_MEAN)[HOURS]
 
 
 @query("event_windows", f"{WINDOWS_SQL} SELECT * REPLACE ({', '.join(r(c, c) for c in _MEANS)}) FROM win")

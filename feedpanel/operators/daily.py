@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedpanel.functions import scores as S
 from feedpanel.functions.text import split_list
-from feedpanel.operators.ordered import exact_quantiles, first_rows
+from feedpanel.operators.ordered import column_quantiles, exact_quantiles, first_rows
 from feedpanel.operators.panel import add_day
 from feedpanel.schema import EMOTIONS
 
@@ -20,9 +20,8 @@ def score_quantiles(
     posts: DataFrame, probs: dict[str, float], emotions: Sequence[str] = EMOTIONS
 ) -> DataFrame:
     """Exact quantiles over all scored posts, one row per emotion."""
-    long = posts.select(*[F.col(f"{e}_v2").alias(e) for e in emotions])
-    long = long.unpivot([], list(emotions), "emotion", "score")
-    return exact_quantiles(long, ["emotion"], "score", probs)
+    wide = posts.select(*[F.col(f"{e}_v2").alias(e) for e in emotions])
+    return column_quantiles(wide, list(emotions), probs).withColumnRenamed("variable", "emotion")
 
 
 def third_quartiles(posts: DataFrame, emotions: Sequence[str] = EMOTIONS) -> dict[str, float]:
@@ -277,8 +276,8 @@ def emotion_stats(posts: DataFrame, emotions: Sequence[str] = EMOTIONS) -> DataF
         F.avg((F.col("score") >= 0.5).cast("double")).alias("share_ge_05"),
         F.avg((F.col("score") >= 0.65).cast("double")).alias("share_ge_065"),
     )
-    cuts = exact_quantiles(long, ["emotion"], "score", {"median": 0.5, "q3": 0.75, "q90": 0.9})
-    return base.join(cuts, "emotion")
+    cuts = score_quantiles(posts, {"median": 0.5, "q3": 0.75, "q90": 0.9}, emotions)
+    return base.join(cuts, "emotion", "left")
 
 
 def log_histogram(

@@ -9,6 +9,7 @@ in front of the split's own rows. The window then runs inside one split only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -158,3 +159,61 @@ def last_known(
     upto = _inside_split(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = _with_carry(parts, carry).withColumn(name, F.last(col, ignorenulls=True).over(upto))
     return out.filter(F.col(_CARRY) == 0).drop(_PART, _CARRY)
+
+
+_SKETCH = 10_000
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of whole columns, one row per column
+    (``variable``), without shuffling the columns.
+
+    A sketch brackets the wanted ranks, one pass counts the rows below each
+    bracket, and only the values inside a bracket are ranked. A bracket that
+    misses its ranks falls back to ranking the whole column.
+    """
+    spark = df.sparkSession
+    slack = 3.0 / _SKETCH
+    ends = [min(max(p + d, 0.0), 1.0) for p in probs.values() for d in (-slack, slack)]
+    sketch = df.agg(
+        *[F.percentile_approx(c, ends, _SKETCH).alias(f"q{i}") for i, c in enumerate(cols)],
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
+        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)],
+    ).first()
+    brackets = []
+    for i, c in enumerate(cols):
+        for j, (name, p) in enumerate(probs.items()):
+            if not sketch[f"n{i}"]:
+                continue
+            low, high = sketch[f"q{i}"][2 * j : 2 * j + 2]
+            # the sketch need not return the very ends
+            low = sketch[f"lo{i}"] if ends[2 * j] == 0.0 else low
+            high = sketch[f"hi{i}"] if ends[2 * j + 1] == 1.0 else high
+            brackets.append((c, name, (sketch[f"n{i}"] - 1) * p, float(low), float(high)))
+    if not brackets:
+        return spark.createDataFrame([], "variable string, " + ", ".join(f"`{n}` double" for n in probs))
+    counts = df.agg(
+        *[F.count_if(F.col(c) < low).alias(f"b{k}") for k, (c, _, _, low, _) in enumerate(brackets)],
+        *[F.count_if(F.col(c).between(low, high)).alias(f"w{k}") for k, (c, _, _, low, high) in enumerate(brackets)],
+    ).first()
+    cells, wanted = [], []
+    for k, (c, name, at, low, high) in enumerate(brackets):
+        below, inside = counts[f"b{k}"], counts[f"w{k}"]
+        if not below <= int(at) <= math.ceil(at) < below + inside:
+            low, high, below = sketch[f"lo{cols.index(c)}"], sketch[f"hi{cols.index(c)}"], 0
+        held = F.when(F.col(c).between(low, high), F.col(c).cast("double"))
+        cells.append(F.struct(F.lit(k).alias("k"), held.alias("x")))
+        wanted.append((k, c, name, at - below))
+    long = df.select(F.explode(F.array(*cells)).alias("e")).select("e.*").filter("x IS NOT NULL")
+    ranks = value_ranks(long, ["k"], "x").join(
+        spark.createDataFrame(wanted, "k int, variable string, name string, at double"), "k"
+    )
+    at = F.col("at")
+    lo = F.min(F.when(F.col("upto") > F.floor(at), F.col("x")))
+    hi = F.min(F.when(F.col("upto") > F.ceil(at), F.col("x")))
+    found = ranks.groupBy("variable", "name", "at").agg(lo.alias("lo"), hi.alias("hi"))
+    value = F.col("lo") + (at - F.floor(at)) * (F.col("hi") - F.col("lo"))
+    return found.groupBy("variable").agg(
+        *[F.max(F.when(F.col("name") == n, value)).alias(n) for n in probs]
+    )

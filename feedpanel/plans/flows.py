@@ -27,18 +27,26 @@ def scored_panel(
     return panel.mask_language(panel.attach_scores(kept, scores), langs)
 
 
+_NARROW = ["id", "author_id", "created_at", "ng_domain", "Score", "Orientation", *[f"{e}_v2" for e in EMOTIONS]]
+
+
+def stored_panel(scored: DataFrame) -> DataFrame:
+    """The columns the reports need, joined once and written; no texts."""
+    return materialize(scored.select(*_NARROW))
+
+
 def daily_series(scored: DataFrame) -> DataFrame:
-    """Daily panel; the scored posts are joined once for cutoffs and counts."""
-    cols = ["author_id", "created_at", "ng_domain", "Score", "Orientation", *[f"{e}_v2" for e in EMOTIONS]]
-    slim = materialize(scored.select(*cols))
+    """Daily panel; cutoffs and counts read the stored scores."""
+    slim = stored_panel(scored)
     return daily.daily_panel(slim, daily.third_quartiles(slim))
 
 
 def user_tables(scored: DataFrame) -> dict[str, DataFrame]:
     """Features, author-days and supersharer groups of one scored panel."""
-    author_days = materialize(features.author_day(scored))
+    slim = stored_panel(scored)
+    author_days = materialize(features.author_day(slim))
     return {
-        "features": features.user_features(scored),
+        "features": features.user_features(slim),
         "daily": author_days,
         "groups": sharers.supersharer_groups(sharers.user_totals(author_days)),
     }
@@ -46,7 +54,8 @@ def user_tables(scored: DataFrame) -> dict[str, DataFrame]:
 
 def window_tables(scored: DataFrame, hours: Sequence[float] = (1, 24), min_mean: int = 10) -> dict[float, DataFrame]:
     """Event windows for each window length."""
-    return {h: windows.event_windows(scored, h, min_mean) for h in hours}
+    slim = stored_panel(scored)
+    return {h: windows.event_windows(slim, h, min_mean) for h in hours}
 
 
 def matched_urls(

@@ -92,3 +92,20 @@ def test_ranks_and_quantiles(df, rows, splits):
 def test_row_numbers(df, rows, splits):
     got = [r["row_number"] for r in ordered.row_numbers(df, ["t", "id"]).orderBy("t", "id").collect()]
     assert got == list(range(1, len(rows) + 1))
+
+
+def test_column_quantiles(spark, df, rows, splits, monkeypatch):
+    x = [r[3] for r in rows if r[3] is not None]
+    t = [float(r[1]) for r in rows]
+    probs = {"a": 0.0, "b": 0.333, "c": 0.75, "d": 0.999, "e": 1.0}
+    wide = df.select("x", F.col("t").cast("double").alias("t"), F.lit(None).cast("double").alias("empty"))
+    for sketch in (10_000, 3):  # the second one is too coarse to bracket anything well
+        monkeypatch.setattr(ordered, "_SKETCH", sketch)
+        got = {r["variable"]: [r[p] for p in probs] for r in ordered.column_quantiles(wide, ["x", "t", "empty"], probs).collect()}
+        assert set(got) == {"x", "t"}
+        assert got["x"] == pytest.approx(np.quantile(x, list(probs.values())).tolist())
+        assert got["t"] == pytest.approx(np.quantile(t, list(probs.values())).tolist())
+    tied = df.select(F.when(F.col("key") == "hot", 0.5).otherwise(F.col("x")).alias("x"))
+    values = [0.5 if r[0] == "hot" else r[3] for r in rows]
+    want = np.quantile([v for v in values if v is not None], 0.6)
+    assert ordered.column_quantiles(tied, ["x"], {"q": 0.6}).first()["q"] == pytest.approx(want)
