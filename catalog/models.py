@@ -367,6 +367,13 @@ def random_ids(t):
     return release.random_ids(t.posts(), "id")
 
 
+@query("random_ids_cover", f"WITH {POSTS}, n AS (SELECT count(DISTINCT id) AS n FROM posts) SELECT n AS n_ids, n AS n_numbers, CAST(1 AS BIGINT) AS smallest, n AS largest FROM n")
+def random_ids_cover(t):
+    return random_ids(t).agg(
+        F.count_distinct("id").alias("n_ids"), F.count_distinct("anon").alias("n_numbers"),
+        F.min("anon").alias("smallest"), F.max("anon").alias("largest"))
+
+
 @query("apply_mapping", f"WITH {POSTS}, m AS (SELECT author_id, row_number() OVER (ORDER BY author_id) AS anon FROM (SELECT DISTINCT author_id FROM posts)) SELECT anon AS author_id, count(*) AS n FROM posts JOIN m USING (author_id) GROUP BY 1")
 def apply_mapping(t):
     posts = t.posts().select("author_id", "lang")

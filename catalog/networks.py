@@ -82,7 +82,7 @@ def cosharing_edges(t):
 @query("cosharing_suppliers", "WITH sh AS (SELECT o_custkey AS author_id, 's' || l_suppkey AS domain FROM lineitem JOIN orders ON l_orderkey = o_orderkey) " + _PAIRS)
 def cosharing_suppliers(t):
     shares = t.table("lineitem").join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return networks.cosharing_edges(shares.select(F.col("o_custkey").alias("author_id"), F.concat(F.lit("s"), "l_suppkey").alias("domain")), tile=128)
+    return networks.cosharing_edges(shares.select(F.col("o_custkey").alias("author_id"), F.concat(F.lit("s"), "l_suppkey").alias("domain")))
 
 
 # --- graph measures on the internal reply network --------------------------

@@ -270,6 +270,11 @@ def sample_per_decile(t):
     return windows.sample_per_tile(windows.ntiles(base, "v", "author_id"), "decile", "author_id", 5)
 
 
+@query("sample_per_decile_sizes", f"WITH {scored_sql()}, b AS (SELECT author_id, avg(anger_v2) AS v FROM scored GROUP BY 1 HAVING avg(anger_v2) IS NOT NULL), d AS (SELECT CAST(ntile(10) OVER (ORDER BY v, author_id) AS INTEGER) AS decile FROM b) SELECT decile, least(count(*), 5) AS n FROM d GROUP BY 1")
+def sample_per_decile_sizes(t):
+    return sample_per_decile(t).groupBy("decile").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- concentration ---------------------------------------------------------
 _TOT = f"""{AD_SQL}, tot AS (SELECT author_id, CAST(sum(n_untrustworthy) AS BIGINT) AS total_misinfo_count, CAST(sum(n_trustworthy) AS BIGINT) AS total_trustworthy_count,
  CAST(sum(n_news) AS BIGINT) AS total_news_count, CAST(sum(n_biased) AS BIGINT) AS total_biased_count FROM ad GROUP BY 1)"""

@@ -37,7 +37,8 @@ def _count(cond: Column, name: str) -> Column:
 def daily_panel(
     posts: DataFrame, q3: dict[str, float], emotions: Sequence[str] = EMOTIONS
 ) -> DataFrame:
-    """All daily counts and means in one pass."""
+    """All daily counts and means. Distinct authors are counted next to the other
+    measures, not with them: (day, author) groups would carry every buffer."""
     band = S.score_band(F.col("Score"))
     label = F.col("Orientation")
 
@@ -47,9 +48,11 @@ def daily_panel(
             for e in emotions
         ]
 
+    by_day = add_day(posts)
+    active = by_day.select("day", "author_id").distinct().groupBy("day")
+    n_authors = active.agg(F.count("author_id").alias("n_authors"))
     return (
-        add_day(posts)
-        .groupBy("day")
+        by_day.groupBy("day")
         .agg(
             F.count(F.lit(1)).alias("tweet_count"),
             F.count(f"{emotions[0]}_v2").alias("n_scored"),
@@ -58,12 +61,12 @@ def daily_panel(
             *[_count(band == b, f"count_{b}") for b in BANDS],
             F.avg("Score").alias("mean_score"),
             *[_count(label == o, f"count_{o.lower()}") for o in ("Right", "Neutral", "Left")],
-            F.count_distinct("author_id").alias("n_authors"),
             *reached(dict.fromkeys(emotions, 0.5), "05"),
             *reached(dict.fromkeys(emotions, 0.65), "065"),
             *reached(q3, "q3"),
             *[F.avg(f"{e}_v2").alias(f"mean_{e}") for e in emotions],
         )
+        .join(n_authors, "day")
     )
 
 

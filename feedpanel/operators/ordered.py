@@ -161,18 +161,23 @@ def last_known(
     return out.filter(F.col(_CARRY) == 0).drop(_PART, _CARRY)
 
 
+# Resolution of the sketch, and rows below which ranking everything is cheaper.
 _SKETCH = 10_000
+_RANK_ALL = 20_000_000
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles of whole columns, one row per column
-    (``variable``), without shuffling the columns.
+    (``variable``), without shuffling the columns of a large table.
 
-    A sketch brackets the wanted ranks, one pass counts the rows below each
+    There a sketch brackets the wanted ranks, one pass counts the rows below each
     bracket, and only the values inside a bracket are ranked. A bracket that
     misses its ranks falls back to ranking the whole column.
     """
     spark = df.sparkSession
+    if df.count() <= _RANK_ALL:
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        return exact_quantiles(long.unpivot([], list(cols), "variable", "x"), ["variable"], "x", probs)
     slack = 3.0 / _SKETCH
     ends = [min(max(p + d, 0.0), 1.0) for p in probs.values() for d in (-slack, slack)]
     sketch = df.agg(

@@ -99,7 +99,9 @@ def test_column_quantiles(spark, df, rows, splits, monkeypatch):
     t = [float(r[1]) for r in rows]
     probs = {"a": 0.0, "b": 0.333, "c": 0.75, "d": 0.999, "e": 1.0}
     wide = df.select("x", F.col("t").cast("double").alias("t"), F.lit(None).cast("double").alias("empty"))
-    for sketch in (10_000, 3):  # the second one is too coarse to bracket anything well
+    # rank all; bracket; a sketch too coarse to bracket anything well
+    for rank_all, sketch in ((10**9, 10_000), (0, 10_000), (0, 3)):
+        monkeypatch.setattr(ordered, "_RANK_ALL", rank_all)
         monkeypatch.setattr(ordered, "_SKETCH", sketch)
         got = {r["variable"]: [r[p] for p in probs] for r in ordered.column_quantiles(wide, ["x", "t", "empty"], probs).collect()}
         assert set(got) == {"x", "t"}
@@ -109,3 +111,10 @@ def test_column_quantiles(spark, df, rows, splits, monkeypatch):
     values = [0.5 if r[0] == "hot" else r[3] for r in rows]
     want = np.quantile([v for v in values if v is not None], 0.6)
     assert ordered.column_quantiles(tied, ["x"], {"q": 0.6}).first()["q"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_first_rows(df, rows, splits, n):
+    got = {(r["key"], r["id"]): r["rn"] for r in ordered.first_rows(df, ["key"], ["t", "id"], n).collect()}
+    want = {(k, r[2]): i + 1 for k, g in by_key(rows).items() for i, r in enumerate(g[:n])}
+    assert got == want
