@@ -6,7 +6,7 @@ a lost executor costs only its running tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedpanel.operators.networks import induced_edges
@@ -200,28 +200,29 @@ def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:
-    """k-core number per node by peeling. Both directions of a pair count, loops
-    do not."""
-    rest = materialize(
+    """k-core number per node. Both directions of a pair count, loops do not.
+
+    Every node starts with its degree and takes the largest k that at least k of
+    its neighbours reach, until nothing changes (rounds grow with the spread of
+    changes, not with the highest core). A node is seen through the counts per
+    distinct value of its neighbours, which are few even for a hub.
+    """
+    near = materialize(
         _either_way(edges.filter("src <> dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     )
-    done = nodes_of(edges).join(rest.select(F.col("src").alias("id")), "id", "left_anti").withColumn("core", F.lit(0))
-    k = rounds = 0
-    while True:
-        degree = rest.groupBy("src").agg(F.sum("m").alias("d"))
-        lowest = degree.agg(F.min("d")).first()[0]
-        if lowest is None:
-            return done
-        k = max(k, int(lowest))
-        leaving = degree.filter(F.col("d") <= k)
-        stay = rest.join(leaving.select("src"), "src", "left_anti")
-        stay = materialize(stay.join(leaving.select(F.col("src").alias("dst")), "dst", "left_anti"))
-        # nodes that left, and nodes that lost their last neighbour by it
-        out = degree.join(stay.select("src"), "src", "left_anti")
-        done = done.unionByName(out.select(F.col("src").alias("id"), F.lit(k).alias("core")))
-        rest, rounds = stay, rounds + 1
-        if rounds % 10 == 0:
-            done = materialize(done)
+    cores = materialize(near.groupBy("src").agg(F.sum("m").alias("core")))
+    from_high = Window.partitionBy("src").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+    before, now = None, cores.agg(F.sum("core")).first()[0]
+    while before != now:
+        other = cores.select(F.col("src").alias("dst"), F.col("core").alias("theirs"))
+        seen = near.join(other, "dst").join(cores, "src")
+        values = seen.groupBy("src", F.least("theirs", "core").alias("v")).agg(F.sum("m").alias("n"))
+        reached = values.withColumn("reach", F.sum("n").over(from_high))
+        cores = materialize(reached.groupBy("src").agg(F.max(F.least("v", "reach")).alias("core")))
+        # numbers only fall, so an equal sum means that none fell
+        before, now = now, cores.agg(F.sum("core")).first()[0]
+    named = cores.select(F.col("src").alias("id"), F.col("core").cast("int").alias("core"))
+    return nodes_of(edges).join(named, "id", "left").fillna(0, subset=["core"])
 
 
 def network_summary(edges: DataFrame, name: str) -> DataFrame:
