@@ -231,14 +231,12 @@ def daily_shares_by_cutoff(t):
     return rounded(daily.daily_shares(full, cutoff=40).select("day", "prop_misinfo"))
 
 
-@query("fill_days", f"""WITH {POSTS}, d AS (SELECT day, count(*) AS tweet_count FROM panel WHERE tweet_type = 'quoted' AND hashtags LIKE 'h6%' AND author_id LIKE '1%' AND ng_domain IS NOT NULL GROUP BY day)
- SELECT CAST(c.day AS DATE) AS day, coalesce(tweet_count, 0) AS tweet_count FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) c LEFT JOIN d ON CAST(c.day AS DATE) = d.day""")
+@query("fill_days", f"""WITH {POSTS}, d AS (SELECT day, count(*) AS n_high FROM panel WHERE Score = 100 GROUP BY day)
+ SELECT CAST(c.day AS DATE) AS day, coalesce(n_high, 0) AS n_high FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) c LEFT JOIN d ON CAST(c.day AS DATE) = d.day""")
 def fill_days(t):
-    some = t.panel().filter(
-        "tweet_type = 'quoted' AND hashtags LIKE 'h6%' AND author_id LIKE '1%' AND ng_domain IS NOT NULL"
-    )
-    counts = panel.add_day(some).groupBy("day").agg(F.count(F.lit(1)).alias("tweet_count"))
-    return daily.fill_days(counts, ["tweet_count"])
+    high = t.panel().filter("Score = 100")
+    counts = panel.add_day(high).groupBy("day").agg(F.count(F.lit(1)).alias("n_high"))
+    return daily.fill_days(counts, ["n_high"])
 
 
 @query("interventions", f"{daily_sql()} SELECT day, CAST(day >= DATE '2024-01-10' AS INTEGER) AS step1, CAST(day >= DATE '2024-01-20' AS INTEGER) AS step2, greatest(CAST(day - DATE '2024-01-10' AS INTEGER) + 1, 0) AS ramp FROM daily")

@@ -96,8 +96,9 @@ def latest_users_csv(t):
     users = t.users().select("author_id", "followers_count", "following_count", "tweet_count")
     twice = users.filter(F.col("author_id").try_cast("bigint") % 4 == 0).withColumn("followers_count", F.col("followers_count") * 2)
     older, newer = users.withColumn("tweet_count", F.lit(1.0)), twice.withColumn("tweet_count", F.lit(2.0))
-    # both rows of an author end up in one file, the later one with more posts
-    writers.write_csv(older.unionByName(newer).repartition("author_id"), base)
+    # both rows of an author end up in one file, the newer one further down
+    both = older.unionByName(newer).repartition("author_id").sortWithinPartitions("tweet_count")
+    writers.write_csv(both, base)
     return panel.latest_users(readers.read_users_csv(t.spark, base)).select("author_id", "followers_count")
 
 

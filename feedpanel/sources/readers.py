@@ -110,10 +110,12 @@ def read_panel_csv(
     overrides: dict[str, str] | None = None,
     sep: str = ",",
     with_file: bool = False,
+    with_place: bool = False,
 ) -> DataFrame:
     """CSV or CSV.gz files as one table with fixed types and empty strings as
     null; ``columns`` selects, ``overrides`` changes types, ``with_file`` adds the
-    file name up to its first dot."""
+    file name up to its first dot, ``with_place`` the order of rows inside a file
+    (``_block``, ``_row``)."""
     paths = [path] if isinstance(path, str) else list(path)
     header = read_columns(spark, paths[0], sep)
     schema = schema_for(header)
@@ -129,17 +131,20 @@ def read_panel_csv(
     out = [empty_to_null(F.col(c)).alias(c) if types[c] == "string" else F.col(c) for c in wanted]
     if with_file:
         out.append(_file_stem().alias("file"))
+    if with_place:
+        out.append(F.col("_metadata.file_block_start").alias("_block"))
+        out.append(F.monotonically_increasing_id().alias("_row"))
     return raw.select(*out)
 
 
 def read_users_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """User files as one table: counts that do not parse are null, and each file
-    keeps one row per author (the last one, told apart by the account counts)."""
+    keeps the last row of an author."""
     text = {c: "string" for c in ("followers_count", "following_count", "tweet_count")}
-    raw = read_panel_csv(spark, path, overrides=text, with_file=True)
+    raw = read_panel_csv(spark, path, overrides=text, with_file=True, with_place=True)
     counts = {c: F.col(c).try_cast("double") for c in text if c in raw.columns}
-    order = [F.col("tweet_count").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in sorted(raw.columns) if c != "tweet_count"]]
-    return keep_one(raw.withColumns(counts), ["file", "author_id"], order)
+    last = keep_one(raw.withColumns(counts), ["file", "author_id"], [F.desc("_block"), F.desc("_row")])
+    return last.drop("_block", "_row")
 
 
 def read_batches(spark: SparkSession, folder: str, pattern: str = "*.csv*") -> DataFrame:

@@ -78,7 +78,7 @@ def test_csv_round_trip(spark, pages, new_folder):
 
 def test_user_files(spark, new_folder):
     head = "author_id,username,followers_count,following_count,tweet_count\n"
-    for name, body in (("f1", "1,a,10,1,5\n1,b,20,1,6\n2,c,oops,1,1\n"), ("f2", "1,z,70,1,9\n")):
+    for name, body in (("f1", "1,a,30,1,9\n1,b,20,1,6\n2,c,oops,1,1\n"), ("f2", "1,z,70,1,9\n")):
         with open(f"{new_folder}/{name}.part.csv", "w") as f:
             f.write(head + body)
     users = readers.read_users_csv(spark, f"{new_folder}/*.csv")
