@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedpanel.operators.ordered import row_numbers
+from feedpanel.session import materialize
 
 
 def replies(posts: DataFrame) -> DataFrame:
@@ -123,9 +124,11 @@ def cosharing_edges(shares: DataFrame, tile: int = _TILE, users_per_chunk: int =
     the two tile columns of one chunk and emits one number per pair, so pairs are
     summed before the shuffle and no user's pairs are ever listed.
     """
-    once = shares.select("author_id", "domain").distinct()
+    once = materialize(shares.select("author_id", "domain").distinct())
     names = row_numbers(once.select("domain").distinct(), ["domain"], "no").drop("no_total")
-    n_tiles = (names.agg(F.max("no")).first()[0] or 0) // tile + 1
+    n_domains = names.agg(F.max("no")).first()[0] or 0
+    tile = min(tile, n_domains + 1)
+    n_tiles = n_domains // tile + 1
     users = row_numbers(once.select("author_id").distinct(), ["author_id"], "u").drop("u_total")
     cells = once.join(names, "domain").join(users, "author_id").select(
         F.col("no").cast("int").alias("no"),
@@ -142,8 +145,8 @@ def cosharing_edges(shares: DataFrame, tile: int = _TILE, users_per_chunk: int =
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
         row, no = pdf["row"].to_numpy(), pdf["no"].to_numpy()
-        left = np.zeros((users_per_chunk, tile), dtype=np.float32)
-        right = np.zeros((users_per_chunk, tile), dtype=np.float32)
+        left = np.zeros((row.max() + 1, tile), dtype=np.float32)
+        right = np.zeros_like(left)
         in_a, in_b = no // tile == a, no // tile == b
         left[row[in_a], no[in_a] % tile] = 1
         right[row[in_b], no[in_b] % tile] = 1
