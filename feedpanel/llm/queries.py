@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedpanel.llm import near_dedup, token_counts
+from feedpanel.llm import near_dedup, personal_data, token_counts
 from feedpanel.session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _word_tokenizer)
+
+
+@query
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal_data.personal_data(table(spark, sf_dir, "documents")).drop("found")
