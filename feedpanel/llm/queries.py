@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedpanel.llm import near_dedup, personal_data, token_counts
+from feedpanel.llm import near_dedup, personal_data, secrets, token_counts
 from feedpanel.session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return personal_data.personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query
+def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
