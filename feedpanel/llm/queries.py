@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedpanel.llm import decontaminate, near_dedup, personal_data, secrets, token_counts
+from feedpanel.llm import decontaminate, language, near_dedup, personal_data, secrets, token_counts
 from feedpanel.session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document shares with the benchmark."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items", "spans")
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language.languages(docs, language.fit(docs))
