@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedpanel.llm import decontaminate, language, near_dedup, personal_data, quality, secrets, token_counts, twins
+from feedpanel.llm import decontaminate, language, mixing, near_dedup, personal_data, quality, secrets, token_counts, twins
 from feedpanel.session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op5_quality"] = twins.quality()
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources to their targets takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op7_mixing"] = twins.MIXING

@@ -37,3 +37,23 @@ safe AS (SELECT *, ln(list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), l
 limits AS (SELECT stratum, {limits} FROM safe WHERE p <= ln({error} / (SELECT count(*) FROM cells)) GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {passed} AS kept
 FROM judged j LEFT JOIN limits m ON j.stratum IS NOT DISTINCT FROM m.stratum"""
+
+
+MIXING = r"""
+WITH docs AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+rows AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS nth FROM docs),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM docs GROUP BY source),
+weighed AS (SELECT *, CASE number % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS filled FROM sources),
+levels AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(filled) OVER (ORDER BY filled / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+  / sum(weight) OVER (ORDER BY filled / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+level AS (SELECT level FROM levels WHERE level * weight <= filled ORDER BY filled / weight, number LIMIT 1),
+goal AS (SELECT source, source_size, least((SELECT level FROM level) * weight, CAST(filled AS DOUBLE)) AS target FROM weighed),
+queued AS (SELECT r.*, pass, source_size, target, md5(concat_ws('/', 0, pass, coalesce(CAST(doc_id AS VARCHAR), '-'), size)) AS key
+  FROM rows r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source, range(3) p(pass) WHERE size > 0),
+placed AS (SELECT *, CAST(pass * source_size + sum(size) OVER (PARTITION BY source, pass ORDER BY key, size, doc_id, nth) AS DOUBLE) / target AS finish FROM queued),
+taken AS (SELECT doc_id, source, size, nth, CAST(sum(size) AS BIGINT) AS taken FROM (
+  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, pass, key, nth) AS upto FROM placed)
+  WHERE upto <= (SELECT sum(source_size) FROM sources) GROUP BY ALL)
+SELECT r.doc_id, r.size, g.source_size, g.target, coalesce(t.taken, 0) AS taken
+FROM rows r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source
+LEFT JOIN taken t ON r.doc_id IS NOT DISTINCT FROM t.doc_id AND r.source IS NOT DISTINCT FROM t.source AND r.size = t.size AND r.nth = t.nth"""
