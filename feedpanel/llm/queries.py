@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedpanel.llm import decontaminate, language, mixing, near_dedup, personal_data, quality, secrets, token_counts, twins
+from feedpanel.llm import decontaminate, language, line_dedup, mixing, near_dedup, personal_data, quality, secrets, token_counts, twins
 from feedpanel.session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op7_mixing"] = twins.MIXING
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that an earlier line makes superfluous."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_line_dedup"] = twins.LINES

@@ -57,3 +57,22 @@ taken AS (SELECT doc_id, source, size, nth, CAST(sum(size) AS BIGINT) AS taken F
 SELECT r.doc_id, r.size, g.source_size, g.target, coalesce(t.taken, 0) AS taken
 FROM rows r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source
 LEFT JOIN taken t ON r.doc_id IS NOT DISTINCT FROM t.doc_id AND r.source IS NOT DISTINCT FROM t.source AND r.size = t.size AND r.nth = t.nth"""
+
+
+LINES = r"""
+WITH lines AS (SELECT doc_id, i - 1 AS line, list_filter(regexp_split_to_array(l[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+worded AS (SELECT *, array_to_string(w, ' ') AS s, doc_id * 1000000000 + line AS place FROM lines WHERE len(w) > 0),
+firsts AS (SELECT s, min(place) AS first, any_value(w) AS w FROM worded GROUP BY s),
+variants AS (SELECT s, first, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 8)),
+near AS (
+  SELECT s FROM (SELECT s, first, min(first) OVER (PARTITION BY v, i) AS other FROM variants) WHERE other < first
+  UNION SELECT v.s FROM variants v JOIN firsts f ON v.v = f.s WHERE len(f.w) >= 8 AND f.first < v.first
+  UNION SELECT f.s FROM variants v JOIN firsts f ON v.v = f.s WHERE len(f.w) >= 8 AND v.first < f.first),
+judged AS (SELECT o.doc_id, o.line, n.s IS NOT NULL AS near, n.s IS NULL AND o.place > f.first AS exact
+  FROM worded o JOIN firsts f USING (s) LEFT JOIN near n ON o.s = n.s)
+SELECT d.doc_id, CAST(count(j.line) AS BIGINT) AS n_lines, CAST(coalesce(sum(CASE WHEN exact THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_exact,
+  CAST(coalesce(sum(CASE WHEN near THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_near,
+  coalesce(string_agg(CASE WHEN near OR exact THEN CAST(line AS VARCHAR) END, ',' ORDER BY line), '') AS dropped
+FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id GROUP BY d.doc_id"""
