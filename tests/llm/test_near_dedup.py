@@ -35,17 +35,26 @@ def test_corpus_against_all_pairs(spark):
     assert got == want
 
 
-def test_chains_and_buckets_of_unlike_texts(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "LEADS", 3)
+def test_chains_and_buckets_of_unlike_texts(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(500)]
     shared, texts = [rng.choice(vocabulary) for _ in range(120)], {}
-    for i in range(60):  # texts that share most of a passage, and slow chains of edits
+
+    def edited(words, times):
+        words = list(words)
+        for _ in range(times):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1, 1])] = [rng.choice(vocabulary)] * rng.choice([0, 1, 1])
+        return words
+
+    for i in range(60):  # texts that share most of a passage
         texts[i] = " ".join(shared + [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))])
     walk = list(shared)
-    for i in range(60, 110):
-        walk[rng.randrange(len(walk))] = rng.choice(vocabulary)
+    for i in range(60, 110):  # a slow chain
+        walk = edited(walk, 1)
         texts[i] = " ".join(walk)
+    for i in range(110, 260):  # copies around the limit, in two groups
+        texts[i] = " ".join(edited(walk if i % 2 else shared, rng.randint(1, 8)))
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, list(texts.items()))).collect()}
     assert got == classes_of(texts)
 
