@@ -3,8 +3,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-import test_decontaminate
-import test_line_dedup
+import test_decontaminate as decontaminate_tests
+import test_line_dedup as line_tests
 from brute import classes_of, words_of
 from feedpanel.session import materialize
 
@@ -41,7 +41,7 @@ def test_language_keeps_texts_with_words(steps):
 
 def test_line_dedup(steps):
     before = [(r.doc_id, r.text) for r in steps[1].collect()]
-    gone = {d: set(map(int, x.split(","))) if x else set() for d, *_, x in test_line_dedup.brute(before, 8)}
+    gone = {d: set(map(int, x.split(","))) if x else set() for d, *_, x in line_tests.brute(before, 8)}
     want = {}
     for doc, text in before:
         lines = (text or "").split("\n")
@@ -61,7 +61,7 @@ def test_near_dedup(steps):
 
 def test_decontamination(spark, steps):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    found = test_decontaminate.brute([(r.doc_id, r.text) for r in steps[3].collect()], items, 10)
+    found = decontaminate_tests.brute([(r.doc_id, r.text) for r in steps[3].collect()], items, 10)
     assert {str(k) for k in rows(steps[4])} == {x[0] for x in found if not x[5]}
 
 
