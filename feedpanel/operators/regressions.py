@@ -18,16 +18,32 @@ from feedpanel.functions.tails import f_upper, t_two_sided
 from feedpanel.session import materialize
 
 
-# --- cross products ----------------------------------------------------------
-def cross_products(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], weight: Column | None = None
-) -> DataFrame:
+# --- centred cross products --------------------------------------------------
+def moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Per key over complete rows: ``n`` rows, ``mean`` of ``cols`` and ``cc``, the
+    sums of products of their deviations (upper triangle, row by row). Spark
+    merges means and deviations, so large means cost no digits."""
+    full = df.dropna(subset=list(cols))
+    terms = [F.col(c).cast("double") for c in cols]
+    n = F.count(F.lit(1))
+    sums = [F.covar_pop(a, b) * n for a, b in combinations_with_replacement(terms, 2)]
+    return full.groupBy(*keys).agg(n.alias("n"), F.array(*[F.avg(t) for t in terms]).alias("mean"), F.array(*sums).alias("cc"))
+
+
+def _shifted(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[float]]:
+    """Complete rows with the columns' means taken off, and those means."""
+    full = df.dropna(subset=list(cols))
+    means = full.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    at = [float(means[c] or 0.0) for c in cols]
+    return full.withColumns({c: F.col(c).cast("double") - m for c, m in zip(cols, at, strict=True)}), at
+
+
+def cross_products(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Per key the sums of all products of the constant 1 and ``cols`` (upper
     triangle, row by row) over complete rows, as array ``xx``; ``n`` rows."""
     full = df.dropna(subset=list(cols))
     terms = [F.lit(1.0), *[F.col(c).cast("double") for c in cols]]
-    w = F.lit(1.0) if weight is None else weight
-    sums = [F.sum(a * b * w) for a, b in combinations_with_replacement(terms, 2)]
+    sums = [F.sum(a * b) for a, b in combinations_with_replacement(terms, 2)]
     return full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("xx"))
 
 
@@ -37,13 +53,46 @@ def _square(flat: Sequence[float], size: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def _least_squares(m: np.ndarray, k: int):
-    """Coefficients, inverse cross products and residual sum of squares with the
-    last variable of ``m`` regressed on the first ``k``."""
-    xtx, xty, yty = m[:k, :k], m[:k, -1], m[-1, -1]
-    inverse = np.linalg.pinv(xtx)
-    beta = inverse @ xty
-    return beta, inverse, max(float(yty - beta @ xty), 0.0)
+# Smallest eigenvalue of the predictors' correlations that counts as full rank.
+_RANK = 1e-10
+
+
+def _inverse(c: np.ndarray) -> np.ndarray | None:
+    """Inverse of a matrix of deviation products; None if predictors are constant
+    or depend on one another."""
+    scale = np.sqrt(np.diag(c))
+    if not np.all(scale > 0) or not np.all(np.isfinite(scale)):
+        return np.zeros((0, 0)) if len(c) == 0 else None
+    values, vectors = np.linalg.eigh(c / np.outer(scale, scale))
+    if values[0] < _RANK:
+        return None
+    return (vectors / values) @ vectors.T / np.outer(scale, scale)
+
+
+def _least_squares(n: float, mean: np.ndarray, c: np.ndarray, k: int):
+    """Coefficients (constant first), their covariances divided by the residual
+    variance, residual and total sum of squares, with the last variable regressed
+    on the first ``k - 1``; None without full rank or spare rows."""
+    inverse = _inverse(c[: k - 1, : k - 1]) if n > k else None
+    if inverse is None:
+        return None
+    x, y = mean[: k - 1], mean[-1]
+    slopes = inverse @ c[: k - 1, -1]
+    tss = float(c[-1, -1])
+    rss = max(tss - float(slopes @ c[: k - 1, -1]), 0.0)
+    moved = inverse @ x
+    spread = np.block([[np.array([[1 / n + x @ moved]]), -moved[None, :]], [-moved[:, None], inverse]])
+    return np.concatenate([[y - slopes @ x], slopes]), spread, rss, tss
+
+
+def _centred(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(rows, means, deviation products) of cross products with the constant first."""
+    n, total = m[0, 0], m[0, 1:]
+    return n, total / n, m[1:, 1:] - np.outer(total, total) / n
+
+
+def _or_null(value: float) -> float | None:
+    return float(value) if value is not None and math.isfinite(value) else None
 
 
 def _spark_type(df: DataFrame, keys: Sequence[str]) -> str:
@@ -52,26 +101,28 @@ def _spark_type(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Least squares with a constant, one fit per key: one row per coefficient."""
+    """Least squares with a constant, one fit per key: one row per coefficient.
+    Estimates are null where rows do not suffice or predictors are dependent."""
     names = ["(Intercept)", *xs]
-    size = len(names) + 1
+    k = len(names)
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                m, n, k = _square(row["xx"], size), int(row["n"]), len(names)
-                beta, inverse, rss = _least_squares(m, k)
-                dof = n - k
-                sigma2 = rss / dof if dof > 0 else math.nan
-                tss = m[-1, -1] - m[0, -1] ** 2 / n
+                n, mean = int(row["n"]), np.array(row["mean"])
+                fit = _least_squares(n, mean, _square(row["cc"], k), k)
                 for i, name in enumerate(names):
-                    se = math.sqrt(max(sigma2 * inverse[i, i], 0.0)) if dof > 0 else math.nan
-                    t = beta[i] / se if se else math.nan
-                    p = t_two_sided(t, dof) if dof > 0 and not math.isnan(t) else math.nan
-                    r2 = 1 - rss / tss if tss > 0 else math.nan
-                    values = [beta[i], se, t, p, r2, math.sqrt(sigma2) if dof > 0 else math.nan]
-                    out.append([row[c] for c in keys] + [name, n] + [None if math.isnan(v) else float(v) for v in values])
+                    values = [None] * 6
+                    if fit is not None:
+                        beta, spread, rss, tss = fit
+                        dof = n - k
+                        se = math.sqrt(max(rss / dof * spread[i, i], 0.0))
+                        t = beta[i] / se if se else math.nan
+                        p = t_two_sided(t, dof) if se else math.nan
+                        r2 = 1 - rss / tss if tss > 0 else math.nan
+                        values = [_or_null(v) for v in (beta[i], se, t, p, r2, math.sqrt(rss / dof))]
+                    out.append([row[c] for c in keys] + [name, n] + values)
             cols = [*keys, "term", "n", "estimate", "std_error", "statistic", "p_value", "r_squared", "sigma"]
             yield pd.DataFrame(out, columns=cols)
 
@@ -79,21 +130,27 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ()) -> D
         "term string, n bigint, estimate double, std_error double, statistic double, p_value double, "
         "r_squared double, sigma double"
     )
-    return cross_products(df, keys, [*xs, y]).mapInPandas(solve, schema)
+    return moments(df, keys, [*xs, y]).mapInPandas(solve, schema)
 
 
 # --- bootstrap weights -------------------------------------------------------
+def _poisson_steps() -> list[float]:
+    """P(X <= 0), P(X <= 1), ... of Poisson(1), as long as doubles tell them apart from 1."""
+    mass = total = math.exp(-1)
+    steps = []
+    while total < 1.0 and total + mass / (len(steps) + 1) > total:
+        steps.append(total)
+        mass /= len(steps)
+        total += mass
+    return steps
+
+
 def poisson_weight(key: Column, replicate: Column, seed: int) -> Column:
     """How often a unit is drawn in a replicate: Poisson(1) from a hash."""
     u = F.shiftrightunsigned(F.xxhash64(key, replicate, F.lit(seed)), 11) / F.lit(float(2**53))
-    out, upto = F.lit(13), 1.0
-    steps = []
-    mass = total = math.exp(-1)
-    for k in range(13):
-        steps.append((k, total))
-        mass /= k + 1
-        total += mass
-    for k, upto in reversed(steps):
+    steps = _poisson_steps()
+    out = F.lit(len(steps))
+    for k, upto in reversed(list(enumerate(steps))):
         out = F.when(u < upto, F.lit(k)).otherwise(out)
     return out
 
@@ -142,45 +199,71 @@ def logit(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     )
 
 
+def _draws(units: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights (units, replicates) from a hash of unit, replicate and seed."""
+    x = units.view(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = x ^ np.uint64(seed * 0xD1342543DE82EF95 & (2**64 - 1))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    return np.searchsorted(np.array(_poisson_steps()), u, side="right").astype(float)
+
+
 def boot_logit(
-    df: DataFrame, key: str, y: str, xs: Sequence[str], reps: int = 1000, seed: int = 636, max_iter: int = 25
+    df: DataFrame, key: str, y: str, xs: Sequence[str], reps: int = 1000, seed: int = 636, max_iter: int = 50
 ) -> DataFrame:
     """Logit coefficients of ``reps`` bootstrap samples of units.
 
-    All replicates are fitted together by Newton steps: a step is one aggregation
-    of gradient and curvature per replicate, and only these sums (replicates
-    times coefficients squared) are solved outside Spark.
+    All replicates are fitted together by Newton steps. A step reads the rows
+    once: each task draws the weights anew from hashes and adds up gradient and
+    curvature of every replicate, so nothing of the size rows times replicates is
+    kept, and only these sums (replicates times coefficients squared) are solved
+    outside Spark. Replicates that do not converge within ``max_iter`` steps
+    (separated outcomes, no rows) have null estimates and ``converged`` false.
     """
     spark = df.sparkSession
     names = ["(Intercept)", *xs]
     k = len(names)
-    full = df.dropna(subset=[y, *xs]).select(key, F.col(y).cast("double").alias("_y"), *xs)
-    data = materialize(_replicates(full, key, reps, seed))
-    x = [F.lit(1.0), *[F.col(c).cast("double") for c in xs]]
-    betas = np.zeros((reps, k))
+    pairs = list(combinations_with_replacement(range(k), 2))
+    full = df.dropna(subset=[y, *xs])
+    data = materialize(
+        full.select(F.xxhash64(key).alias("_unit"), F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in xs])
+    )
+    betas, open_ = np.zeros((reps, k)), np.ones(reps, bool)
+
+    def sums_at(at: np.ndarray, which: np.ndarray):
+        def run(batches):
+            total = np.zeros((len(which), k + len(pairs)))
+            for pdf in batches:
+                for lo in range(0, len(pdf), 1024):
+                    part = pdf.iloc[lo : lo + 1024]
+                    x = np.column_stack([np.ones(len(part)), part[list(xs)].to_numpy(float)])
+                    w = _draws(part["_unit"].to_numpy(np.int64), reps, seed)[:, which]
+                    mu = 1 / (1 + np.exp(-np.clip(x @ at.T, -700, 700)))
+                    total[:, :k] += (w * (part["_y"].to_numpy()[:, None] - mu)).T @ x
+                    curve = w * mu * (1 - mu)
+                    for c, (i, j) in enumerate(pairs, k):
+                        total[:, c] += (x[:, i] * x[:, j]) @ curve
+            yield pd.DataFrame({"rep": which.astype("int32"), "s": list(total)})
+
+        return run
+
     for _ in range(max_iter):
-        table = spark.createDataFrame(
-            pd.DataFrame(betas, columns=[f"b{i}" for i in range(k)]).assign(rep=np.arange(1, reps + 1, dtype="int32"))
-        )
-        eta = sum((x[i] * F.col(f"b{i}") for i in range(1, k)), F.col("b0"))
-        rows = data.join(table, "rep").withColumn("_mu", 1 / (1 + F.exp(-eta)))
-        mu, w = F.col("_mu"), F.col("w")
-        sums = rows.groupBy("rep").agg(
-            *[F.sum(w * (F.col("_y") - mu) * x[i]).alias(f"g{i}") for i in range(k)],
-            *[
-                F.sum(w * mu * (1 - mu) * x[i] * x[j]).alias(f"h{i}_{j}")
-                for i, j in combinations_with_replacement(range(k), 2)
-            ],
-        ).toPandas()
-        at = sums["rep"].to_numpy() - 1
-        gradient = sums[[f"g{i}" for i in range(k)]].to_numpy()
-        flat = sums[[f"h{i}_{j}" for i, j in combinations_with_replacement(range(k), 2)]].to_numpy()
-        step = np.stack([np.linalg.pinv(_square(f, k)) @ g for f, g in zip(flat, gradient)])
-        betas[at] += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        which = np.flatnonzero(open_)
+        if not len(which):
             break
-    rows = [(r + 1, n, float(betas[r, i])) for r in range(reps) for i, n in enumerate(names)]
-    return spark.createDataFrame(rows, "rep int, term string, estimate double")
+        parts = data.mapInPandas(sums_at(betas[which], which), "rep int, s array<double>")
+        cells = [F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(k + len(pairs))]
+        for row in parts.groupBy("rep").agg(*cells).collect():
+            flat = np.array(row[1:])
+            curve = _square(flat[k:], k)
+            if not np.all(np.isfinite(flat)) or np.linalg.cond(curve) > 1e14:
+                continue
+            step = np.linalg.solve(curve, flat[:k])
+            betas[row["rep"]] += np.clip(step, -5, 5)
+            open_[row["rep"]] = np.abs(step).max() >= 1e-8
+    rows = [(r + 1, n, None if open_[r] else float(betas[r, i]), not open_[r]) for r in range(reps) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "rep int, term string, estimate double, converged boolean")
 
 
 # --- clustered bootstrap of least squares ------------------------------------
@@ -190,9 +273,10 @@ def cluster_boot_ols(
     """OLS coefficients with clusters resampled: cross products are summed once
     per cluster, a replicate is their weighted sum."""
     names = ["(Intercept)", *xs]
-    size = len(names) + 1
+    k, size = len(names), len(names) + 1
     cells = size * (size + 1) // 2
-    per_cluster = materialize(cross_products(df, [cluster], [*xs, y]))
+    near, at = _shifted(df, [*xs, y])
+    per_cluster = materialize(cross_products(near, [cluster], [*xs, y]))
     drawn = _replicates(per_cluster, cluster, reps, seed)
     sums = drawn.groupBy("rep").agg(
         F.array(*[F.sum(F.col("xx")[i] * F.col("w")) for i in range(cells)]).alias("xx")
@@ -202,8 +286,10 @@ def cluster_boot_ols(
         for pdf in batches:
             out = []
             for rep, flat in zip(pdf["rep"], pdf["xx"]):
-                beta = _least_squares(_square(flat, size), len(names))[0]
-                out += [(int(rep), name, float(b)) for name, b in zip(names, beta)]
+                n, mean, c = _centred(_square(flat, size))
+                fit = _least_squares(n, mean + np.array(at), c, k)
+                beta = [None] * k if fit is None else [float(b) for b in fit[0]]
+                out += [(int(rep), name, b) for name, b in zip(names, beta)]
             yield pd.DataFrame(out, columns=["rep", "term", "estimate"])
 
     return sums.mapInPandas(solve, "rep int, term string, estimate double")
@@ -221,7 +307,8 @@ def random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str) -> tu
     names = ["(Intercept)", *xs]
     k = len(names)
     size = k + 1
-    groups = materialize(cross_products(df, [group], [*xs, y]))
+    near, means = _shifted(df, [*xs, y])
+    groups = materialize(cross_products(near, [group], [*xs, y]))
     cells = size * (size + 1) // 2
     total = groups.agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), *[F.sum(F.col("xx")[i]).alias(f"t{i}") for i in range(cells)]
@@ -241,8 +328,17 @@ def random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str) -> tu
         ).collect()
         return {r["ratio"]: (m - _square(r["cut"], size), r["logdet"]) for r in rows}
 
+    def solved(adjusted: np.ndarray):
+        inverse = _inverse(adjusted[:k, :k])
+        if inverse is None or n <= k:
+            raise ValueError("the predictors are constant or depend on one another, or the rows do not suffice")
+        beta = inverse @ adjusted[:k, -1]
+        return beta, inverse, max(float(adjusted[-1, -1] - beta @ adjusted[:k, -1]), 0.0)
+
+    floor = max(m[-1, -1], 1e-300) * 1e-15  # a perfect fit has no likelihood to compare
+
     def reml(adjusted: np.ndarray, logdet: float) -> float:
-        _, _, rss = _least_squares(adjusted, k)
+        rss = max(solved(adjusted)[2], floor)
         return -0.5 * (logdet + np.linalg.slogdet(adjusted[:k, :k])[1] + (n - k) * math.log(rss / (n - k)))
 
     low, high, best = -14.0, 6.0, 0.0
@@ -253,12 +349,18 @@ def random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str) -> tu
         width = (high - low) / 32
         low, high = math.log(best) - width, math.log(best) + width
     adjusted, logdet = fits[best]
-    beta, inverse, rss = _least_squares(adjusted, k)
+    beta, inverse, rss = solved(adjusted)
     within = rss / (n - k)
     between = best * within
+    # back from the shifted columns: only the constant moves
+    back = np.eye(k)
+    back[0, 1:] = -np.array(means[:-1])
+    inverse = back @ inverse @ back.T
+    constant = means[-1] + float(back[0] @ beta)
+    icc = between / (between + within) if between + within > 0 else None
     rows = [
-        (name, float(b), float(math.sqrt(within * inverse[i, i])), n, g, between, within, between / (between + within))
-        for i, (name, b) in enumerate(zip(names, beta))
+        (name, float(b), float(math.sqrt(within * inverse[i, i])), n, g, between, within, icc)
+        for i, (name, b) in enumerate(zip(names, [constant, *beta[1:]]))
     ]
     summary = spark.createDataFrame(
         rows,
@@ -267,18 +369,20 @@ def random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str) -> tu
     )
     left = F.col("xx")[k] - sum(F.col("xx")[i] * float(beta[i]) for i in range(k))
     effect = left * best / (1 + F.col("n") * best)
-    intercepts = groups.select(group, "n", effect.alias("deviation"), (effect + float(beta[0])).alias("intercept"))
+    intercepts = groups.select(group, "n", effect.alias("deviation"), (effect + constant).alias("intercept"))
     return summary, intercepts
 
 
 # --- series ------------------------------------------------------------------
 def lag_design(series: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], p: int) -> DataFrame:
-    """Adds ``<col>_l1`` .. ``<col>_lp``; rows without all lags are dropped. A
-    series has one row per key and calendar day."""
+    """Adds ``<col>_l1`` .. ``<col>_lp``; rows without all lags are dropped, also
+    those behind a gap: the p rows before must be the p days (or whole numbers)
+    before. A series has one row per key and day."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
     lags = {f"{c}_l{i}": F.lag(c, i).over(w) for i in range(1, p + 1) for c in cols}
-    out = series.withColumns(lags | {"_n": F.row_number().over(w)})
-    return out.filter(F.col("_n") > p).drop("_n")
+    kind, first = dict(series.dtypes)[order], F.lag(order, p).over(w)
+    apart = F.datediff(order, first) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(order) - first
+    return series.withColumns(lags | {"_apart": apart}).filter(F.col("_apart") == p).drop("_apart")
 
 
 def _var_blocks(endo: Sequence[str], exog: Sequence[str], p: int) -> list[str]:
@@ -287,7 +391,7 @@ def _var_blocks(endo: Sequence[str], exog: Sequence[str], p: int) -> list[str]:
 
 def _var_products(series, keys, order, endo, exog, p):
     design = lag_design(series, keys, order, endo, p)
-    return cross_products(design, keys, [*_var_blocks(endo, exog, p), *endo])
+    return moments(design, keys, [*_var_blocks(endo, exog, p), *endo])
 
 
 def var_fit(
@@ -296,28 +400,27 @@ def var_fit(
     """Vector autoregression per key, one equation per variable: coefficients with
     standard errors, R2, residual standard error and F."""
     names = ["(Intercept)", *_var_blocks(endo, exog, p)]
-    k, size = len(names), len(names) + len(endo)
+    k, size = len(names), len(names) - 1 + len(endo)
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                m, n = _square(row["xx"], size), int(row["n"])
-                dof = n - k
+                c, mean, n = _square(row["cc"], size), np.array(row["mean"]), int(row["n"])
                 for e, target in enumerate(endo):
-                    pick = [*range(k), k + e]
-                    sub = m[np.ix_(pick, pick)]
-                    beta, inverse, rss = _least_squares(sub, k)
-                    tss = sub[-1, -1] - sub[0, -1] ** 2 / n
-                    sigma = math.sqrt(rss / dof)
-                    r2 = 1 - rss / tss
-                    f = (tss - rss) / (k - 1) / (rss / dof)
+                    pick = [*range(k - 1), k - 1 + e]
+                    fit = _least_squares(n, mean[pick], c[np.ix_(pick, pick)], k)
                     for i, name in enumerate(names):
-                        out.append(
-                            [row[c] for c in keys]
-                            + [target, name, n, float(beta[i]), float(sigma * math.sqrt(inverse[i, i])), float(r2),
-                               float(1 - (1 - r2) * (n - 1) / dof), sigma, float(f), float(f_upper(f, k - 1, dof))]
-                        )
+                        values = [None] * 7
+                        if fit is not None:
+                            beta, spread, rss, tss = fit
+                            dof = n - k
+                            sigma = math.sqrt(rss / dof)
+                            r2 = 1 - rss / tss if tss > 0 else math.nan
+                            f = (tss - rss) / (k - 1) / (rss / dof) if rss > 0 else math.nan
+                            tail = f_upper(f, k - 1, dof) if math.isfinite(f) else math.nan
+                            values = [beta[i], sigma * math.sqrt(spread[i, i]), r2, 1 - (1 - r2) * (n - 1) / dof, sigma, f, tail]
+                        out.append([row[key] for key in keys] + [target, name, n] + [_or_null(v) for v in values])
             cols = [*keys, "equation", "term", "n", "estimate", "std_error", "r_squared", "adj_r_squared", "sigma",
                     "f_statistic", "f_p_value"]
             yield pd.DataFrame(out, columns=cols)
@@ -335,25 +438,26 @@ def var_select(
     """AIC, HQ and SC for every lag order up to ``max_p`` on the common sample.
     One set of cross products holds all the smaller models."""
     names = ["(Intercept)", *_var_blocks(endo, exog, max_p)]
-    size, eq = len(names) + len(endo), len(endo)
-    own = len(names) - len(exog)
+    size, eq = len(names) - 1 + len(endo), len(endo)
+    own = len(names) - 1 - len(exog)
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                m, n = _square(row["xx"], size), int(row["n"])
-                ys = list(range(len(names), size))
+                c, n = _square(row["cc"], size), int(row["n"])
+                ys = list(range(len(names) - 1, size))
                 for p in range(1, max_p + 1):
-                    used = [*range(1 + p * eq), *range(own, len(names))]
-                    xtx, xty = m[np.ix_(used, used)], m[np.ix_(used, ys)]
-                    residual = (m[np.ix_(ys, ys)] - xty.T @ np.linalg.pinv(xtx) @ xty) / n
-                    base, count = np.linalg.slogdet(residual)[1], eq * len(used)
-                    out.append(
-                        [row[c] for c in keys]
-                        + [p, n, base + 2 * count / n, base + 2 * math.log(math.log(n)) * count / n,
-                           base + math.log(n) * count / n]
-                    )
+                    used = [*range(p * eq), *range(own, len(names) - 1)]
+                    count = eq * (len(used) + 1)
+                    inverse = _inverse(c[np.ix_(used, used)]) if n > len(used) + 1 else None
+                    base = math.nan
+                    if inverse is not None:
+                        xy = c[np.ix_(used, ys)]
+                        sign, base = np.linalg.slogdet((c[np.ix_(ys, ys)] - xy.T @ inverse @ xy) / n)
+                        base = base if sign > 0 else math.nan
+                    values = [base + 2 * count / n, base + 2 * math.log(math.log(max(n, 3))) * count / n, base + math.log(n) * count / n]
+                    out.append([row[key] for key in keys] + [p, n] + [_or_null(v) for v in values])
             yield pd.DataFrame(out, columns=[*keys, "p", "n", "aic", "hq", "sc"])
 
     schema = _spark_type(series, keys) + "p int, n bigint, aic double, hq double, sc double"
@@ -365,24 +469,26 @@ def granger_wald(
 ) -> DataFrame:
     """Wald F of all lags of one variable in the equation of another, all pairs."""
     names = ["(Intercept)", *_var_blocks(endo, exog, p)]
-    k, size = len(names), len(names) + len(endo)
+    k, size = len(names), len(names) - 1 + len(endo)
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                m, n = _square(row["xx"], size), int(row["n"])
-                dof = n - k
+                c, mean, n = _square(row["cc"], size), np.array(row["mean"]), int(row["n"])
                 for e, response in enumerate(endo):
-                    pick = [*range(k), k + e]
-                    beta, inverse, rss = _least_squares(m[np.ix_(pick, pick)], k)
-                    cov = inverse * rss / dof
+                    pick = [*range(k - 1), k - 1 + e]
+                    fit = _least_squares(n, mean[pick], c[np.ix_(pick, pick)], k)
                     for cause in endo:
                         if cause == response:
                             continue
-                        at = [names.index(f"{cause}_l{i}") for i in range(1, p + 1)]
-                        wald = float(beta[at] @ np.linalg.pinv(cov[np.ix_(at, at)]) @ beta[at]) / p
-                        out.append([row[c] for c in keys] + [cause, response, wald, p, dof, f_upper(wald, p, dof)])
+                        at, wald, tail = [names.index(f"{cause}_l{i}") for i in range(1, p + 1)], None, None
+                        if fit is not None and fit[2] > 0:
+                            beta, spread, rss, _ = fit
+                            cov = spread[np.ix_(at, at)] * rss / (n - k)
+                            wald = float(beta[at] @ np.linalg.solve(cov, beta[at])) / p
+                            tail = f_upper(wald, p, n - k)
+                        out.append([row[key] for key in keys] + [cause, response, wald, p, n - k, tail])
             yield pd.DataFrame(out, columns=[*keys, "cause", "response", "f", "df1", "df2", "p_value"])
 
     schema = _spark_type(series, keys) + "cause string, response string, f double, df1 int, df2 int, p_value double"

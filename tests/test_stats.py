@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedpanel.functions import tails
@@ -104,10 +105,10 @@ def test_logit(df, table):
 
 def test_boot_logit_solves_every_replicate(spark, df, table):
     draws = regressions.boot_logit(df, "y", "hit", ["a", "b"], reps=8, seed=3).toPandas()
-    weights = (
-        df.select("y", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("rep"))
-        .withColumn("w", regressions.poisson_weight(F.col("y"), F.col("rep"), 3)).toPandas()
-    )
+    assert draws.converged.all()
+    units = df.select("y", F.xxhash64("y").alias("unit")).toPandas()
+    drawn = pd.DataFrame(regressions._draws(units["unit"].to_numpy(), 8, 3), columns=range(1, 9)).assign(y=units["y"])
+    weights = drawn.melt("y", var_name="rep", value_name="w")
     for rep, part in weights.groupby("rep"):
         w = table[["y"]].merge(part, on="y")["w"].to_numpy()
         want = newton(design(table, ["a", "b"]), table.hit.to_numpy(), w)
@@ -115,6 +116,49 @@ def test_boot_logit_solves_every_replicate(spark, df, table):
         assert got.tolist() == pytest.approx(want.tolist(), abs=1e-6)
 
 
+def test_boot_logit_says_what_did_not_converge(spark):
+    apart = spark.createDataFrame([(i, float(i), float(i > 20)) for i in range(40)], "u int, x double, hit double")
+    draws = regressions.boot_logit(apart, "u", "hit", ["x"], reps=5).toPandas()
+    assert not draws.converged.any() and draws.estimate.isna().all()
+
+
+def test_large_means_cost_no_digits(spark):
+    rng = np.random.default_rng(3)
+    x, e = rng.normal(0, 1, 4000), rng.normal(0, 1, 4000)
+    rows = [(i % 7, float(a + 1e6), float(2 * a + b + 1e9), float(2 * a + b)) for i, (a, b) in enumerate(zip(x, e))]
+    far = spark.createDataFrame(rows, "g int, x double, y double, small double")
+    X = np.column_stack([np.ones(4000), x])
+    beta, rss = np.linalg.lstsq(X, 2 * x + e, rcond=None)[:2]
+    sigma = math.sqrt(rss[0] / 3998)
+    for y in ("y", "small"):
+        got = regressions.ols(far, y, ["x"]).toPandas().set_index("term")
+        assert got.estimate["x"] == pytest.approx(beta[1], abs=1e-6)
+        assert got.sigma["x"] == pytest.approx(sigma, abs=1e-6)
+        assert got.std_error["x"] == pytest.approx(sigma * math.sqrt(np.linalg.inv(X.T @ X)[1, 1]), rel=1e-5)
+        draws = regressions.cluster_boot_ols(far, "g", y, ["x"], reps=20).toPandas()
+        assert draws[draws.term == "x"].estimate.between(1.8, 2.2).all()
+        summary, _ = regressions.random_intercept(far, y, ["x"], "g")
+        fit = summary.toPandas().set_index("term")
+        assert fit.estimate["x"] == pytest.approx(beta[1], abs=5e-3) and fit.within_var["x"] == pytest.approx(sigma**2, rel=1e-2)
+
+
+def test_short_and_dependent_groups_give_nulls(spark):
+    rows = [("short", 1.0, 1.0, 2.0)] + [("same", 1.0, 2.0, float(i)) for i in range(9)] + [("ok", float(i), float(i * i), float(i % 3)) for i in range(9)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double")
+    got = regressions.ols(df, "y", ["a", "b"], ["k"]).toPandas().groupby("k").estimate.apply(lambda e: e.isna().all())
+    assert got.to_dict() == {"short": True, "same": True, "ok": False}
+    days = df.withColumn("t", F.row_number().over(Window.partitionBy("k").orderBy("a")))
+    assert regressions.var_fit(days, "t", ["a", "y"], 1, keys=["k"]).filter("k = 'short' AND estimate IS NOT NULL").count() == 0
+    assert regressions.granger_wald(days, "t", ["a", "y"], 2, keys=["k"]).filter("k <> 'ok' AND f IS NOT NULL").count() == 0
+    assert regressions.var_select(days, "t", ["a", "y"], 2, keys=["k"]).filter("k = 'same' AND aic IS NOT NULL").count() == 0
+
+
+def test_lags_do_not_cross_gaps(spark):
+    df = spark.createDataFrame([(d, float(i)) for i, d in enumerate(["2024-01-01", "2024-01-02", "2024-01-05", "2024-01-06"])], "d string, v double")
+    df = df.withColumn("d", F.to_date("d"))
+    assert [(r.v, r.v_l1) for r in regressions.lag_design(df, [], "d", ["v"], 1).orderBy("d").collect()] == [(1.0, 0.0), (3.0, 2.0)]
+
+
 def test_poisson_weights(spark):
     w = spark.range(40000).select(regressions.poisson_weight(F.col("id"), F.lit(1), 7).alias("w"))
     row = w.agg(F.avg("w"), F.var_samp("w"), F.avg((F.col("w") == 0).cast("double"))).first()
