@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,30 +45,60 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 _local_work: dict[str, str] = {}
+_owners: list[list[str]] = [[]]
 
 
 def work_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, named by ``spark.checkpoint.dir``.
 
-    Only a local master may go without: it gets a fresh folder of its own.
+    Only a local master may go without: it gets a fresh folder of its own, which
+    goes when Python ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
+        if folder.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local"):
+            warnings.warn(f"{folder} must be mounted on every executor", stacklevel=2)
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _local_work:
-        _local_work[context.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _local_work[context.applicationId]
+    application = spark.sparkContext.applicationId
+    if application not in _local_work:
+        _local_work[application] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        atexit.register(shutil.rmtree, _local_work[application], ignore_errors=True)
+    return _local_work[application]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the work folder and reads it back.
 
-    Cuts the lineage; a lost executor costs only the tasks it was running.
+    Cuts the lineage; a lost executor costs only the tasks it was running. The
+    table belongs to the innermost ``work_tables`` block, or to the session.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/feedpanel-{uuid.uuid4().hex}"
+    _owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    while paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables stored inside the block when it ends, also on failure.
+    What is computed from them must be written before."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _owners.pop())
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables this process has stored outside such blocks."""
+    _delete(spark, _owners[0])

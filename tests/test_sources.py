@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -139,6 +140,25 @@ def test_release(spark):
         out.collect()
 
 
+def test_written_release_leaves_no_mapping(spark, new_folder):
+    folder = work_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    events = spark.createDataFrame([("e1", "9"), ("e2", "10")], "event_id string, author_id string")
+    release.write_release({"w": events}, {"w": ["author_id", "event_id"]}, events, f"{new_folder}/out")
+    assert sorted(r["author_id"] for r in spark.read.parquet(f"{new_folder}/out/w").collect()) == [1, 2]
+    with pytest.raises(ValueError, match="identifying"):
+        release.write_release({"w": events}, {"w": ["event_id"]}, events, f"{new_folder}/no")
+    assert set(os.listdir(folder)) == before
+
+
+def test_files_with_another_header_fail(spark, new_folder):
+    for name, text in (("a.csv", "id,author_id\n1,A\n"), ("b.csv", "author_id,id\nB,2\n")):
+        with open(f"{new_folder}/{name}", "w") as f:
+            f.write(text)
+    with pytest.raises(Exception, match="header"):
+        readers.read_panel_csv(spark, [f"{new_folder}/a.csv", f"{new_folder}/b.csv"]).collect()
+
+
 def test_random_ids_differ_between_runs(spark):
     ids = spark.range(200).select(F.col("id").cast("string").alias("e"))
     a, b = (release.random_ids(ids, "e").orderBy("e").collect() for _ in range(2))
