@@ -44,7 +44,8 @@ def daily_panel(
 
     def reached(cutoffs: dict[str, float], suffix: str) -> list[Column]:
         return [
-            F.count_if(F.col(f"{e}_v2") >= cutoffs[e]).alias(f"count_{e}_{suffix}")
+            # without a cutoff (no scored post) nothing reaches it
+            F.count_if(F.col(f"{e}_v2") >= F.lit(cutoffs.get(e)).cast("double")).alias(f"count_{e}_{suffix}")
             for e in emotions
         ]
 

@@ -94,16 +94,10 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -
     return running_sums(df, [], order, {name: F.lit(1).cast("bigint")})
 
 
-# Up to this rank Spark drops rows before the shuffle as well.
-_PRUNED_RANK = 1000
-
-
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The first n rows per key with their place ``rn``; order by ascending,
-    unique columns. Large n are counted split by split instead of in one window."""
-    if n <= _PRUNED_RANK:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    unique columns. Rows are numbered split by split, whatever n, so a task holds
+    no more of a key than its split."""
     out = running_sums(df, keys, order, {"rn": F.lit(1).cast("bigint")}).drop("rn_total")
     return out.filter(F.col("rn") <= n)
 
@@ -161,23 +155,21 @@ def last_known(
     return out.filter(F.col(_CARRY) == 0).drop(_PART, _CARRY)
 
 
-# Resolution of the sketch, and rows below which ranking everything is cheaper.
+# Resolution of the sketch.
 _SKETCH = 10_000
-_RANK_ALL = 20_000_000
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles of whole columns, one row per column
-    (``variable``), without shuffling the columns of a large table.
+    (``variable``), without shuffling the columns. A column without values has a
+    row of nulls.
 
-    There a sketch brackets the wanted ranks, one pass counts the rows below each
-    bracket, and only the values inside a bracket are ranked. A bracket that
-    misses its ranks falls back to ranking the whole column.
+    The columns are written once. A sketch brackets the wanted ranks, one pass
+    counts the rows below each bracket, and only the values inside a bracket are
+    ranked. A bracket that misses its ranks falls back to ranking the whole column.
     """
     spark = df.sparkSession
-    if df.count() <= _RANK_ALL:
-        long = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        return exact_quantiles(long.unpivot([], list(cols), "variable", "x"), ["variable"], "x", probs)
+    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     slack = 3.0 / _SKETCH
     ends = [min(max(p + d, 0.0), 1.0) for p in probs.values() for d in (-slack, slack)]
     sketch = df.agg(
@@ -196,8 +188,11 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]
             low = sketch[f"lo{i}"] if ends[2 * j] == 0.0 else low
             high = sketch[f"hi{i}"] if ends[2 * j + 1] == 1.0 else high
             brackets.append((c, name, (sketch[f"n{i}"] - 1) * p, float(low), float(high)))
+    empty = [c for i, c in enumerate(cols) if not sketch[f"n{i}"]]
+    schema = "variable string, " + ", ".join(f"`{n}` double" for n in probs)
+    nulls = spark.createDataFrame([(c, *[None] * len(probs)) for c in empty], schema)
     if not brackets:
-        return spark.createDataFrame([], "variable string, " + ", ".join(f"`{n}` double" for n in probs))
+        return nulls
     counts = df.agg(
         *[F.count_if(F.col(c) < low).alias(f"b{k}") for k, (c, _, _, low, _) in enumerate(brackets)],
         *[F.count_if(F.col(c).between(low, high)).alias(f"w{k}") for k, (c, _, _, low, high) in enumerate(brackets)],
@@ -219,6 +214,5 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]
     hi = F.min(F.when(F.col("upto") > F.ceil(at), F.col("x")))
     found = ranks.groupBy("variable", "name", "at").agg(lo.alias("lo"), hi.alias("hi"))
     value = F.col("lo") + (at - F.floor(at)) * (F.col("hi") - F.col("lo"))
-    return found.groupBy("variable").agg(
-        *[F.max(F.when(F.col("name") == n, value)).alias(n) for n in probs]
-    )
+    wide = found.groupBy("variable").agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in probs])
+    return wide.unionByName(nulls) if empty else wide
