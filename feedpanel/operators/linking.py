@@ -120,13 +120,8 @@ def indel_ratio(a, b):
 _MAX_DELETIONS = 2
 
 
-def _max_edits(length: int, threshold: int) -> int:
-    """Most edits a pair with a common subsequence of this length may have."""
-    c = 100 - threshold
-    return max(math.ceil(2 * c * length / (100 - c)) - 1, 0)
-
-
 def _max_edits_col(length, threshold: int):
+    """Most edits a pair with a common subsequence of this length may have."""
     c = 100 - threshold
     return F.greatest(F.ceil(2 * c * length / (100 - c)) - 1, F.lit(0))
 
@@ -172,7 +167,8 @@ def _fuzzy_by_pieces(hosts: DataFrame, rated: DataFrame, threshold: int) -> Data
     """Pairs of long names that may differ by three edits or more. A rated name is
     cut into one piece more than edits are allowed, so one piece survives inside
     the host, shifted by at most that many places; survivors are verified."""
-    shortest = next(n for n in range(1, 10_000) if _max_edits(n, threshold) > _MAX_DELETIONS)
+    c = 100 - threshold
+    shortest = (_MAX_DELETIONS + 1) * (100 - c) // (2 * c) + 1  # the first length that allows more edits
     size = F.length("ng_domain")
     long_rated = rated.filter(size >= shortest).select(
         "ng_domain", size.alias("len"), _max_edits_col(size, threshold).cast("int").alias("k")
@@ -203,14 +199,24 @@ def _fuzzy_by_pieces(hosts: DataFrame, rated: DataFrame, threshold: int) -> Data
     ).filter(F.col("at") + F.col("width") - 1 <= F.length("host"))
     probe = probe.select("host", "len", "i", F.substr("host", F.col("at"), F.col("width")).alias("piece")).distinct()
     pairs = probe.join(pieces, ["len", "i", "piece"]).select("host", "ng_domain").distinct()
+    # a changed character is two insertions or deletions, so the built-in distance never is the larger one
+    total = F.length("host") + F.length("ng_domain")
+    pairs = pairs.filter(F.levenshtein("host", "ng_domain") * 100 < c * total)
     return pairs.withColumn("distance", indel(F.col("host"), F.col("ng_domain")))
 
 
 def match_fuzzy(hosts: DataFrame, rated: DataFrame, threshold: int = 97) -> DataFrame:
     """Best rated name per host with a similarity above the threshold; ties go to
-    the alphabetically first name."""
+    the alphabetically first name. Above 100 there is none."""
     hosts = hosts.select("host").dropna().distinct()
     rated = rated.select("ng_domain").dropna().distinct()
+    # lengths that differ by more than the edits allowed rule out any match
+    c, size = 100 - threshold, F.length("ng_domain")
+    if c <= 0:
+        return hosts.limit(0).selectExpr("host", "host AS ng_domain", "0D AS similarity")
+    ends = rated.agg(F.min(size).alias("low"), F.max(size).alias("high")).first()
+    low, high = (ends["low"] or 0) * (100 - c) / (100 + c), (ends["high"] or 0) * (100 + c) / (100 - c)
+    hosts = hosts.filter((F.length("host") > low) & (F.length("host") < high))
     found = _fuzzy_by_deletion(hosts, rated, threshold).unionByName(_fuzzy_by_pieces(hosts, rated, threshold))
     total = F.length("host") + F.length("ng_domain")
     passing = found.filter(F.col("distance") * 100 < (100 - threshold) * total)

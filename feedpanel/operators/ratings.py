@@ -43,7 +43,10 @@ def attach_domains(posts: DataFrame, matched: DataFrame) -> DataFrame:
         *[c for c in once.columns if c != "expanded_urls"],
         F.posexplode_outer(split_list(F.col("expanded_urls"))).alias("position", "url"),
     )
-    return links.join(matched.select("url", "ng_domain").distinct(), "url", "left")
+    # posts without links have keys of their own, which match nothing, instead of one null key
+    known = matched.select(F.col("url").alias("_url"), "ng_domain").distinct()
+    key = F.coalesce("url", F.concat(F.lit(" "), F.col("id").cast("string")))
+    return links.join(known, key == F.col("_url"), "left").select("url", *[c for c in links.columns if c != "url"], "ng_domain")
 
 
 def attach_rating(
@@ -75,11 +78,15 @@ def attach_rating(
     keyed = links.withColumns(
         {"month": month, "file_month": F.when(month >= first, month).otherwise(any_month)}
     )
-    return keyed.join(dim, ["ng_domain", "file_month"], "left").drop("file_month")
+    # links without a rated domain likewise spread over keys that match nothing
+    key = F.coalesce("ng_domain", F.concat(F.lit(" "), F.col("id").cast("string")))
+    dim = dim.withColumnsRenamed({"ng_domain": "_domain", "file_month": "_month"})
+    joined = keyed.join(dim, (key == F.col("_domain")) & (F.col("file_month") == F.col("_month")), "left")
+    return joined.select("ng_domain", *[c for c in keyed.columns if c not in ("ng_domain", "file_month")], "Score", "Orientation", "n_ratings")
 
 
 def merge_multilink(links: DataFrame, literal: bool = False) -> DataFrame:
-    """One row per post. The score is the mean over the rating rows of its links;
+    """One row per post with all its columns. The score is the mean over the rating rows of its links;
     ``ng_domain`` lists the rated domains in link order, ``Orientation`` the
     different labels. Without a rated link the first matched domain stays.
 
@@ -88,7 +95,10 @@ def merge_multilink(links: DataFrame, literal: bool = False) -> DataFrame:
     """
     rated = F.col("Score").isNotNull()
     where = F.struct("position", "ng_domain", "Orientation", "Score")
+    made = ("id", "author_id", "created_at", "position", "url", "ng_domain", "month", "Score", "Orientation", "n_ratings")
+    others = [c for c in links.columns if c not in made]
     rows = links.groupBy("id", "author_id").agg(
+        *[F.first(c).alias(c) for c in others],
         F.min("created_at").alias("created_at"),
         F.sum(F.when(rated, F.col("n_ratings"))).alias("n_ratings"),
         F.sum(F.when(rated, F.col("Score") * F.col("n_ratings"))).alias("_sum"),
@@ -110,7 +120,8 @@ def merge_multilink(links: DataFrame, literal: bool = False) -> DataFrame:
         domain = F.when(has, names).otherwise(F.col("_matched.ng_domain"))
         label = F.when(has, F.array_join(F.sort_array(F.array_distinct(labels)), ", "))
     return rows.select(
-        "id", "author_id", "created_at", domain.alias("ng_domain"), score.alias("Score"), label.alias("Orientation")
+        "id", "author_id", "created_at", domain.alias("ng_domain"), score.alias("Score"), label.alias("Orientation"),
+        *others,
     )
 
 

@@ -53,7 +53,8 @@ def _file_stem() -> Column:
 
 
 def read_posts_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """The 19 post columns, one row per post of every page."""
+    """The 19 post columns, one row per post of every page. Files with one page per
+    line are read in splits with ``multi_line=False``; otherwise a file is one task."""
     p = _pages(spark, path, multi_line).select(F.explode("data").alias("p")).select("p.*")
     refs = F.col("referenced_tweets")
 
@@ -124,7 +125,9 @@ def read_panel_csv(
             schema[name].dataType = T._parse_datatype_string(kind)
     raw = (
         spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
-        .option("escape", '"').option("multiLine", False).csv(paths)
+        .option("escape", '"').option("multiLine", False)
+        .option("enforceSchema", False)  # a file with another header fails instead of being read by place
+        .csv(paths)
     )
     wanted = [c for c in (columns or header) if c in header and not (with_file and c == "file")]
     types = dict(raw.dtypes)
