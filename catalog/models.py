@@ -207,24 +207,24 @@ def make_series(t):
 
 @query("lag_design", f"WITH {_SERIES} SELECT flag, day, {r('qty', 'qty')}, {r('lag(qty, 1) OVER w', 'qty_l1')}, {r('lag(qty, 2) OVER w', 'qty_l2')} FROM se WINDOW w AS (PARTITION BY flag ORDER BY day) QUALIFY row_number() OVER w > 2")
 def lag_design(t):
-    return rounded(regressions.lag_design(make_series(t).select("flag", "day", "qty"), ["flag"], "day", ["qty"], 2))
+    return rounded(regressions.lag_design(make_series(t).select("flag", "day", "qty"), ["flag"], "day", ["qty"], 2, across_gaps=True))
 
 
 @query("var_fit_one_lag", f"WITH {_SERIES}, d AS (SELECT flag, qty, lag(qty) OVER (PARTITION BY flag ORDER BY day) AS q1 FROM se) SELECT flag, 'qty_l1' AS term, regr_count(qty, q1) AS n, {r('regr_slope(qty, q1)', 'estimate')}, {r('regr_r2(qty, q1)', 'r_squared')} FROM d GROUP BY flag")
 def var_fit_one_lag(t):
-    fit = regressions.var_fit(make_series(t), "day", ["qty"], 1, keys=["flag"])
+    fit = regressions.var_fit(make_series(t), "day", ["qty"], 1, keys=["flag"], across_gaps=True)
     return rounded(fit.filter("term = 'qty_l1'").select("flag", "term", "n", "estimate", "r_squared"))
 
 
 @query("var_fit")
 def var_fit(t):
     s = daily.interventions(make_series(t), {"step1": "1998-01-01"})
-    return rounded(regressions.var_fit(s, "day", ["qty", "disc"], 3, ["step1"], ["flag"]))
+    return rounded(regressions.var_fit(s, "day", ["qty", "disc"], 3, ["step1"], ["flag"], True))
 
 
 @query("var_select")
 def var_select(t):
-    return rounded(regressions.var_select(make_series(t), "day", ["qty", "disc"], 7, keys=["flag"]))
+    return rounded(regressions.var_select(make_series(t), "day", ["qty", "disc"], 7, keys=["flag"], across_gaps=True))
 
 
 # With one lag the Wald F is the squared t of one coefficient: from the partial
@@ -234,7 +234,7 @@ def var_select(t):
  p AS (SELECT flag, n, 'disc' AS cause, 'qty' AS response, (qd - qq * rx) / sqrt((1 - qq ^ 2) * (1 - rx ^ 2)) AS pr FROM c UNION ALL SELECT flag, n, 'qty', 'disc', (dq - dd * rx) / sqrt((1 - dd ^ 2) * (1 - rx ^ 2)) FROM c)
  SELECT flag, cause, response, {r('pr ^ 2 * (n - 3) / (1 - pr ^ 2)', 'f')}, 1 AS df1, CAST(n - 3 AS INTEGER) AS df2 FROM p""")
 def granger_wald(t):
-    return rounded(regressions.granger_wald(make_series(t), "day", ["qty", "disc"], 1, keys=["flag"]).drop("p_value"))
+    return rounded(regressions.granger_wald(make_series(t), "day", ["qty", "disc"], 1, keys=["flag"], across_gaps=True).drop("p_value"))
 
 
 @query("its_regression", f"WITH {_SERIES}, x AS (SELECT flag, qty AS y, CAST(day >= DATE '1998-01-01' AS INTEGER) AS s, greatest(date_diff('day', DATE '1998-01-01', day) + 1, 0) AS rm FROM se) " + _two("y", "s", "rm", "step1", "ramp", "x", "flag"))
@@ -245,7 +245,7 @@ def its_regression(t):
 
 @query("peak_rows", f"WITH {_SERIES}, d AS (SELECT flag, day, round(qty - lag(qty) OVER (PARTITION BY flag ORDER BY day), 6) + 0.0 AS change FROM se) SELECT flag, max(abs(change)) AS size FROM d GROUP BY 1")
 def peak_rows(t):
-    s = regressions.lag_design(make_series(t), ["flag"], "day", ["qty"], 1)
+    s = regressions.lag_design(make_series(t), ["flag"], "day", ["qty"], 1, across_gaps=True)
     s = s.select("flag", "day", (F.round(F.col("qty") - F.col("qty_l1"), 6) + F.lit(0.0)).alias("change"))
     return regressions.peak_rows(s, ["flag"], "change").select("flag", F.abs("change").alias("size"))
 

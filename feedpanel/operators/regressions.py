@@ -374,14 +374,19 @@ def random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str) -> tu
 
 
 # --- series ------------------------------------------------------------------
-def lag_design(series: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], p: int) -> DataFrame:
+def lag_design(
+    series: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], p: int, across_gaps: bool = False
+) -> DataFrame:
     """Adds ``<col>_l1`` .. ``<col>_lp``; rows without all lags are dropped, also
     those behind a gap: the p rows before must be the p days (or whole numbers)
-    before. A series has one row per key and day."""
+    before, unless ``across_gaps`` takes rows as they follow. A series has one row
+    per key and day."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
     lags = {f"{c}_l{i}": F.lag(c, i).over(w) for i in range(1, p + 1) for c in cols}
     kind, first = dict(series.dtypes)[order], F.lag(order, p).over(w)
     apart = F.datediff(order, first) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(order) - first
+    if across_gaps:
+        return series.withColumns(lags | {"_n": F.row_number().over(w)}).filter(F.col("_n") > p).drop("_n")
     return series.withColumns(lags | {"_apart": apart}).filter(F.col("_apart") == p).drop("_apart")
 
 
@@ -389,13 +394,14 @@ def _var_blocks(endo: Sequence[str], exog: Sequence[str], p: int) -> list[str]:
     return [f"{c}_l{i}" for i in range(1, p + 1) for c in endo] + list(exog)
 
 
-def _var_products(series, keys, order, endo, exog, p):
-    design = lag_design(series, keys, order, endo, p)
+def _var_products(series, keys, order, endo, exog, p, across_gaps):
+    design = lag_design(series, keys, order, endo, p, across_gaps)
     return moments(design, keys, [*_var_blocks(endo, exog, p), *endo])
 
 
 def var_fit(
-    series: DataFrame, order: str, endo: Sequence[str], p: int, exog: Sequence[str] = (), keys: Sequence[str] = ()
+    series: DataFrame, order: str, endo: Sequence[str], p: int, exog: Sequence[str] = (), keys: Sequence[str] = (),
+    across_gaps: bool = False,
 ) -> DataFrame:
     """Vector autoregression per key, one equation per variable: coefficients with
     standard errors, R2, residual standard error and F."""
@@ -429,11 +435,12 @@ def var_fit(
         "equation string, term string, n bigint, estimate double, std_error double, r_squared double, "
         "adj_r_squared double, sigma double, f_statistic double, f_p_value double"
     )
-    return _var_products(series, keys, order, endo, exog, p).mapInPandas(solve, schema)
+    return _var_products(series, keys, order, endo, exog, p, across_gaps).mapInPandas(solve, schema)
 
 
 def var_select(
-    series: DataFrame, order: str, endo: Sequence[str], max_p: int, exog: Sequence[str] = (), keys: Sequence[str] = ()
+    series: DataFrame, order: str, endo: Sequence[str], max_p: int, exog: Sequence[str] = (), keys: Sequence[str] = (),
+    across_gaps: bool = False,
 ) -> DataFrame:
     """AIC, HQ and SC for every lag order up to ``max_p`` on the common sample.
     One set of cross products holds all the smaller models."""
@@ -461,11 +468,12 @@ def var_select(
             yield pd.DataFrame(out, columns=[*keys, "p", "n", "aic", "hq", "sc"])
 
     schema = _spark_type(series, keys) + "p int, n bigint, aic double, hq double, sc double"
-    return _var_products(series, keys, order, endo, exog, max_p).mapInPandas(solve, schema)
+    return _var_products(series, keys, order, endo, exog, max_p, across_gaps).mapInPandas(solve, schema)
 
 
 def granger_wald(
-    series: DataFrame, order: str, endo: Sequence[str], p: int, exog: Sequence[str] = (), keys: Sequence[str] = ()
+    series: DataFrame, order: str, endo: Sequence[str], p: int, exog: Sequence[str] = (), keys: Sequence[str] = (),
+    across_gaps: bool = False,
 ) -> DataFrame:
     """Wald F of all lags of one variable in the equation of another, all pairs."""
     names = ["(Intercept)", *_var_blocks(endo, exog, p)]
@@ -492,7 +500,7 @@ def granger_wald(
             yield pd.DataFrame(out, columns=[*keys, "cause", "response", "f", "df1", "df2", "p_value"])
 
     schema = _spark_type(series, keys) + "cause string, response string, f double, df1 int, df2 int, p_value double"
-    return _var_products(series, keys, order, endo, exog, p).mapInPandas(solve, schema)
+    return _var_products(series, keys, order, endo, exog, p, across_gaps).mapInPandas(solve, schema)
 
 
 def its_regression(
