@@ -122,13 +122,13 @@ def cosharing_edges(shares: DataFrame, tile: int = _TILE, users_per_chunk: int =
     The edges are the upper half of M'M for the 0/1 table M of users and domains.
     Domains are numbered and cut into tiles, users into chunks; a task multiplies
     the two tile columns of one chunk and emits one number per pair, so pairs are
-    summed before the shuffle and no user's pairs are ever listed.
+    summed before the shuffle and no user's pairs are ever listed. A cell is sent
+    as often as its chunk has tiles, not as often as there are tiles.
     """
     once = materialize(shares.select("author_id", "domain").distinct())
-    names = row_numbers(once.select("domain").distinct(), ["domain"], "no").drop("no_total")
+    names = materialize(row_numbers(once.select("domain").distinct(), ["domain"], "no").drop("no_total"))
     n_domains = names.agg(F.max("no")).first()[0] or 0
     tile = min(tile, n_domains + 1)
-    n_tiles = n_domains // tile + 1
     users = row_numbers(once.select("author_id").distinct(), ["author_id"], "u").drop("u_total")
     cells = once.join(names, "domain").join(users, "author_id").select(
         F.col("no").cast("int").alias("no"),
@@ -136,9 +136,10 @@ def cosharing_edges(shares: DataFrame, tile: int = _TILE, users_per_chunk: int =
         F.floor(F.col("u") / users_per_chunk).alias("chunk"),
         (F.col("u") % users_per_chunk).cast("int").alias("row"),
     )
-    # a cell takes part in its own tile's products with every other tile
-    others = F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).alias("o")
-    sided = cells.select("*", others).withColumns(
+    # a cell takes part in its own tile's products with the tiles its chunk has cells in
+    cells = materialize(cells)
+    present = cells.select("chunk", "t").distinct().groupBy("chunk").agg(F.collect_list("t").alias("tiles"))
+    sided = cells.join(present, "chunk").select("chunk", "t", "row", "no", F.explode("tiles").alias("o")).withColumns(
         {"a": F.least("t", "o"), "b": F.greatest("t", "o")}
     ).select("chunk", "a", "b", "row", "no")
 
