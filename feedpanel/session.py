@@ -68,15 +68,16 @@ def work_folder(spark: SparkSession) -> str:
     return _local_work[application]
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, outer: bool = False) -> DataFrame:
     """Writes ``df`` once to the work folder and reads it back.
 
     Cuts the lineage; a lost executor costs only the tasks it was running. The
-    table belongs to the innermost ``work_tables`` block, or to the session.
+    table belongs to the innermost ``work_tables`` block (``outer``: the one
+    around it), or to the session.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark)}/feedpanel-{uuid.uuid4().hex}"
-    _owners[-1].append(path)
+    _owners[-2 if outer and len(_owners) > 1 else -1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
