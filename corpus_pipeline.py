@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedpanel.llm import decontaminate, language, line_dedup, mixing, near_dedup
-from feedpanel.session import apply_defaults, materialize
+from feedpanel.session import apply_defaults, materialize, work_tables
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written and read again as the next one's input.
 
-    An empty table gives an empty result. Nulls, empty texts and repeated rows are treated as the stages' operators say.
+    A stage's own work tables go when its result is written; the results stay until ``session.clean``. An empty table gives an empty result. Nulls, empty texts and repeated rows are treated as the stages' operators say.
     """
     apply_defaults(spark)
     docs = _table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES):
-            docs = materialize(docs)
+        if number == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with work_tables(spark):
+            docs = materialize(stage(spark, docs, sf_dir), outer=True)
     return docs
