@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedpanel.llm.quality import SPACES, _let, words
+from feedpanel.llm.quality import _let
 from feedpanel.session import materialize
 
 #: Lines of fewer words are compared for equality only.
 MIN_WORDS = 8
-#: Bits of the map that keeps lines without a partner out of the second scan: a megabyte, whatever the input.
-MAP_BITS = 1 << 23
+#: Rows of 64 bits of the map that keeps lines without a partner out of the second scan: two megabytes at most.
+MAP_ROWS = 1 << 17
 _CHUNK = 64
+_OTHER_SPACES = ("  ", "\t", "\x0b", "\f", "\r")
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, node, line, words)`` of every line with a word; ``node`` is the text's hash."""
+    """``(doc_id, node, line, string)`` of every line with a word, its words parted by single spaces; ``node`` is the text's hash."""
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
-    lines = base.select("doc_id", "node", F.posexplode(F.split("text", "\n")).alias("line", "string"))
-    lines = lines.filter(F.btrim("string", F.lit(SPACES)) != "")
-    return lines.select("doc_id", "node", "line", words(F.col("string")).alias("words"))
+    lines = base.select("doc_id", "node", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    odd = F.lit(False)
+    for space in _OTHER_SPACES:
+        odd = odd | F.contains("raw", F.lit(space))
+    plain = F.when(odd, F.btrim(F.regexp_replace("raw", "[\\x20\\x09-\\x0D]+", " "))).otherwise(F.btrim("raw"))
+    return lines.select("doc_id", "node", "line", plain.alias("string")).filter("string <> ''")
 
 
 def _identity() -> list[Column]:
-    return [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2")]
+    return [F.xxhash64("string").alias("h1"), F.xxhash64(F.lit(7), "string").alias("h2")]
 
 
 def _place() -> Column:
@@ -32,22 +36,30 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("line").alias("line"))
 
 
+def _n_words() -> Column:
+    """Words of a line whose words are parted by single spaces."""
+    return F.octet_length("string") - F.octet_length(F.replace(F.col("string"), F.lit(" "), F.lit(""))) + 1
+
+
 def _end_keys(least: int) -> list[Column]:
-    """Keys of both ends of a line. Two lines that differ by one word share one of them.
+    """Keys of both ends of a line of ``n`` words. Two lines that differ by one word share one of them.
 
     An end is the largest power of two that is at most half the line, so the two ends do not overlap and one edit leaves
-    one of them alone. A line at whose length the power changes also has the ends of lines one word shorter.
+    one of them alone. A line at whose length the power changes also has the ends of lines one word shorter. With a key
+    goes the range of places [lo, hi) at which lines that share it can differ.
     """
-    n = F.size("words")
+    n = F.col("n")
 
     def end(size: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1), F.length(F.bin(size)) - 2)
 
     keys = []
     for k, wanted in ((end(n), n >= least), (end(n - 1), (n > least) & (end(n) != end(n - 1)))):
-        first, last = F.slice("words", 1, k), F.slice("words", n - k + 1, k)
-        keys += [F.when(wanted, F.xxhash64(k, F.lit(side), part)) for side, part in enumerate((first, last))]
-    return [key.alias(f"k{i}") for i, key in enumerate(keys)]
+        first = F.call_function("substring_index", F.col("string"), F.lit(" "), k)
+        last = F.call_function("substring_index", F.col("string"), F.lit(" "), -k)
+        for side, (part, lo, hi) in enumerate(((first, k, n), (last, F.lit(0), n - k))):
+            keys.append(F.when(wanted, F.struct(F.xxhash64(k, F.lit(side), part).alias("key"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))))
+    return keys
 
 
 def _without_each(w: Column) -> Column:
@@ -99,44 +111,43 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def _in_map(keys: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows whose h1 may be among those of ``keys``; a bitmap of fixed size is broadcast, so none that is there is lost."""
-    bit = F.pmod("h1", F.lit(MAP_BITS)) + 1
-    bitmaps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("slot"))
-    bitmaps = bitmaps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    marked = rows.withColumn("bit", bit).join(F.broadcast(bitmaps), F.bitmap_bucket_number("bit") == F.col("slot"))
-    place = F.bitmap_bit_position("bit")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return marked.filter(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1).select(rows.columns)
+    slot, bit = F.pmod("h1", F.lit(MAP_ROWS)), F.shiftright("h1", 40).bitwiseAND(63).cast("int")
+    bits = keys.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bit"))
+    bits = bits.groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    marked = rows.withColumn("slot", slot).join(F.broadcast(bits), "slot")
+    return marked.filter(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(1) == 1).select(rows.columns)
 
 
-def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+def _near(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(h1, h2)`` of the lines within one edit of an earlier line."""
-    ends = distinct.select("h1", "h2", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("key"))
-    shared = ends.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key")
-    partnered = ends.join(shared, "key").select("h1", "h2").distinct()
-    partnered = materialize(partnered.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]))
+    ends = distinct.select("h1", "h2", "first", F.explode("ends").alias("e")).select("h1", "h2", "first", "e.*")
+    shared = ends.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least < most").select("key")
+    partnered = ends.join(shared, "key").groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    partnered = materialize(partnered)
 
-    scanned = _occurrences(docs, id_col, text_col).filter(F.size("words") >= least)
-    scanned = scanned.select(*_identity(), _place().alias("place"), "words")
+    scanned = _occurrences(docs, id_col, text_col).select(*_identity(), _place().alias("place"), "string")
     found = _in_map(partnered, scanned).join(partnered, ["h1", "h2"]).filter(F.col("place").eqNullSafe(F.col("first")))
-    lines = materialize(found.select("h1", "h2", "place", "words").dropDuplicates(["h1", "h2"]))
+    # numbered in the order of their places: a line's number says which line is earlier
+    ordered = found.dropDuplicates(["h1", "h2"]).orderBy("place", "h1", "h2").withColumn("id", F.monotonically_increasing_id())
+    lines = materialize(ordered.select("id", "h1", "h2", F.split("string", " ").alias("words"), "lo", "hi"))
 
-    who = F.struct("place", "h1", "h2").alias("who")
-    left_out = materialize(lines.select(who, F.posexplode(_without_each(F.col("words"))).alias("at", "key")))
+    left_out = lines.select("id", "lo", "hi", F.posexplode(_without_each(F.col("words"))).alias("at", "key"))
+    left_out = materialize(left_out.filter("at >= lo AND at < hi").select("id", "at", "key"))
     # the same line but for the word at one place: all of a bucket are alike, its first one stands for it
-    firsts = left_out.groupBy("key", "at").agg(F.min("who").alias("other"), F.max("who").alias("last")).filter("other < last")
-    changed = left_out.join(firsts.select("key", "at", "other"), ["key", "at"]).filter("who > other").select("who", "other")
+    firsts = left_out.groupBy("key", "at").agg(F.min("id").alias("other"), F.max("id").alias("last")).filter("other < last")
+    changed = left_out.join(firsts.select("key", "at", "other"), ["key", "at"]).filter("id > other").select("id", "other")
     # a line that another one is with a word more
-    whole = lines.select(_full(F.col("words")).alias("key"), who.alias("short"))
-    longer = left_out.select("key", F.col("who").alias("long")).join(whole, "key")
+    whole = lines.select(_full(F.col("words")).alias("key"), F.col("id").alias("short"))
+    longer = left_out.select("key", F.col("id").alias("long")).join(whole, "key").select("long", "short")
+    longer = materialize(longer)
     first_longer = longer.groupBy("short").agg(F.min("long").alias("long")).filter("long < short")
-    pairs = changed.unionAll(longer.filter("short < long").select(F.col("long").alias("who"), F.col("short").alias("other")))
-    pairs = pairs.unionAll(first_longer.select(F.col("short").alias("who"), F.col("long").alias("other"))).distinct()
+    pairs = changed.unionAll(longer.filter("short < long").select(F.col("long").alias("id"), F.col("short").alias("other")))
+    pairs = pairs.unionAll(first_longer.select(F.col("short").alias("id"), F.col("long").alias("other"))).distinct()
 
-    own = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("words").alias("wa"))
-    others = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("words").alias("wb"))
-    pairs = pairs.select(F.col("who.h1").alias("a1"), F.col("who.h2").alias("a2"), F.col("other.h1").alias("b1"), F.col("other.h2").alias("b2"))
-    checked = pairs.join(own, ["a1", "a2"]).join(others, ["b1", "b2"]).filter(within_one_edit(F.col("wa"), F.col("wb")))
-    return checked.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct()
+    own = lines.select("id", "h1", "h2", F.col("words").alias("mine"))
+    others = lines.select(F.col("id").alias("other"), F.col("words").alias("theirs"))
+    checked = pairs.join(own, "id").join(others, "other").filter(within_one_edit(F.col("mine"), F.col("theirs")))
+    return checked.select("h1", "h2").distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -148,19 +159,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     inserted, left out or changed. Whether that earlier line itself goes plays no part, so the order of work cannot matter.
 
     Equal lines are merged first. Lines that share neither end with another one have no partner and are left aside.
-    Each other line emits the hash of every variant with one word left out; equal variants meet in a join, in which only
+    Each other line emits the hash of every variant with one word left out outside the shared end; equal variants meet in a join, in which only
     a variant's earliest line is looked at, so no pairs of a bucket are listed; the words of every pair found are
     compared. Rows that repeat id and text are one place.
     """
-    lines = _occurrences(docs, id_col, text_col)
-    ends = _end_keys(min_words)
-    occurrences = materialize(lines.select("doc_id", "node", "line", *_identity(), *ends))
-    keys = [f"k{i}" for i in range(len(ends))]
-    distinct = occurrences.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), *(F.min(k).alias(k) for k in keys))
+    lines = _occurrences(docs, id_col, text_col).withColumn("n", _n_words())
+    ends = F.array_compact(F.array(*_end_keys(min_words))).alias("ends")
+    occurrences = materialize(lines.select("doc_id", "node", "line", *_identity(), ends))
+    distinct = occurrences.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.first("ends").alias("ends"))
     distinct = materialize(distinct)
-    near = _near(distinct, docs, id_col, text_col, min_words).withColumn("near", F.lit(True))
+    near = _near(distinct, docs, id_col, text_col).withColumn("near", F.lit(True))
     verdict = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    judged = occurrences.drop(*keys).join(verdict, ["h1", "h2"])
+    judged = occurrences.drop("ends").join(verdict, ["h1", "h2"])
     is_near = F.coalesce("near", F.lit(False))
     is_exact = ~is_near & (_place() > F.col("first"))
     return judged.groupBy("doc_id", "node").agg(

@@ -64,7 +64,9 @@ def test_lines_within_one_edit_share_an_end(spark):
         for at in range(n):
             lines += [(w, w[:at] + ["new"] + w[at + 1 :]), (w, w[:at] + ["new"] + w[at:]), (w + ["z"], w)]
     frame = spark.createDataFrame([(i, side, x) for i, p in enumerate(lines) for side, x in enumerate(p)], "i int, side int, words array<string>")
-    keys = frame.select("i", "side", F.array_compact(F.array(*_end_keys(4))).alias("k"))
+    frame = frame.withColumn("n", F.size("words")).withColumn("string", F.array_join("words", " "))
+    assert frame.filter(line_dedup._n_words() != F.col("n")).count() == 0
+    keys = frame.select("i", "side", F.array_compact(F.array(*_end_keys(4)))["key"].alias("k"))
     pairs = keys.filter("side = 0").alias("a").join(keys.filter("side = 1").alias("b"), "i")
     assert pairs.filter(~F.arrays_overlap("a.k", "b.k")).count() == 0
 
@@ -79,9 +81,9 @@ def test_variants_and_edits(spark):
     assert pairs.filter(within_one_edit(F.col("a"), F.col("b")) != F.col("same")).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1 << 23, 32768])
-def test_texts(spark, monkeypatch, bits):
-    monkeypatch.setattr(line_dedup, "MAP_BITS", bits)
+@pytest.mark.parametrize("rows", [1 << 17, 2])
+def test_texts(spark, monkeypatch, rows):
+    monkeypatch.setattr(line_dedup, "MAP_ROWS", rows)
     base = "one two three four five six seven eight nine"
     long = " ".join(f"w{i}" for i in range(5000))
     rows = [
