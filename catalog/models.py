@@ -114,7 +114,7 @@ def icc_anova(t):
 @query("boot_mean_stability")
 def boot_mean_stability(t):
     values = windows.window_values(t.scored(), make_windows(t), HOURS, "anger", "before")
-    return rounded(stats.boot_mean_stability(values, reps=200))
+    return rounded(stats.boot_mean_stability(values, reps=1000))
 
 
 # --- regressions -----------------------------------------------------------
@@ -159,7 +159,7 @@ def random_intercept_users(t):
 @query("cluster_boot_ols")
 def cluster_boot_ols(t):
     w = windows.with_untrust_degree(make_windows(t))
-    draws = regressions.cluster_boot_ols(w, "author_id", "mean_anger_after", ["untrustworthy"], reps=200)
+    draws = regressions.cluster_boot_ols(w, "author_id", "mean_anger_after", ["untrustworthy"], reps=1000)
     return rounded(regressions.percentile_ci(draws, ["term"]).drop("or_lower", "or_upper"))
 
 
@@ -190,7 +190,7 @@ def logit_activity(t):
 
 @query("boot_logit")
 def boot_logit(t):
-    draws = regressions.boot_logit(make_model_users(t), "author_id", "y", ["anger_baseline", "fear_baseline"], reps=100)
+    draws = regressions.boot_logit(make_model_users(t), "author_id", "y", ["anger_baseline", "fear_baseline"], reps=1000)
     return rounded(regressions.percentile_ci(draws, ["term"]))
 
 

@@ -5,7 +5,6 @@ Matching runs on distinct domains; URLs are joined to the finished domain map.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import pandas as pd
