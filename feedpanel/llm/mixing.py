@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+from math import sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
