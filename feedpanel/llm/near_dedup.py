@@ -7,7 +7,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedpanel.llm.classes import connected
@@ -17,8 +17,7 @@ from feedpanel.session import materialize
 _STEP = np.uint64(0xD1342543DE82EF95)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MASK = (1 << 64) - 1
-LEADS = 32
-
+_MAP = 4  # words of the bitmap of a text's differences
 
 def _uniform(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -159,13 +158,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.filter(F.col("same") / union >= similarity).select("a", "b")
 
 
-def _remaining(crowded: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets that hold three texts or more, not all of one class."""
-    placed = crowded.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
-    mixed = mixed.filter("lo < hi AND members > 2").select("bucket", "members")
-    lots = F.ceil(F.col("members") / LEADS)
-    return placed.join(mixed, "bucket").withColumn("lot", F.pmod(F.xxhash64("node"), lots)).withColumn("lots", lots)
+def _crowded(members: DataFrame) -> DataFrame:
+    """``(node, lead)``: texts that share a bucket, with the bucket's lead, its text that meets the most others."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("met")).filter("met > 1")
+    shared = materialize(members.join(sizes, "bucket"))
+    known = shared.groupBy("node").agg(F.sum("met").alias("known"))
+    shared = shared.select("bucket", "node").join(known, "node")
+    leads = shared.groupBy("bucket").agg(F.max(F.struct("known", "node"))["node"].alias("lead"))
+    return shared.select("bucket", "node").join(leads, "bucket").select("node", "lead").distinct()
+
+
+def _differences(tested: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """How texts differ from their lead, where the texts around a lead are not all of one class.
+
+    ``more`` and ``less`` are the elements that only the text and only the lead has; ``far`` tells that the two are not linked.
+    """
+    roots = classes.select("node", "root")
+    placed = tested.join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left").withColumn("root", F.coalesce("rb", "b"))
+    mixed = placed.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("a")
+    lead = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
+    text = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    rows = placed.select("a", "b", "root").join(mixed, "a").join(lead, "a").join(text, "b")
+    rows = rows.select("a", "b", "root", F.size("eb").alias("n"), F.size("ea").alias("na"), F.array_except("eb", "ea").alias("more"), F.array_except("ea", "eb").alias("less"))
+    same = F.col("n") - F.size("more")
+    return rows.withColumn("far", same / (F.col("na") + F.size("more")) < similarity)
+
+
+def _bits(elements: Column, part: int) -> Column:
+    """The ``part``-th 64 bits of a bitmap of the elements."""
+    def step(a: Column, e: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), e.bitwiseAND(63).cast("int"))
+        return F.when(F.shiftright(e, 8).bitwiseAND(_MAP - 1) == part, a.bitwiseOR(bit)).otherwise(a)
+
+    return F.aggregate(elements, F.lit(0).cast("bigint"), step)
+
+
+def _unlinked_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs around a lead that may be linked although their classes differ; no linked pair is missed.
+
+    Sets x, y are linked if they differ in at most c (|x| + |y|) elements, c = (1 - s) / (1 + s). With their differences
+    dx, dy from the lead that is |dx| + |dy| - 2 |dx & dy|, so they need that many common differences. One of the two,
+    say x, is far from the lead, else both were in its class; so they need more than (|dy| + c (|lead| - |y|)) / 2. If
+    o is the first number above that, any |dy| - o + 1 differences of y hold a common one: those that only y has are
+    taken first, and what the lead alone has if they do not suffice. Pairs whose sizes or bitmaps rule out enough common
+    differences are dropped in the join; a pair that meets on the lead's elements has none of the others in common.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    each = rows.select(
+        "a", "root", F.col("b").alias("x"), "n", F.size("more").alias("m"), F.size("less").alias("l"), "far", "more", "less",
+        (F.floor((F.size("more") + F.size("less") + c * (F.col("na") - F.col("n")) - 1e-6) / 2) + 1).alias("least"),
+    ).withColumn("spare", (F.col("m") + F.col("l") - F.col("least") + 1).cast("int"))
+    for i in range(_MAP):  # of every difference one of 256 bits
+        each = each.withColumn(f"w{i}", _bits(F.concat("more", "less"), i))
+    each = each.withColumn("w", F.expr(" + ".join(f"bit_count(w{i})" for i in range(_MAP))))
+    some_more = F.slice("more", 1, F.greatest(F.lit(0), F.least("m", "spare")))
+    some_less = F.slice("less", 1, F.greatest(F.lit(0), F.col("spare") - F.col("m")))
+    maps = [f"w{i}" for i in range(_MAP)]
+    y_names = {"x": "y", "root": "ry", "n": "ny", "m": "my", "l": "ly", "w": "v"} | {w: w.replace("w", "v") for w in maps}
+    # common differences share their bits, but for those that share a bit with another one
+    shared = " + ".join(f"bit_count({w} & {y_names[w]})" for w in maps) + " + least(m + l - w, my + ly - v)"
+
+    def met(x_elements, y_elements, common: str) -> DataFrame:
+        kept = ["a", "x", "root", "n", "m", "l", "w", *maps]
+        x = each.filter("far").select(*kept, F.explode(x_elements).alias("element"))
+        y = each.select(*kept, F.explode(y_elements).alias("element")).withColumnsRenamed(y_names)
+        possible = f"root <> ry AND 2 * least({common}, {shared}) >= m + l + my + ly - {c!r} * (n + ny) - 1e-6"
+        return x.join(y, ["a", "element"]).filter(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    by_more = met("more", some_more, "least(m, my) + least(l, ly)")
+    by_less = met("less", some_less, "least(l, ly)")
+    return by_more.unionAll(by_less).distinct()
 
 
 def near_duplicates(
@@ -179,11 +241,13 @@ def near_duplicates(
     1 per distinct shingle ("set") or its number of occurrences ("count"). ``node`` is the 64-bit hash of the text, so
     equal texts are one node; ``class_id`` is the least id of the class and ``kept`` is true for one (id, text) of it.
 
-    Signatures come from DartMinHash; texts that agree in a band meet in its bucket, where all are compared with the
-    bucket's least node, exactly, on their shingles. Buckets that still hold texts of several classes are gone through
-    again, ``LEADS`` of their members at a time against the others, until every pair that met has been compared or
-    lies in one class. Pairs of one class are not listed. A pair at the similarity limit meets in no bucket with
-    probability (1 - similarity ** band_rows) ** bands, 7 in a million by default.
+    Signatures come from DartMinHash; texts that agree in a band meet in its bucket. Each text is compared with the
+    leads of its buckets, exactly, on the shingles. Other pairs of a bucket need a look only if the texts around the lead
+    are not all of one class; those that can still be linked are found by a join of their differences from the lead
+    (``_unlinked_pairs``) and compared, so every linked pair that meets counts and the pairs of a class are not listed.
+    Texts around one lead that fall into several large groups, each alike in itself but not to the lead, are the case
+    that still lists many pairs. A pair at the similarity limit meets in no bucket with probability
+    (1 - similarity ** band_rows) ** bands, 7 in a million by default.
 
     Null, empty and blank texts have no shingle: each is a class of its own. A text of fewer words than ``width`` has
     one shingle. Rows without an id join classes, but are kept only if no row with an id is there; a class without
@@ -199,8 +263,7 @@ def near_duplicates(
     nodes = worded.groupBy("_node").agg(F.min("_id").alias("_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = materialize(nodes)
     member = nodes.select(F.col("_node").alias("node"), F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
-    crowded = materialize(member.join(shared.select("bucket", "lead"), "bucket"))
+    crowded = materialize(_crowded(member))
 
     wanted = crowded.select("node").distinct().join(nodes.select(F.col("_node").alias("node"), "_id"), "node")
     wanted = wanted.select("_id", F.col("node").alias("_node"))
@@ -208,27 +271,11 @@ def near_duplicates(
     sets = texts.mapInArrow(_element_sets(width, weights), "node bigint, elements array<bigint>")
     sets = materialize(sets.dropDuplicates(["node"]))
 
-    tested = crowded.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    tested = crowded.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     edges = materialize(_verified(tested, sets, similarity))
-    classes = connected(edges)
-    rest, lot = _remaining(crowded, classes), 0
-    rest = materialize(rest)
-    lots = rest.agg(F.max("lots")).first()[0] or 0
-    while lot < lots:
-        left = rest.filter(F.col("lot") == lot).select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-        right = rest.filter(F.col("lot") >= lot).select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), "lot")
-        met = left.join(right, "bucket").filter((F.col("rx") != F.col("ry")) & ((F.col("lot") > lot) | (F.col("x") < F.col("y"))))
-        met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = materialize(_verified(met.join(tested, ["a", "b"], "left_anti"), sets, similarity))
-        lot += 1
-        if not found.isEmpty():
-            edges = edges.unionAll(found)
-            classes = connected(edges)
-            if lot < lots:
-                same_lots = rest.select("bucket", "node", "lot", "lots")
-                placed = same_lots.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-                mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-                rest = materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi"))
+    differences = materialize(_differences(tested, connected(edges), sets, similarity))
+    more = _verified(_unlinked_pairs(differences, similarity), sets, similarity)
+    classes = connected(edges.unionAll(more))
 
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_node"))
     placed = nodes.select("_node", "_id", "copies").join(classes, F.col("_node") == F.col("node"), "left")
