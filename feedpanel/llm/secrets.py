@@ -28,6 +28,7 @@ SENSITIVE = (
 ).split()
 _SENSITIVE = re.compile("|".join(SENSITIVE))
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~-]{16,}")
+_HEAD, _TAIL = re.compile(r"[A-Za-z0-9+/_=~-]*"), re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~-]*\Z")
 IDENTIFIERS = (
     "abstract access account action address admin alias allow amount application argument array assert async attribute auth "
     "authentication authorization backend base64 batch binary block boolean buffer build button bytes cache callback category "
@@ -46,8 +47,11 @@ IDENTIFIERS = (
 #: Runs that look random to a compressor, but are none.
 SEQUENCES = "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 01234567890123456789 2024-01-01T00:00:00 qwertyuiop xxxxxxxxxxxxxxxxxxxx"
 SURROUNDING = 256
-#: Marginal bytes per character from which a string counts as incompressible. So short a string is not entropy-coded:
-#: a random one needs 1 byte per character, an identifier of known words 0.5 to 0.8.
+#: Characters measured at a time. zstandard entropy-codes literals from 64 bytes on, which takes a random string of few
+#: different characters for a compressible one; below that a random string needs 1 byte per character whatever its alphabet.
+PIECE = 63
+#: Marginal bytes per character from which a string counts as incompressible: a random one needs 1, an identifier of
+#: known words 0.5 to 0.8.
 LEAST_BYTES_PER_CHAR = 0.9
 
 
@@ -70,11 +74,35 @@ class Novelty:
         self.level = level
 
     def bytes_of(self, before: str, string: str, after: str) -> int:
-        """Bytes that ``string`` adds to the compressed size of its surroundings, its own copies there left out."""
-        before, after = before.replace(string, ""), after.replace(string, "")
-        known = zstandard.ZstdCompressionDict(self.dictionary + before.encode() + b"\n" + after.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        """Bytes that ``string`` adds to the compressed size of its surroundings, its own copies there left out.
+
+        It is measured in even pieces of ``PIECE`` characters at most, each behind what precedes it, so that literals
+        are never entropy-coded and only repeats of the dictionary, the surroundings and the string itself save bytes.
+        """
+        before, after = _without_copies(before, string, after)
+        parts = -(-len(string) // PIECE)
+        cuts = [len(string) * i // parts for i in range(parts + 1)]
+        total = 0
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            known = self.dictionary + (before + string[max(0, a - SURROUNDING) : a]).encode() + b"\n" + after.encode()
+            total += self._added(known, string[a:b].encode())
+        return total
+
+    def _added(self, known: bytes, piece: bytes) -> int:
+        known = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         packer = zstandard.ZstdCompressor(level=self.level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
-        return len(packer.compress(string.encode())) - len(packer.compress(b""))
+        return len(packer.compress(piece)) - len(packer.compress(b""))
+
+
+def _without_copies(before: str, string: str, after: str) -> tuple[str, str]:
+    """The surroundings without copies of the string, also those that their outer ends cut."""
+    before, after = before.replace(string, ""), after.replace(string, "")
+    head, tail = _HEAD.match(before)[0], _TAIL.search(after)[0]
+    if len(head) >= 16 and string.endswith(head):
+        before = before[len(head) :]
+    if len(tail) >= 16 and string.startswith(tail):
+        after = after[: len(after) - len(tail)]
+    return before, after
 
 
 def novel_spans(text: str, novelty: Novelty, least: float) -> list[tuple[int, int]]:
@@ -144,7 +172,7 @@ def secret_spans(
     Base spans match the patterns (assignments, access keys, long hex). Added spans ("novel") are strings of 16 characters
     or more with letters and digits, on a line with a sensitive word, that overlap no base span and stay incompressible:
     a zstandard compressor primed with ``identifiers`` and the ``SURROUNDING`` characters on both sides still needs
-    ``least`` bytes per character for them. A string made of identifiers or of what stands around it costs little and is
+    ``least`` bytes per character for them, whatever their length and alphabet (see ``Novelty.bytes_of``). A string made of identifiers or of what stands around it costs little and is
     not reported; copies of the string itself explain nothing. ``n_assign``, ``n_access``, ``n_hex`` and ``base_sha256`` are of the base spans, ``spans`` of all.
 
     Null and empty texts have no span. Ids may be null or repeat; each row is scanned by itself, in time linear in its
