@@ -32,8 +32,8 @@ def _identity() -> list[Column]:
 
 
 def _place() -> Column:
-    """Order of lines: by document id (null last), then line."""
-    return F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("line").alias("line"))
+    """Order of lines: by document id (null last), line, and the text's hash, which tells apart texts that share an id."""
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("line").alias("line"), F.col("node").alias("node"))
 
 
 def _n_words() -> Column:
@@ -154,7 +154,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``(doc_id, node, n_lines, exact, near)`` per distinct (id, text) with a line: the numbers of the lines to drop.
 
     Lines are what newlines part, their numbers begin at 0; only lines with a word count. The earliest occurrence (by id,
-    null last, then line) of a line stays: later lines with the same words go (``exact``), and so do all occurrences of
+    null last, then line, then the text's hash where texts share an id) of a line stays: later lines with the same words go (``exact``), and so do all occurrences of
     a line of ``min_words`` words or more that is within one edit of an earlier one of that length (``near``): a word
     inserted, left out or changed. Whether that earlier line itself goes plays no part, so the order of work cannot matter.
 

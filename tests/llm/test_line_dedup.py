@@ -97,3 +97,16 @@ def test_texts(spark, monkeypatch, rows):
         (1, f"{base}\nkeep me\n"), (3, "  \nown line"), (4, None), (5, ""), (6, " \n "), (8, "fine\n"), (8, "fine\n"), (None, "last"), (9, long)], key=str)
     assert got(line_report(docs)) == brute([r[:2] for r in rows], 8)
     assert line_report(docs.limit(0)).count() == 0 and drop_lines(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    header = "one two three four five six seven eight nine"
+    rows = [(None, f"{header}\nown a"), (None, f"{header}\nown b"), (None, f"{header}\nown b"), (1, "short\nx"), (1, "short\ny"),
+            (None, f"last\n{header} ten"), (2, "p\nq"), (2, "p\nq")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [x for r in drop_lines(docs).collect() for x in r.text.split("\n")]
+    # rows that repeat id and text are one place, so the header stays once or twice
+    assert kept.count(header) in (1, 2) and kept.count("short") == 1 and kept.count("p") == kept.count("q") == 2
+    assert kept.count(f"{header} ten") == 0 and kept.count("own a") == 1 and kept.count("own b") == 2
+    report = [(r.doc_id, r.n_exact, r.n_near) for r in line_report(docs).collect()]
+    assert sum(e for d, e, _ in report if d == 1) == 1 and sum(e for d, e, _ in report if d is None) in (1, 2)
