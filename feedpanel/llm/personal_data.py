@@ -161,7 +161,7 @@ _PLUS = re.compile(r"(?<![A-Za-z])plus\x20+(?=[0-9])", re.I | re.A)
 
 
 def plain_digits(text: str) -> Layer:
-    """Runs of three spelled digits or more become digits, each word by itself; "plus" before a digit becomes +."""
+    """Runs of three spelled digits or more become digits, each word by itself."""
     edits = []
     for run in _SPELLED.finditer(text):
         end = None
@@ -175,6 +175,7 @@ def plain_digits(text: str) -> Layer:
 
 
 def plain_plus(text: str) -> Layer:
+    """"plus" before a digit becomes +."""
     return Layer(text, [(m.start(), m.end(), "+") for m in _PLUS.finditer(text)])
 
 
@@ -205,6 +206,21 @@ def plain_marks(text: str) -> Layer:
     return Layer(text, apart)
 
 
+_AT_HOST = re.compile(r"[\x20\t]{1,3}at[\x20\t]{1,3}(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*?\.[A-Za-z]{2,}(?![A-Za-z0-9-]))", re.I | re.A)
+_MAILBOX = re.compile(
+    r"(?:(?<![A-Za-z0-9._%+-])[A-Za-z][A-Za-z0-9%+-]{0,62}[._][A-Za-z0-9._%+-]{0,62}|(?<![A-Za-z])e?-?mail[\x20\t]?:[\x20\t]{0,3}[A-Za-z0-9._%+-]{0,63})[A-Za-z0-9]\Z", re.I | re.A
+)
+
+
+def plain_at(text: str) -> Layer:
+    """A bare "at" before a plain host becomes @ behind a name with a dot or underscore in it, or behind "mail:" and any name.
+
+    "jane.doe at example.com" and "E-mail: jane at example.com" are addresses; "jane at example.com" has the form of
+    "look at example.com" and stays.
+    """
+    return Layer(text, [(*m.span(), "@") for m in _AT_HOST.finditer(text) if _MAILBOX.search(text[max(0, m.start() - 160) : m.start()])])
+
+
 _MARK_CUE = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]|\sdot\s", re.I | re.A)
 
 
@@ -223,9 +239,12 @@ def disguised_spans(text: str) -> dict[str, list[Span]]:
     low = now.lower()
     if any(name in low for name in _NAMES) and _SPELLED_CUE.search(now):
         put(plain_digits)
+    if "plus" in low:
         put(plain_plus)
     if ("dot" in low or any(c in now for c in "[({<")) and _MARK_CUE.search(now):
         put(plain_marks)
+    if "at" in low:
+        put(plain_at)
     if not layers:
         return {}
     found = {}

@@ -59,6 +59,24 @@ def test_clean_texts_stay_clean(text):
     assert not any(all_spans(text)[1].values())
 
 
+@pytest.mark.parametrize("text,kind,part", [
+    ("call plus 49 170 1234567 today", "phone", "plus 49 170 1234567"),
+    ("room one two, call plus 49 170 1234567 today", "phone", "plus 49 170 1234567"),
+    ("write jane.doe at example.com today", "email", "jane.doe at example.com"),
+    ("write jane_doe AT mail.example.com.", "email", "jane_doe AT mail.example.com"),
+    ("E-mail: jane at example.com", "email", "jane at example.com"),
+    ("jane at example.com", "email", None),
+    ("look at example.com and meet us AT example.com", "email", None),
+    ("e-mail us at example.com", "email", None),
+    ("jane.doe at 5.30pm. Then jane.doe at home", "email", None),
+    ("five plus 1200 is more", "phone", None),
+])
+def test_cues_of_their_own(text, kind, part):
+    base, every = all_spans(text)
+    added = [s for s in every[kind] if s not in base[kind]]
+    assert [text[a:b] for a, b in added] == ([part] if part else [])
+
+
 def test_layer_maps_back():
     layer = Layer("abXXcdYef", [(2, 4, "1"), (6, 7, "")])
     assert layer.text == "ab1cdef"
