@@ -38,11 +38,12 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray
     """Runs of non-spaces of a block, and each row's number of marks cut off their ends.
 
     The tokenizer lower-cases, drops white space and starts a new piece between a letter or digit and a following mark.
-    So A-Z fold and one final comma or full stop behind an ASCII letter or digit counts by itself. A block with a
-    special token's opening keeps its case, since those are looked for before lower-casing.
+    So one final comma or full stop behind an ASCII letter or digit counts by itself, and A-Z fold, which changes no
+    count, in runs of ASCII only: elsewhere a letter may compose with marks behind it before it is lower-cased. A block
+    with a special token's opening keeps its case, since those are looked for before lower-casing.
     """
-    data = data.copy() if b"<|" in data.tobytes() else LOWER[data]
     words = Words(data, offsets, SPACE)
+    words.data = data = data.copy() if b"<|" in data.tobytes() else _folded(data, words)
     last, before = data[words.end - 1], data[np.maximum(words.end - 2, 0)]
     cut = np.flatnonzero(_MARK[last] & _ALNUM[before] & (words.end - words.start > 1))
     words.end[cut] -= 1
@@ -50,6 +51,18 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray
     return words, np.bincount(np.searchsorted(words.first, cut, "right") - 1, minlength=len(offsets) - 1)
 
 
+def _folded(data: np.ndarray, words: Words) -> np.ndarray:
+    """The block with A-Z folded in words of ASCII only."""
+    wide, low = np.flatnonzero(data > 127), LOWER[data]
+    if not len(wide):
+        return low
+    odd = np.flatnonzero(np.searchsorted(wide, words.end) > np.searchsorted(wide, words.start))
+    start, length = words.start[odd], (words.end - words.start)[odd]
+    at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+    low[at] = data[at]
+    return low
+
+
 def _strings(words: Words, which: np.ndarray) -> pa.Array:
     start, length = words.start[which], (words.end - words.start)[which]
     offsets = np.concatenate([[0], np.cumsum(length)])

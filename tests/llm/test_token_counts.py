@@ -38,3 +38,12 @@ def test_odd_texts(spark, tokenizer):
     want = sorted((i is None, i, expected(tokenizer, t), len((t or "").encode())) for i, t, _ in rows)
     assert got == want
     assert token_counts(docs.limit(0), lambda: PATH).count() == 0
+
+
+def test_letters_that_compose_before_folding(spark, tokenizer):
+    parts = ["H\u0331", "T\u0308", "Y\u030a", "W\u030a", "J\u030c", "A\u030a", "H\u20d0\u0331", "S\u0323\u0307", "K\u212a"]
+    texts = [f"{a}{p}{b}" for p in parts for a, b in (("", ""), ("x", "y"), ("X", "Y."), ("Word ", " Word,"), ("\u00c9A", "B"))]
+    for neighbour in ("", "<|endoftext|>"):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, neighbour])], "doc_id bigint, text string").coalesce(1)
+        got = {r.doc_id: r.n_tokens for r in token_counts(docs, lambda: PATH).collect()}
+        assert [got[i] for i in range(len(texts))] == [expected(tokenizer, t) for t in texts]
