@@ -21,7 +21,8 @@ def paths(messages: DataFrame) -> DataFrame:
 
     ``up`` is the node's distance from the leaf. Every round joins the pointers of all nodes with themselves, which
     doubles their reach, and lets each path found so far reach as much further up; so the number of rounds is the
-    logarithm of the greatest depth, and the rows grow with the length of the paths only. A node whose parent is null or
+    logarithm of the greatest depth, and the rows grow with the length of the paths only. Every round stores what is
+    found as one table, so the plan of the result is the same at any depth. A node whose parent is null or
     missing is a root. Nodes on a cycle, and what answers them, have no root and are left out.
     """
     nodes = messages.select("tree", "node", "parent")
@@ -36,12 +37,12 @@ def paths(messages: DataFrame) -> DataFrame:
         further = materialize(further.filter(F.col("up") < largest))  # only a path into a cycle is longer
         if further.isEmpty():
             break
-        found = found.unionAll(further)
+        found = materialize(found.unionAll(further))
         reach *= 2
         onward = hop.select("tree", F.col("node").alias("to"), F.col("to").alias("next"))
         hop = materialize(hop.join(onward, ["tree", "to"]).select("tree", "node", F.col("next").alias("to")))
     rooted = found.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct()
-    return found.join(rooted, ["tree", "leaf"], "left_semi")
+    return materialize(found.join(rooted, ["tree", "leaf"], "left_semi"))
 
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:

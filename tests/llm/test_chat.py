@@ -61,3 +61,35 @@ def test_trees(spark):
     best = {r.tree: r for r in formatted(frame).collect()}
     assert [t[:2] for t in read_turns(best["t"].formatted)] == [("user", "m1"), ("assistant", "m2"), ("assistant", "m4")]
     assert [best["t"].formatted[s.start : s.end] for s in best["t"].loss] == ["m2", "m4"]
+
+
+def test_plan_does_not_grow_with_depth(spark):
+    def operators(depth):
+        rows = [("t", i, i - 1 if i else None, "user", "x", 0.0) for i in range(depth)]
+        frame = spark.createDataFrame(rows, "tree string, node int, parent int, role string, text string, score double")
+        plan = formatted(frame)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Join "), plan.count("Relation ")
+
+    assert operators(8) == operators(400)
+
+
+def test_branches_of_reply_trees(spark):
+    """Trees made from ids of the whole table: turn t answers t // 2, and its score follows from its text."""
+    rows = [(r.conv_id, r.turn, r.turn // 2 if r.turn else None, r.role, r.text, float(len(r.text) % 7)) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()]
+    frame = spark.createDataFrame(rows, "tree bigint, node bigint, parent bigint, role string, text string, score double")
+    trees = {}
+    for tree, node, parent, _, _, score in rows:
+        trees.setdefault(tree, {})[node] = (parent, score)
+    want = set()
+    for tree, nodes in trees.items():
+        leaves = []
+        for leaf in set(nodes) - {p for p, _ in nodes.values()}:
+            path, at = [leaf], nodes[leaf][0]
+            while at in nodes and at != path[-1]:
+                path.append(at)
+                at = nodes[at][0]
+            leaves.append((-sum(nodes[n][1] for n in path) / len(path), -len(path), leaf, tuple(path)))
+        for rank, (_, _, leaf, path) in enumerate(sorted(leaves)[:2], 1):
+            want |= {(tree, rank, leaf, node, up) for up, node in enumerate(path)}
+    got = {(r.tree, r["rank"], r.leaf, r.node, r.up) for r in best_paths(frame, 2).collect()}
+    assert got == want and max(r[1] for r in got) == 2
