@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedpanel.llm import chat, decontaminate, language, line_dedup, mixing, near_dedup, personal_data, quality, secrets, structure_repair, token_counts, twins
+from feedpanel.llm import chat, decontaminate, language, licenses, line_dedup, mixing, near_dedup, personal_data, quality, secrets, structure_repair, token_counts, twins
 from feedpanel.session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired turns of every conversation after the damage of the test."""
     turns = table(spark, sf_dir, "conversations")
     return structure_repair.repair_report(turns, structure_repair.damaged(turns))
+
+
+@query
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+ORACLE["op12_licenses"] = twins.licenses(licenses.templates())

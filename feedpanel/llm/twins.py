@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from feedpanel.llm.licenses import Template
 from feedpanel.llm.quality import RULES
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -76,3 +77,24 @@ SELECT d.doc_id, CAST(count(j.line) AS BIGINT) AS n_lines, CAST(coalesce(sum(CAS
   CAST(coalesce(sum(CASE WHEN near THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_near,
   coalesce(string_agg(CASE WHEN near OR exact THEN CAST(line AS VARCHAR) END, ',' ORDER BY line), '') AS dropped
 FROM documents d LEFT JOIN judged j ON d.doc_id = j.doc_id GROUP BY d.doc_id"""
+
+
+def licenses(known: list[Template]) -> str:
+    """Every word of every text meets every equal word of a template; places where enough of them agree are matches."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = ", ".join(f"({n}, {i}, '{w}', {int(i in t.keys)})" for n, t in enumerate(known) for i, w in enumerate(t.words))
+    heads = ", ".join(f"({n}, '{t.label}', {len(t.words)}, {len(t.keys)}, {t.least}, {t.base})" for n, t in enumerate(known))
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+placed AS (SELECT row, unnest(w) AS word, unnest(range(0, len(w))) AS spot FROM docs),
+templates(n, place, word, key) AS (VALUES {rows}),
+heads(n, label, size, keys, least, base) AS (VALUES {heads}),
+agreeing AS (SELECT row, n, spot - place AS begin, count(*) AS same, sum(key) AS same_keys FROM placed JOIN templates USING (word) GROUP BY ALL),
+found AS (SELECT * FROM agreeing JOIN heads USING (n) WHERE same >= least AND same_keys = keys),
+told AS (SELECT row, count(*) FILTER (WHERE base) AS n_base, min(begin) FILTER (WHERE base) AS first_word, max(begin) FILTER (WHERE base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+  max(CAST(same AS DOUBLE) / size) AS score FROM found GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN told USING (row)"""
