@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedpanel.llm import chat, decontaminate, language, licenses, line_dedup, mixing, near_dedup, personal_data, quality, secrets, structure_repair, token_counts, twins
+from feedpanel.llm import chat, decontaminate, language, licenses, line_dedup, mixing, near_dedup, personal_data, quality, secrets, structure_repair, token_counts, twins, whitening
 from feedpanel.session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,9 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_licenses"] = twins.licenses(licenses.templates())
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
