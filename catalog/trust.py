@@ -131,6 +131,25 @@ def match_fuzzy(t):
     return rounded(linking.match_fuzzy(hosts, sites(t)))
 
 
+_LONG = """hosts AS (SELECT DISTINCT l_suppkey, l_linenumber, concat('the-regional-observer-and-evening-courier-of-', md5('s' || l_suppkey), '.example-news.com') AS name FROM lineitem),
+ cut AS (SELECT DISTINCT substr(name, 1, 4) || substr(name, 5 + l_linenumber) AS host FROM hosts),
+ names AS (SELECT DISTINCT concat('the-regional-observer-and-evening-courier-of-', md5('s' || s_suppkey), '.example-news.com') AS ng_domain FROM supplier),
+ near AS (SELECT host, ng_domain, CAST(levenshtein(host, ng_domain) AS DOUBLE) / (length(host) + length(ng_domain)) AS far FROM cut, names WHERE levenshtein(host, ng_domain) * 100 < 3 * (length(host) + length(ng_domain)))"""
+
+
+# hosts lack up to seven characters of a name of 94; names differ in their digits by far more than may be, so the
+# nearest name of a host is the one it comes from, and its distance is what was left out
+@query("match_fuzzy_long", f"WITH {_LONG} SELECT host, ng_domain, {r('(1 - far) * 100', 'similarity')} FROM near p WHERE far = (SELECT min(far) FROM near q WHERE q.host = p.host)")
+def match_fuzzy_long(t):
+    def named(key):
+        return F.concat(F.lit("the-regional-observer-and-evening-courier-of-"), F.md5(F.concat(F.lit("s"), key).cast("binary")), F.lit(".example-news.com"))
+
+    names = t.table("supplier").select(named("s_suppkey").alias("ng_domain"))
+    lines = t.table("lineitem").select("l_suppkey", "l_linenumber").distinct().withColumn("name", named("l_suppkey"))
+    hosts = lines.select(F.concat(F.substr("name", F.lit(1), F.lit(4)), F.substr("name", F.col("l_linenumber").cast("int") + 5)).alias("host"))
+    return rounded(linking.match_fuzzy(hosts, names))
+
+
 @query("match_domains", f"{_MATCH} SELECT url, domain, ng_domain, matched_by FROM matched")
 def match_domains(t):
     return make_matched(t)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,23 +92,49 @@ def match_registered(
     return hosts.join(names, hosts["host"] == names["ng_domain"])
 
 
-def indel_distance(a: str, b: str) -> int:
-    """Insertions and deletions between two strings, by bit-parallel LCS."""
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & places.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    common = len(a) - row.bit_count()
-    return len(a) + len(b) - 2 * common
+def indel_distances(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Insertions and deletions between the strings of every pair.
+
+    Counts the longest common subsequences of a batch side by side: a pair's row is
+    a bit per character of ``a``, and each character of ``b`` moves all rows on by
+    one addition (bit-parallel, words of 64 bits with carry).
+    """
+    out = np.zeros(len(a), np.int64)
+    len_a, len_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    order = np.lexsort((len_b, -(-len_a // 64)))
+    for lo in range(0, len(order), 2048):
+        at = order[lo : lo + 2048]
+        words = max(1, -(-int(len_a[at].max()) // 64))
+        left = _code_points([a[i] for i in at], 64 * words, -1)
+        right = _code_points([b[i] for i in at], max(1, int(len_b[at].max())), -2)
+        row = np.full((len(at), words), ~np.uint64(0))
+        for j in range(right.shape[1]):
+            same = np.packbits(left == right[:, j, None], axis=1, bitorder="little").view(np.uint64)
+            hit = row & same
+            carry = np.zeros(len(at), np.uint64)
+            total = np.empty_like(row)
+            for w in range(words):
+                part = row[:, w] + hit[:, w]
+                total[:, w] = part + carry
+                carry = ((part < row[:, w]) | (total[:, w] < part)).astype(np.uint64)
+            row = total | (row & ~same)
+        common = np.bitwise_count(~row).sum(1).astype(np.int64)
+        out[at] = len_a[at] + len_b[at] - 2 * common
+    return out
+
+
+def _code_points(texts: list[str], width: int, fill: int) -> np.ndarray:
+    """Code points of every text, filled up to ``width``."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.arange(width) < np.array([len(t) for t in texts])[:, None]
+    out = np.full(inside.shape, fill, np.int64)
+    out[inside] = flat
+    return out
 
 
 @F.pandas_udf(IntegerType())
 def indel(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_distance(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(indel_distances(list(a), list(b)), dtype="int32")
 
 
 def indel_ratio(a, b):
@@ -162,42 +189,64 @@ def _fuzzy_by_deletion(hosts: DataFrame, rated: DataFrame, threshold: int) -> Da
     )
 
 
-def _fuzzy_by_pieces(hosts: DataFrame, rated: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of long names that may differ by three edits or more. A rated name is
-    cut into one piece more than edits are allowed, so one piece survives inside
-    the host, shifted by at most that many places; survivors are verified."""
+# The longest piece; shorter ones are taken where many edits are allowed.
+_PIECE = 4
+
+
+def _piece_length(threshold: int, shortest: int) -> int:
+    """Characters of a piece: as many as leave a pair that may match a shared one."""
     c = 100 - threshold
-    shortest = (_MAX_DELETIONS + 1) * (100 - c) // (2 * c) + 1  # the first length that allows more edits
-    size = F.length("ng_domain")
-    long_rated = rated.filter(size >= shortest).select(
-        "ng_domain", size.alias("len"), _max_edits_col(size, threshold).cast("int").alias("k")
-    )
-    cuts = long_rated.select(
-        "ng_domain", "len", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")
-    ).withColumns(
-        {"start": F.floor(F.col("i") * F.col("len") / (F.col("k") + 1)).cast("int") + 1,
-         "stop": F.floor((F.col("i") + 1) * F.col("len") / (F.col("k") + 1)).cast("int") + 1}
-    )
-    pieces = cuts.select(
-        "ng_domain", "len", "i", F.substr("ng_domain", F.col("start"), F.col("stop") - F.col("start")).alias("piece")
-    )
-    # the same places inside a host, for every length the partner may have
-    hlen = F.length("host")
-    widest = _max_edits_col(hlen + 1, threshold).cast("int") + 1
-    probe = hosts.filter(hlen >= shortest).select(
-        "host", F.explode(F.sequence(F.greatest(hlen - widest, F.lit(shortest)), hlen + widest)).alias("len")
+    for q in range(_PIECE, 0, -1):
+        # edits grow by less than one per step of (100 - c) / 2c characters, so the shortest names are the hardest
+        if all(q * max(-(-2 * c * n // (100 - c)) - 1, 0) < n - q + 1 for n in range(shortest, shortest + 200)):
+            return q
+    raise ValueError("below a similarity of 67 long names need not share a piece")
+
+
+def _rarest_pieces(names: DataFrame, col: str, counts: DataFrame, q: int, threshold: int) -> DataFrame:
+    """(col, piece): the pieces of which a match must share one, rarest first.
+
+    Every edit changes at most ``q`` pieces, so of a name's pieces all but q times
+    the edits survive; whichever do, one of the rarest ``q * edits + 1`` is among
+    them, on either side. Equal pieces of a name count one by one.
+    """
+    pieces = _pieces(names, col, q)
+    ranked = pieces.join(counts, "piece", "left").groupBy(col).agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))).alias("all")
     )
-    probe = probe.withColumn("k", _max_edits_col(F.col("len"), threshold).cast("int"))
-    probe = probe.select("host", "len", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).withColumns(
-        {"start": F.floor(F.col("i") * F.col("len") / (F.col("k") + 1)).cast("int") + 1,
-         "stop": F.floor((F.col("i") + 1) * F.col("len") / (F.col("k") + 1)).cast("int") + 1}
-    )
-    probe = probe.select(
-        "host", "len", "i", (F.col("stop") - F.col("start")).alias("width"),
-        F.explode(F.sequence(F.greatest(F.col("start") - F.col("k"), F.lit(1)), F.col("start") + F.col("k"))).alias("at"),
-    ).filter(F.col("at") + F.col("width") - 1 <= F.length("host"))
-    probe = probe.select("host", "len", "i", F.substr("host", F.col("at"), F.col("width")).alias("piece")).distinct()
-    pairs = probe.join(pieces, ["len", "i", "piece"]).select("host", "ng_domain").distinct()
+    kept = F.slice("all", 1, (q * _max_edits_col(F.length(col), threshold) + 1).cast("int"))
+    return ranked.select(col, F.explode(kept).alias("p")).select(col, "p.piece")
+
+
+def _pieces(names: DataFrame, col: str, q: int) -> DataFrame:
+    """(col, piece) of every run of ``q`` characters, numbered among its equals."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(col) - (q - 1)), lambda i: F.substr(F.col(col), i, F.lit(q)))
+    numbered = F.transform("runs", lambda x, i: F.struct(x.alias("run"), F.size(F.filter(F.slice("runs", F.lit(1), i), lambda y: y == x)).alias("no")))
+    return names.withColumn("runs", runs).select(col, F.explode(numbered).alias("piece"))
+
+
+def fuzzy_candidates(hosts: DataFrame, rated: DataFrame, threshold: int = 97) -> DataFrame:
+    """Pairs (host, ng_domain) of long names, which may differ by three edits or
+    more: none that matches is missing. An inverted index lists rated names under
+    their rarest pieces only, and hosts look up their own rarest ones, so a piece
+    that many names share is listed for none that has rarer ones."""
+    c = 100 - threshold
+    shortest = (_MAX_DELETIONS + 1) * (100 - c) // (2 * c) + 1  # the first length that allows more edits
+    q = _piece_length(threshold, shortest)
+    long_hosts = hosts.filter(F.length("host") >= shortest).select("host")
+    long_rated = rated.filter(F.length("ng_domain") >= shortest).select("ng_domain")
+    counts = _pieces(long_rated, "ng_domain", q).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    index = _rarest_pieces(long_rated, "ng_domain", counts, q, threshold)
+    probes = _rarest_pieces(long_hosts, "host", counts, q, threshold)
+    apart = F.abs(F.length("host") - F.length("ng_domain"))
+    near = apart * 100 < c * (F.length("host") + F.length("ng_domain"))
+    return probes.join(index, "piece").filter(near).select("host", "ng_domain").distinct()
+
+
+def _fuzzy_by_pieces(hosts: DataFrame, rated: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of long names with their distance; candidates are verified."""
+    c = 100 - threshold
+    pairs = fuzzy_candidates(hosts, rated, threshold)
     # a changed character is two insertions or deletions, so the built-in distance never is the larger one
     total = F.length("host") + F.length("ng_domain")
     pairs = pairs.filter(F.levenshtein("host", "ng_domain") * 100 < c * total)
@@ -206,7 +255,8 @@ def _fuzzy_by_pieces(hosts: DataFrame, rated: DataFrame, threshold: int) -> Data
 
 def match_fuzzy(hosts: DataFrame, rated: DataFrame, threshold: int = 97) -> DataFrame:
     """Best rated name per host with a similarity above the threshold; ties go to
-    the alphabetically first name. Above 100 there is none."""
+    the alphabetically first name. From 100 on there is none, and below 67 long
+    names are refused, as they need not share anything to match."""
     hosts = hosts.select("host").dropna().distinct()
     rated = rated.select("ng_domain").dropna().distinct()
     # lengths that differ by more than the edits allowed rule out any match

@@ -72,11 +72,14 @@ def indel_by_table(a, b):
     return row[-1]
 
 
-def test_indel_distance():
+def test_indel_distances():
     rng = random.Random(1)
-    for _ in range(300):
-        a, b = ("".join(rng.choices("abc.", k=rng.randrange(12))) for _ in range(2))
-        assert linking.indel_distance(a, b) == indel_by_table(a, b)
+    pairs = [tuple("".join(rng.choices("abc.", k=rng.randrange(12))) for _ in range(2)) for _ in range(300)]
+    pairs += [tuple("".join(rng.choices("abé\U0001F600", k=rng.choice([60, 63, 64, 65, 128, 129, 200]))) for _ in range(2)) for _ in range(60)]
+    pairs += [("", ""), ("a" * 130, "a" * 130), ("", "abc"), ("b" * 64, "a" * 64)]
+    got = linking.indel_distances([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [indel_by_table(a, b) for a, b in pairs]
+    assert len(linking.indel_distances([], [])) == 0
 
 
 def edited(rng, name, edits):
@@ -107,6 +110,38 @@ def test_match_fuzzy_equals_all_pairs(spark):
     assert any(indel_by_table(k, v) > 2 for k, v in want.items())
 
 
+@pytest.mark.parametrize("threshold", [97, 90, 80])
+def test_long_names_equal_all_pairs(spark, threshold):
+    rng = random.Random(threshold)
+    stem = "regional-observer-and-evening-courier-of-the-"
+    rated = [stem + "".join(rng.choices("abcdefgh", k=rng.choice([8, 20, 40]))) + ".example.com" for _ in range(20)]
+    rated += ["a" * n + "." + "ab" * m for n, m in ((40, 10), (60, 5), (10, 40), (43, 10))]  # few pieces, often repeated
+    most = {97: 7, 90: 16, 80: 24}[threshold]
+    hosts = [edited(rng, rng.choice(rated), rng.randrange(most)) for _ in range(120)]
+    want = {}
+    for h in set(hosts):
+        far, name = min((indel_by_table(h, r) / (len(h) + len(r)), r) for r in set(rated))
+        if far * 100 < 100 - threshold - 1e-12:
+            want[h] = name
+    h = spark.createDataFrame([(x,) for x in hosts], "host string")
+    r = spark.createDataFrame([(x,) for x in rated], "ng_domain string")
+    got = {row["host"]: row["ng_domain"] for row in linking.match_fuzzy(h, r, threshold).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_a_common_piece_lists_no_pairs(spark):
+    stem = "regional-observer-and-evening-courier-of-the-"
+    tail = F.lower(F.substr(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), F.lit(1), F.lit(24)))
+    rated = spark.range(100_000).select(F.concat(F.lit(stem), tail, F.lit(".example.com")).alias("ng_domain"))
+    hosts = rated.select(F.concat(F.lit("x"), "ng_domain").alias("host")).limit(1000)
+    pairs = linking.fuzzy_candidates(hosts, rated)
+    found = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("host = 'x' || ng_domain")).alias("right")).first()
+    # all 100,000,000 pairs share 45 characters and an ending
+    assert found["right"] == 1000 and found["n"] < 50_000
+    with pytest.raises(ValueError):
+        linking.fuzzy_candidates(hosts, rated, 50)
+
+
 def test_resolution_and_platforms(spark):
     short = spark.createDataFrame([("u1", "bit.ly"), ("u2", "youtu.be"), ("u3", "bit.ly")], "url string, domain string")
     res = spark.createDataFrame(
