@@ -146,6 +146,12 @@ def indel_ratio(a, b):
 _MAX_DELETIONS = 2
 
 
+def _long_from(threshold: int) -> int:
+    """The first length of a name that allows more edits than are left out."""
+    c = 100 - threshold
+    return (_MAX_DELETIONS + 1) * (100 - c) // (2 * c) + 1
+
+
 def _max_edits_col(length, threshold: int):
     """Most edits a pair with a common subsequence of this length may have."""
     c = 100 - threshold
@@ -171,10 +177,13 @@ def _reduced(strings: DataFrame, col: str, threshold: int) -> DataFrame:
 
 
 def _fuzzy_by_deletion(hosts: DataFrame, rated: DataFrame, threshold: int) -> DataFrame:
-    """Exact for pairs at most two edits apart. Rated names that share a reduced
-    string and a number of removed characters score alike against any host, so
-    only the alphabetically first is kept before the join."""
-    left = _reduced(hosts, "host", threshold)
+    """Pairs of which one name is too short for more than two edits. Rated names that
+    share a reduced string and a number of removed characters score alike against
+    any host, so only the alphabetically first is kept before the join."""
+    longest = _long_from(threshold) + _MAX_DELETIONS
+    hosts, rated = hosts.filter(F.length("host") < longest), rated.filter(F.length("ng_domain") < longest)
+    # shuffled at once, so that its size is measured after the strings are made
+    left = _reduced(hosts, "host", threshold).repartition("reduced")
     right = (
         _reduced(rated, "ng_domain", threshold)
         .withColumnRenamed("removed", "added")
@@ -226,12 +235,11 @@ def _pieces(names: DataFrame, col: str, q: int) -> DataFrame:
 
 
 def fuzzy_candidates(hosts: DataFrame, rated: DataFrame, threshold: int = 97) -> DataFrame:
-    """Pairs (host, ng_domain) of long names, which may differ by three edits or
-    more: none that matches is missing. An inverted index lists rated names under
+    """Pairs (host, ng_domain) of long names, for which three edits or more may be
+    allowed: none that matches is missing. An inverted index lists rated names under
     their rarest pieces only, and hosts look up their own rarest ones, so a piece
     that many names share is listed for none that has rarer ones."""
-    c = 100 - threshold
-    shortest = (_MAX_DELETIONS + 1) * (100 - c) // (2 * c) + 1  # the first length that allows more edits
+    c, shortest = 100 - threshold, _long_from(threshold)
     q = _piece_length(threshold, shortest)
     long_hosts = hosts.filter(F.length("host") >= shortest).select("host")
     long_rated = rated.filter(F.length("ng_domain") >= shortest).select("ng_domain")
