@@ -139,67 +139,92 @@ def transitivity(edges: DataFrame) -> DataFrame:
 _MAX_WORDS = 16  # 64 sources per word
 
 
+def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct edges without loops between the nodes."""
+    return materialize(induced_edges(edges.filter("src <> dst").select("src", "dst").distinct(), nodes))
+
+
 def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Mean directed distance over reachable ordered pairs of ``nodes``.
 
-    Breadth-first search from all sources, 1024 at a time: a node carries one bit
-    per source that reached it, a step ORs the bits along the edges. State is one
-    row per node, never one per pair.
+    Breadth-first search from all sources at once: a row per node and batch of 1024
+    sources that reach it carries one bit per source, and a step ORs the bits along
+    the edges. Jobs follow the longest distance, not the number of nodes; the state
+    has at most one bit per pair.
     """
-    inside = materialize(induced_edges(edges.filter("src <> dst").select("src", "dst").distinct(), nodes))
-    numbered = materialize(row_numbers(nodes.select("id"), ["id"], "no").select("id", (F.col("no") - 1).alias("no")))
-    n = numbered.count()
+    inside = _inside(edges, nodes)
+    numbered = row_numbers(nodes.select("id").distinct(), ["id"], "no").select("id", (F.col("no") - 1).alias("no"), "no_total")
+    numbered = materialize(numbered)
+    n = (numbered.agg(F.max("no_total")).first()[0]) or 0
     words = [f"w{i}" for i in range(min(_MAX_WORDS, n // 64 + 1))]
     per_batch = 64 * len(words)
-    total = pairs = 0
-    for start in range(0, n, per_batch):
-        offset = F.col("no") - start
-        mine = (offset >= 0) & (offset < per_batch)
-        state = numbered.select(
-            "id",
-            *[
-                F.when(mine & (F.floor(offset / 64) == i), F.expr(f"shiftleft(bigint(1), int((no - {start}) % 64))"))
-                .otherwise(F.lit(0).cast("bigint"))
-                .alias(w)
-                for i, w in enumerate(words)
-            ],
+    bit = F.expr("shiftleft(bigint(1), int(no % 64))")
+    own = {w: F.when(F.floor(F.col("no") % per_batch / 64) == i, bit).otherwise(F.lit(0).cast("bigint")) for i, w in enumerate(words)}
+    state = numbered.select("id", F.floor(F.col("no") / per_batch).alias("batch"), *[e.alias(w) for w, e in own.items()])
+    state = materialize(state.select("*", *[F.col(w).alias(f"f{w}") for w in words]))
+    none = F.lit(0).cast("bigint")
+    depth = total = pairs = 0
+    while True:
+        depth += 1
+        # bits that arrived in the last step travel on
+        front = state.filter(" OR ".join(f"f{w} <> 0" for w in words))
+        arriving = (
+            front.select(F.col("id").alias("src"), "batch", *[f"f{w}" for w in words])
+            .join(inside, "src")
+            .groupBy(F.col("dst").alias("id"), "batch")
+            .agg(*[F.bit_or(f"f{w}").alias(f"n{w}") for w in words])
+        )
+        known = state.select("id", "batch", *words).join(arriving, ["id", "batch"], "full")
+        seen = {w: F.coalesce(F.col(w), none) for w in words}
+        fresh = {w: F.coalesce(F.col(f"n{w}"), none).bitwiseAND(F.bitwise_not(seen[w])) for w in words}
+        moved = known.select("id", "batch", *[seen[w].alias(w) for w in words], *[f.alias(f"f{w}") for w, f in fresh.items()])
+        state = materialize(
+            moved.select("id", "batch", *[F.col(w).bitwiseOR(F.col(f"f{w}")).alias(w) for w in words], *[f"f{w}" for w in words])
         )
-        state = materialize(state.select("*", *[F.col(w).alias(f"f{w}") for w in words]))
-        depth = 0
-        while True:
-            depth += 1
-            # bits that arrived in the last step travel on
-            front = state.filter(" OR ".join(f"f{w} <> 0" for w in words))
-            arriving = (
-                front.select(F.col("id").alias("src"), *[f"f{w}" for w in words])
-                .join(inside, "src")
-                .groupBy(F.col("dst").alias("id"))
-                .agg(*[F.bit_or(f"f{w}").alias(f"n{w}") for w in words])
-            )
-            fresh = {
-                w: F.coalesce(F.col(f"n{w}"), F.lit(0)).bitwiseAND(F.bitwise_not(F.col(w))) for w in words
-            }
-            joined = state.select("id", *words).join(arriving, "id", "left").select(
-                "id", *words, *[f.alias(f"f{w}") for w, f in fresh.items()]
-            )
-            state = materialize(
-                joined.select(
-                    "id", *[F.col(w).bitwiseOR(F.col(f"f{w}")).alias(w) for w in words], *[f"f{w}" for w in words]
-                )
-            )
-            reached = state.agg(
-                F.coalesce(F.sum(sum((F.bit_count(F.col(f"f{w}")) for w in words), F.lit(0))), F.lit(0))
-            ).first()[0]
-            if reached == 0:
-                break
-            total += depth * reached
-            pairs += reached
+        reached = state.agg(F.coalesce(F.sum(sum((F.bit_count(F.col(f"f{w}")) for w in words), F.lit(0))), F.lit(0))).first()[0]
+        if reached == 0:
+            break
+        total += depth * reached
+        pairs += reached
     mean = float(total) / pairs if pairs else None
     return edges.sparkSession.createDataFrame(
         [(int(pairs), int(total), mean)], "reachable_pairs bigint, total_distance bigint, avg_path_length double"
     )
 
 
+def path_lengths_sketch(edges: DataFrame, nodes: DataFrame, precision: int = 12) -> DataFrame:
+    """Estimates of ``path_lengths`` from one mergeable sketch per node.
+
+    A node's sketch counts the distinct nodes it reaches; every step merges in
+    those of the nodes its edges lead to. What all sketches count after a step,
+    less what they counted before, is the number of pairs at that distance. A
+    sketch has at most 2^precision bytes, so the state grows with the nodes alone;
+    a count is off by about 1 / sqrt(2^precision) of itself.
+    """
+    inside = _inside(edges, nodes)
+    state = materialize(nodes.select("id").distinct().groupBy("id").agg(F.hll_sketch_agg("id", F.lit(precision)).alias("reach")))
+
+    def counted(table: DataFrame) -> int:
+        return table.agg(F.sum(F.hll_sketch_estimate("reach"))).first()[0] or 0
+
+    n = before = counted(state)
+    depth = total = 0
+    while True:
+        depth += 1
+        onward = inside.join(state.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "reach")
+        state = materialize(state.unionByName(onward).groupBy("id").agg(F.hll_union_agg("reach").alias("reach")))
+        now = counted(state)
+        if now <= before:
+            break
+        total += depth * (now - before)
+        before = now
+    pairs = before - n
+    return edges.sparkSession.createDataFrame(
+        [(int(pairs), int(total), float(total) / pairs if pairs else None)],
+        "reachable_pairs bigint, total_distance bigint, avg_path_length double",
+    )
+
+
 def core_numbers(edges: DataFrame) -> DataFrame:
     """k-core number per node. Both directions of a pair count, loops do not.
 

@@ -97,6 +97,41 @@ def test_path_lengths_in_batches(df, edges, monkeypatch):
     assert (row["reachable_pairs"], row["total_distance"]) == (len(dists), sum(dists))
 
 
+def test_path_lengths_need_no_more_jobs_for_more_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_MAX_WORDS", 1)
+
+    def jobs(nodes):
+        # a star of paths with three edges each: the longest distance is the same for any number of nodes
+        star = spark.range(nodes).select(F.explode(F.expr("array(struct('hub' AS src, concat('a', id) AS dst), struct(concat('a', id) AS src, concat('b', id) AS dst))")).alias("e")).select("e.*")
+        context, name = spark.sparkContext, f"paths-{nodes}"
+        context.setJobGroup(name, name)
+        row = graph.path_lengths(star, graph.nodes_of(star)).first()
+        assert (row["reachable_pairs"], row["total_distance"]) == (3 * nodes, 4 * nodes)
+        count = len(context.statusTracker().getJobIdsForGroup(name))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return count
+
+    few, many = jobs(20), jobs(600)  # one batch of sources, nineteen batches
+    assert many <= few + 3
+
+
+def test_path_lengths_of_nothing(spark, df):
+    none = graph.nodes_of(df).limit(0)
+    for lengths in (graph.path_lengths, graph.path_lengths_sketch):
+        assert lengths(df, none).first().asDict() == {"reachable_pairs": 0, "total_distance": 0, "avg_path_length": None}
+
+
+def test_sketched_path_lengths_are_close(spark):
+    rng = random.Random(9)
+    links = {(rng.randrange(1500), rng.randrange(1500)) for _ in range(4000)}
+    random_graph = spark.createDataFrame(sorted(links), "src bigint, dst bigint")
+    ids = graph.nodes_of(random_graph)
+    exact, close = graph.path_lengths(random_graph, ids).first(), graph.path_lengths_sketch(random_graph, ids).first()
+    # sketches of 4,096 bytes: 1.6 % per count
+    assert close["reachable_pairs"] == pytest.approx(exact["reachable_pairs"], rel=0.03)
+    assert close["avg_path_length"] == pytest.approx(exact["avg_path_length"], rel=0.02)
+
+
 def test_core_numbers(df, edges):
     near = defaultdict(lambda: defaultdict(int))
     for a, b in edges:
