@@ -10,7 +10,7 @@ from catalog.users import (
     FEATURES_SQL, GROUP_FEATURES_SQL, HOURS, WINDOWS_SQL, _BASE, make_features, make_group_features, make_windows,
 )
 from feedpanel.operators import (
-    daily, features, panel, regressions, release, scoring, sharers, stats, validation, windows,
+    daily, features, model_sets, panel, regressions, release, scoring, sharers, stats, validation, windows,
 )
 from feedpanel.plans import flows
 from feedpanel.schema import EMOTIONS
@@ -194,6 +194,102 @@ def boot_logit(t):
     return rounded(regressions.percentile_ci(draws, ["term"]))
 
 
+# --- sets of models --------------------------------------------------------
+def _simpson(f: str, low: str, high: str, steps: int = 1200) -> str:
+    """Simpson's rule in SQL for ``f`` of ``s``."""
+    h = f"((({high}) - ({low})) / {steps})"
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"{h} / 3 * list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weight}) * ({f.replace('{s}', f'(({low}) + i * {h})')})))"
+
+
+def _p_of_t(t: str, dof: str) -> str:
+    """Two-sided p: with s = sqrt(dof) * tan(angle) the density is a power of the cosine."""
+    start, power = f"atan(abs({t}) / sqrt({dof}))", f"({dof} - 1)"
+    whole = f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt(pi())"
+    return f"2 * {whole} * {_simpson(f'pow(cos({{s}}), {power})', start, f'least(pi() / 2, {start} + 14 / sqrt({dof}))')}"
+
+
+def _p_of_z(z: str) -> str:
+    return f"2 * {_simpson('exp(-0.5 * pow({s}, 2)) / sqrt(2 * pi())', f'abs({z})', f'abs({z}) + 12')}"
+
+
+def _one_predictor(model: str, y: str, x: str, term: str) -> str:
+    """Both coefficients of y ~ x with their errors."""
+    fit = f"SELECT regr_count({y}, {x}) AS n, regr_slope({y}, {x}) AS b1, regr_intercept({y}, {x}) AS b0, regr_r2({y}, {x}) AS r2, sqrt((1 - regr_r2({y}, {x})) * regr_syy({y}, {x}) / (regr_count({y}, {x}) - 2)) AS s, regr_sxx({y}, {x}) AS sxx, regr_avgx({y}, {x}) AS ax FROM x"
+    both = f"SELECT '{term}' AS term, n, b1 AS b, s / sqrt(sxx) AS se, r2, s FROM ({fit}) UNION ALL SELECT '(Intercept)', n, b0, s * sqrt(1.0 / n + ax * ax / sxx), r2, s FROM ({fit})"
+    return f"SELECT '{model}' AS model, * FROM ({both})"
+
+
+def _two_predictors(model: str, y: str, a: str, b: str, names: tuple[str, str]) -> str:
+    """Both slopes of y ~ a + b with their errors, from correlations of the complete rows."""
+    c = f"SELECT count(*) AS n, corr({y}, {a}) AS ra, corr({y}, {b}) AS rb, corr({a}, {b}) AS rab, stddev_samp({y}) AS sy, stddev_samp({a}) AS sa, stddev_samp({b}) AS sb FROM x WHERE {y} IS NOT NULL AND {a} IS NOT NULL AND {b} IS NOT NULL"
+    r2 = "(ra * ra + rb * rb - 2 * ra * rb * rab) / (1 - rab * rab)"
+    rows = [
+        f"SELECT '{model}' AS model, '{name}' AS term, n, sy / {sd} * ({mine} - {other} * rab) / (1 - rab * rab) AS b, sy / {sd} * sqrt((1 - {r2}) / ((1 - rab * rab) * (n - 3))) AS se, {r2} AS r2, sy * sqrt((1 - {r2}) * (n - 1) / (n - 3)) AS s FROM ({c})"
+        for name, mine, other, sd in ((names[0], "ra", "rb", "sa"), (names[1], "rb", "ra", "sb"))
+    ]
+    return " UNION ALL ".join(rows)
+
+
+# before: untrustworthy ~ emotion before; after: emotion after ~ untrustworthy; change: both predictors
+WINDOW_MODELS = {
+    f"{e}_{kind}": spec
+    for e in EMOTIONS
+    for kind, spec in {
+        "before": ("untrustworthy", [f"mean_{e}_before"]),
+        "after": (f"mean_{e}_after", ["untrustworthy"]),
+        "change": (f"mean_{e}_after", ["untrustworthy", f"mean_{e}_before"]),
+    }.items()
+}
+_WINDOW_FITS = " UNION ALL ".join(
+    _two_predictors(m, y, xs[0], xs[1], (xs[0], xs[1])) if len(xs) == 2 else _one_predictor(m, y, xs[0], xs[0])
+    for m, (y, xs) in WINDOW_MODELS.items()
+)
+
+
+@query("ols_set", f"{WINDOWS_SQL}, x AS (SELECT *, {_U} AS untrustworthy FROM win), f AS ({_WINDOW_FITS}) SELECT model, term, n, {r('b', 'estimate')}, {r('se', 'std_error')}, {r('b / se', 'statistic', 4)}, {r(_p_of_t('b / se', '(n - CASE WHEN model LIKE ' + chr(39) + '%change' + chr(39) + ' THEN 3 ELSE 2 END)'), 'p_value')}, {r('r2', 'r_squared')}, {r('s', 'sigma')} FROM f")
+def ols_set(t):
+    w = windows.with_untrust_degree(make_windows(t))
+    fits = model_sets.ols_set(w, WINDOW_MODELS)
+    # the twin has no constant of the models with two predictors
+    fits = fits.filter("term <> '(Intercept)' OR model NOT LIKE '%change'")
+    return rounded(fits.withColumn("statistic", F.round("statistic", 4)))
+
+
+@query("cluster_boot_set")
+def cluster_boot_set(t):
+    w = windows.with_untrust_degree(make_windows(t))
+    draws = model_sets.cluster_boot_set(w, "author_id", WINDOW_MODELS, reps=1000)
+    return rounded(regressions.percentile_ci(draws, ["model", "term"]).drop("or_lower", "or_upper"))
+
+
+USER_MODELS = {f"{e}_baseline": ("y", [f"{e}_baseline"]) for e in EMOTIONS}
+_USERS = " UNION ALL ".join(
+    f"SELECT '{e}_baseline' AS model, CAST(n_untrustworthy_shared > 10 AS INTEGER) AS y, ({e}_baseline - avg({e}_baseline) OVER ()) / stddev_samp({e}_baseline) OVER () AS x FROM base WHERE {' AND '.join(f'{o}_baseline IS NOT NULL' for o in EMOTIONS)}"
+    for e in EMOTIONS
+)
+_LOGITS = f"""WITH RECURSIVE {scored_sql()}, {_BASE}, m AS ({_USERS}),
+it AS (SELECT DISTINCT model, 0 AS i, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM m UNION ALL
+ SELECT model, i + 1, b0 + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 ^ 2), b1 + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 ^ 2) FROM
+ (SELECT model, i, b0, b1, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11
+  FROM (SELECT it.*, y, x, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM it JOIN m USING (model) WHERE i < 15) GROUP BY model, i, b0, b1)),
+fin AS (SELECT model, b0, b1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11, 4 - 2 * sum(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS aic
+ FROM (SELECT it.*, y, x, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM it JOIN m USING (model) WHERE i = 15) GROUP BY 1, 2, 3),
+co AS (SELECT model, '(Intercept)' AS term, b0 AS b, sqrt(h11 / (h00 * h11 - h01 ^ 2)) AS se, aic FROM fin UNION ALL SELECT model, model, b1, sqrt(h00 / (h00 * h11 - h01 ^ 2)), aic FROM fin)"""
+
+
+@query("logit_set", f"{_LOGITS} SELECT model, term, {r('b', 'estimate')}, {r('se', 'std_error')}, {r('b / se', 'statistic')}, {r(_p_of_z('b / se'), 'p_value')}, {r('exp(b)', 'odds_ratio')}, {r('aic', 'aic', 4)} FROM co")
+def logit_set(t):
+    return rounded(model_sets.logit_set(make_model_users(t), USER_MODELS).withColumn("aic", F.round("aic", 4)))
+
+
+@query("boot_logit_set")
+def boot_logit_set(t):
+    models = USER_MODELS | {"activity": ("y", [*BASELINES, "log_n_scored"])}
+    draws = model_sets.boot_logit_set(make_model_users(t), "author_id", models, reps=1000)
+    return rounded(regressions.percentile_ci(draws, ["model", "term"]))
+
+
 # --- series models ---------------------------------------------------------
 _SERIES = "se AS (SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS qty, avg(l_discount) AS disc, CAST(count(*) AS DOUBLE) AS n_lines FROM lineitem GROUP BY 1, 2)"
 

@@ -199,9 +199,11 @@ def logit(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     )
 
 
-def _draws(units: np.ndarray, reps: int, seed: int) -> np.ndarray:
-    """Poisson(1) weights (units, replicates) from a hash of unit, replicate and seed."""
-    x = units.view(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+def _draws(units: np.ndarray, reps: int | np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) weights (units, replicates) from a hash of unit, replicate (the
+    first ``reps``, or those listed) and seed."""
+    numbers = np.arange(1, reps + 1) if np.ndim(reps) == 0 else reps
+    x = units.view(np.uint64)[:, None] + numbers.astype(np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     x = x ^ np.uint64(seed * 0xD1342543DE82EF95 & (2**64 - 1))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
@@ -238,7 +240,7 @@ def boot_logit(
                 for lo in range(0, len(pdf), 1024):
                     part = pdf.iloc[lo : lo + 1024]
                     x = np.column_stack([np.ones(len(part)), part[list(xs)].to_numpy(float)])
-                    w = _draws(part["_unit"].to_numpy(np.int64), reps, seed)[:, which]
+                    w = _draws(part["_unit"].to_numpy(np.int64), which + 1, seed)
                     mu = 1 / (1 + np.exp(-np.clip(x @ at.T, -700, 700)))
                     total[:, :k] += (w * (part["_y"].to_numpy()[:, None] - mu)).T @ x
                     curve = w * mu * (1 - mu)
