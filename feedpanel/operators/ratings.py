@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedpanel.functions import scores as S
 from feedpanel.functions.text import recode_yes_no, split_list
 from feedpanel.operators.panel import add_day, keep_one
+from feedpanel.session import bucketed, materialize
 
 # First month with stable ratings. Posts before the first rated
 # month take the rating of the domain over all months.
@@ -200,34 +201,33 @@ def rating_coverage(links: DataFrame) -> DataFrame:
 
 
 def share_failing(links: DataFrame) -> DataFrame:
-    """Share failing the criterion by link, post, domain and year."""
-    low = links.filter((F.col("ng_score") < 60) & F.col("passes").isNotNull())
-    fails = (~F.col("passes")).cast("double")
-
-    def row(level, name):
-        return [F.lit(level).alias("level"), name.alias("name")]
+    """Share failing the criterion by link, post, domain and year.
 
-    by_link = low.agg(F.count(F.lit(1)).alias("n"), F.avg(fails).alias("share_failing"))
-    by_post = (
-        links.groupBy("id")
-        .agg(F.bool_or(~F.col("passes")).alias("any_fail"))
-        .filter(F.col("any_fail").isNotNull())
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("any_fail").cast("double")).alias("share_failing"))
-    )
-    by_domain = (
-        low.groupBy("ng_domain")
-        .agg((F.avg(fails) >= 0.5).alias("fails"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("fails").cast("double")).alias("share_failing"))
-    )
-    by_year = low.groupBy(F.year("month").cast("string").alias("name")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(fails).alias("share_failing")
-    )
-    cols = ["n", "share_failing"]
+    The links are stored once, in buckets of their post, so posts are grouped
+    without a shuffle; links, domains and years are sums over one table with a row
+    per domain and year."""
+    slim = bucketed(links.select("id", "ng_domain", F.year("month").alias("year"), "ng_score", "passes"), ["id"])
+    fails = (~F.col("passes")).cast("double")
+    n, failing = F.count(F.lit(1)).alias("n"), F.sum(fails).alias("failing")
+    low = slim.filter((F.col("ng_score") < 60) & F.col("passes").isNotNull())
+    cells = materialize(low.groupBy("ng_domain", "year").agg(n, failing))
+    total, part = F.sum("n"), F.sum("failing")
+
+    def level(table, level, name):
+        return table.select(F.lit(level).alias("level"), name.alias("name"), "n", "share_failing")
+
+    every = F.lit("all")
+    by_link = cells.agg(F.coalesce(total, F.lit(0)).alias("n"), (part / total).alias("share_failing"))
+    by_year = cells.groupBy("year").agg(total.alias("n"), (part / total).alias("share_failing"))
+    mostly = (F.col("share") >= 0.5).cast("double")
+    by_domain = cells.groupBy("ng_domain").agg((part / total).alias("share")).agg(n, F.avg(mostly).alias("share_failing"))
+    any_fail = slim.groupBy("id").agg(F.bool_or(~F.col("passes")).alias("any_fail")).filter("any_fail IS NOT NULL")
+    by_post = any_fail.agg(n, F.avg(F.col("any_fail").cast("double")).alias("share_failing"))
     return (
-        by_link.select(*row("link", F.lit("all")), *cols)
-        .unionByName(by_post.select(*row("post", F.lit("all")), *cols))
-        .unionByName(by_domain.select(*row("domain", F.lit("all")), *cols))
-        .unionByName(by_year.select(*row("year", F.col("name")), *cols))
+        level(by_link, "link", every)
+        .unionByName(level(by_post, "post", every))
+        .unionByName(level(by_domain, "domain", every))
+        .unionByName(level(by_year, "year", F.col("year").cast("string")))
     )
 
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,10 +82,29 @@ def materialize(df: DataFrame, outer: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, cols: Sequence[str], outer: bool = False) -> DataFrame:
+    """Like ``materialize``, laid out in sorted buckets of ``cols``: joins and groups
+    on these columns read it without a shuffle.
+
+    A bucket is read by one task, so the columns must not have frequent values
+    (ids, not domains or days). There are as many buckets as shuffle partitions.
+    """
+    spark, name = df.sparkSession, f"feedpanel_{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{name}"
+    _owners[-2 if outer and len(_owners) > 1 else -1].append(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = df.repartition(n, *cols).write.bucketBy(n, cols[0], *cols[1:]).sortBy(cols[0], *cols[1:])
+    written.format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     context = spark.sparkContext
     while paths:
-        path = context._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        name = paths.pop()
+        if name.rsplit("/", 1)[1].startswith("feedpanel_"):
+            spark.sql(f"DROP TABLE IF EXISTS {name.rsplit('/', 1)[1]}")
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedpanel.functions import scores as S
 from feedpanel.operators import daily, domains, ratings
+from feedpanel.session import bucketed, work_tables
 
 D = date
 
@@ -135,3 +136,32 @@ def test_iso_week(spark):
     df = spark.createDataFrame([(D(2021, 1, 3),), (D(2021, 1, 4),)], "d date")
     assert [r[0] for r in df.select(S.iso_week(F.col("d"))).collect()] == ["2020-53", "2021-01"]
     assert [r[0] for r in df.select(S.week_start(F.col("d"), "sunday")).collect()] == [D(2021, 1, 3), D(2021, 1, 3)]
+
+
+def test_share_failing_stores_the_links_once(spark):
+    rows = [(i, f"d{i % 7}", date(2021 + i % 2, 1 + i % 12, 1), float(i % 90), [None, True, False][i % 3]) for i in range(300)]
+    rows += [(i, "hot", date(2021, 1, 1), 5.0, False) for i in range(200)]
+    links = spark.createDataFrame(rows, "id int, ng_domain string, month date, ng_score double, passes boolean")
+    got = {(r["level"], r["name"]): (r["n"], r["share_failing"]) for r in ratings.share_failing(links).collect()}
+    low = [r for r in rows if r[3] < 60 and r[4] is not None]
+    domains = {d: [not r[4] for r in low if r[1] == d] for d in {r[1] for r in low}}
+    posts = {i: any(r[4] is False for r in rows if r[0] == i) for i in {r[0] for r in rows if r[4] is not None}}
+    want = {("link", "all"): (len(low), sum(not r[4] for r in low) / len(low)),
+            ("post", "all"): (len(posts), sum(posts.values()) / len(posts)),
+            ("domain", "all"): (len(domains), sum(sum(f) / len(f) >= 0.5 for f in domains.values()) / len(domains))}
+    for y in (2021, 2022):
+        mine = [not r[4] for r in low if r[2].year == y]
+        want[("year", str(y))] = (len(mine), sum(mine) / len(mine))
+    assert got == {k: (n, pytest.approx(s)) for k, (n, s) in want.items()}
+    none = ratings.share_failing(links.limit(0)).filter("level <> 'year'").collect()
+    assert {(r["level"], r["n"], r["share_failing"]) for r in none} == {("link", 0, None), ("post", 0, None), ("domain", 0, None)}
+
+
+def test_buckets_are_grouped_without_a_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 300).alias("k"), "id")
+    with work_tables(spark):
+        stored = bucketed(df, ["k"])
+        plan = stored.groupBy("k").agg(F.sum("id"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and stored.count() == 1000
+        name = stored.inputFiles()[0]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("feedpanel_") and t.name in name]
