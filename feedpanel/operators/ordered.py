@@ -1,10 +1,11 @@
 """Ordered computations that stay parallel when one key holds most rows.
 
 A plain window puts every row of a key into one task. Here the rows are first
-range-split on (keys, order), so a hot key spreads over many splits. Each split
-is summarised into one small row per key, those rows are scanned to find what
-the split inherits from the splits before it, and the inherited row is placed
-in front of the split's own rows. The window then runs inside one split only.
+range-split on (keys, order), so a hot key spreads over many splits, and stored so
+that a split is read again by one task: this is the only shuffle of the rows. A
+window then runs inside one split. As splits follow the order, only the first and
+the last key of a split reach into others; what they inherit is computed from a
+table with at most two rows per split, which every task gets.
 """
 
 from __future__ import annotations
@@ -15,26 +16,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedpanel.session import materialize
+from feedpanel.session import materialize, placed
 
-_PART = "_part"
-_CARRY = "_carry"
+_PART, _SLOT = "_part", "_slot"
 
 
 def split_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range-splits on (keys, order); the split number becomes a stored column."""
     ranged = df.repartitionByRange(*keys, *order)
-    return materialize(ranged.withColumn(_PART, F.spark_partition_id()))
+    return placed(ranged.withColumn(_PART, F.spark_partition_id()), _PART, _SLOT)
 
 
-def _with_carry(parts: DataFrame, carry: DataFrame) -> DataFrame:
-    return parts.withColumn(_CARRY, F.lit(0)).unionByName(
-        carry.withColumn(_CARRY, F.lit(1)), allowMissingColumns=True
-    )
+def _inside_split(keys: Sequence[str]):
+    return Window.partitionBy(_SLOT, _PART, *keys)
+
+
+def _edges(parts: DataFrame, keys: Sequence[str], *sums: Column) -> DataFrame:
+    """Aggregates of the first and the last key of every split."""
+    per_key = parts.groupBy(_SLOT, _PART, *keys).agg(*sums)
+    if not keys:
+        return per_key.drop(_SLOT)
+    split = Window.partitionBy(_SLOT, _PART)
+    place = {
+        "_first": F.row_number().over(split.orderBy(*keys)),
+        "_last": F.row_number().over(split.orderBy(*[F.desc(k) for k in keys])),
+    }
+    return per_key.withColumns(place).filter("_first = 1 OR _last = 1").drop(_SLOT, "_first", "_last")
 
 
-def _inside_split(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(_PART, *keys).orderBy(F.desc(_CARRY), *order)
+def _inherit(parts: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with what their key inherits in their split. At most two rows per split
+    are sent to all tasks, whatever the size of the table."""
+    named = edges.withColumnsRenamed({k: f"_e_{k}" for k in [_PART, *keys]})
+    match = F.col(_PART) == F.col(f"_e_{_PART}")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
+    return parts.join(F.broadcast(named), match, "left").drop(*[f"_e_{k}" for k in [_PART, *keys]])
 
 
 def running_sums(
@@ -48,23 +65,23 @@ def running_sums(
     """
     values = {f"_v_{name}": F.coalesce(expr, F.lit(0)) for name, expr in sums.items()}
     parts = split_by_order(df.withColumns(values), keys, order)
-    totals = parts.groupBy(_PART, *keys).agg(*[F.sum(v).alias(v) for v in values])
+    edges = _edges(parts, keys, *[F.sum(v).alias(v) for v in values])
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
+    carry = edges.select(
         _PART,
         *keys,
-        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(v) for v in values],
+        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_b{v}") for v in values],
         *[F.sum(v).over(by_key).alias(f"_t{v}") for v in values],
     )
-    upto = _inside_split(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = _with_carry(parts, carry)
-    out = out.withColumns(
-        {name: F.sum(f"_v_{name}").over(upto) for name in sums}
-        | {f"{name}_total": F.first(f"_t_v_{name}").over(upto) for name in sums}
+    split = _inside_split(keys)
+    upto = split.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.withColumns({f"_u{v}": F.sum(v).over(upto) for v in values} | {f"_a{v}": F.sum(v).over(split) for v in values})
+    out = _inherit(out, carry, keys).withColumns(
+        {name: F.col(f"_u_v_{name}") + F.coalesce(F.col(f"_b_v_{name}"), F.lit(0)) for name in sums}
+        | {f"{name}_total": F.coalesce(F.col(f"_t_v_{name}"), F.col(f"_a_v_{name}")) for name in sums}
     )
-    out = out.filter(F.col(_CARRY) == 0)
-    return out.drop(_PART, _CARRY, *values, *[f"_t{v}" for v in values])
+    return out.drop(_PART, _SLOT, *values, *[f"{kind}{v}" for v in values for kind in ("_u", "_a", "_b", "_t")])
 
 
 def previous_values(
@@ -72,21 +89,15 @@ def previous_values(
 ) -> DataFrame:
     """Adds ``prev_<col>``: the value in the row before, inside the same keys."""
     parts = split_by_order(df, keys, order)
-    wanted = list(dict.fromkeys([*order, *cols]))
-    tails = parts.groupBy(_PART, *keys).agg(
-        F.max_by(F.struct(*wanted), F.struct(*order)).alias("_tail")
+    edges = _edges(parts, keys, F.max_by(F.struct(*cols), F.struct(*order)).alias("_tail"))
+    carry = edges.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(_PART)))
+    back = _inside_split(keys).orderBy(*order)
+    out = parts.withColumns({"_nth": F.row_number().over(back)} | {f"_l_{c}": F.lag(c).over(back) for c in cols})
+    first = F.col("_nth") == 1
+    out = _inherit(out, carry, keys).withColumns(
+        {f"prev_{c}": F.when(first, F.col("_tail")[c]).otherwise(F.col(f"_l_{c}")) for c in cols}
     )
-    by_key = Window.partitionBy(*keys).orderBy(_PART)
-    carry = (
-        tails.withColumn("_tail", F.lag("_tail").over(by_key))
-        .filter(F.col("_tail").isNotNull())
-        .select(_PART, *keys, *[F.col(f"_tail.{c}").alias(c) for c in wanted if c not in keys])
-    )
-    back = _inside_split(keys, order)
-    out = _with_carry(parts, carry).withColumns(
-        {f"prev_{c}": F.lag(c).over(back) for c in cols}
-    )
-    return out.filter(F.col(_CARRY) == 0).drop(_PART, _CARRY)
+    return out.drop(_PART, _SLOT, "_nth", "_tail", *[f"_l_{c}" for c in cols])
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
@@ -142,17 +153,14 @@ def last_known(
     """Adds ``name``: the latest non-null ``col`` at or before the row (as-of)."""
     parts = split_by_order(df, keys, order)
     known_at = F.when(F.col(col).isNotNull(), F.struct(*order))
-    tails = parts.groupBy(_PART, *keys).agg(F.max_by(col, known_at).alias("_val"))
+    edges = _edges(parts, keys, F.max_by(col, known_at).alias("_val"))
     before = (
         Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     )
-    carry = (
-        tails.select(_PART, *keys, F.last("_val", ignorenulls=True).over(before).alias(col))
-        .filter(F.col(col).isNotNull())
-    )
-    upto = _inside_split(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = _with_carry(parts, carry).withColumn(name, F.last(col, ignorenulls=True).over(upto))
-    return out.filter(F.col(_CARRY) == 0).drop(_PART, _CARRY)
+    carry = edges.select(_PART, *keys, F.last("_val", ignorenulls=True).over(before).alias("_val"))
+    upto = _inside_split(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.withColumn("_known", F.last(col, ignorenulls=True).over(upto))
+    return _inherit(out, carry, keys).withColumn(name, F.coalesce("_known", "_val")).drop(_PART, _SLOT, "_known", "_val")
 
 
 # Resolution of the sketch.

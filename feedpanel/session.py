@@ -9,8 +9,10 @@ import uuid
 import warnings
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every flow relies on. Joins carry no size hints: adaptive execution
 # broadcasts a side only after measuring it and splits skewed partitions.
@@ -82,22 +84,62 @@ def materialize(df: DataFrame, outer: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, cols: Sequence[str], outer: bool = False) -> DataFrame:
-    """Like ``materialize``, laid out in sorted buckets of ``cols``: joins and groups
-    on these columns read it without a shuffle.
-
-    A bucket is read by one task, so the columns must not have frequent values
-    (ids, not domains or days). There are as many buckets as shuffle partitions.
-    """
+def _bucket_table(df: DataFrame, n: int, cols: Sequence[str], outer: bool = False) -> DataFrame:
     spark, name = df.sparkSession, f"feedpanel_{uuid.uuid4().hex}"
     path = f"{work_folder(spark)}/{name}"
     _owners[-2 if outer and len(_owners) > 1 else -1].append(path)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    written = df.repartition(n, *cols).write.bucketBy(n, cols[0], *cols[1:]).sortBy(cols[0], *cols[1:])
+    written = df.write.bucketBy(n, cols[0], *cols[1:])
     written.format("parquet").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
+def bucketed(df: DataFrame, cols: Sequence[str], outer: bool = False) -> DataFrame:
+    """Like ``materialize``, laid out in buckets of ``cols``: joins and groups on
+    these columns read it without a shuffle.
+
+    A bucket is read by one task, so the columns must not have frequent values
+    (ids, not domains or days). There are as many buckets as shuffle partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _bucket_table(df.repartition(n, *cols), n, cols, outer)
+
+
+@lru_cache(8)
+def slots(n: int) -> tuple[int, ...]:
+    """For each of ``n`` buckets the least whole number that Spark puts there."""
+    found: dict[int, int] = {}
+    value = 0
+    while len(found) < n:
+        found.setdefault(_spark_hash(value) % n, value)
+        value += 1
+    return tuple(found[i] for i in range(n))
+
+
+def _spark_hash(value: int) -> int:
+    """Spark's ``hash`` of an int: Murmur3 of four bytes with seed 42."""
+    mask = (1 << 32) - 1
+    k = value * 0xCC9E2D51 & mask
+    k = (k << 15 | k >> 17) * 0x1B873593 & mask
+    h = 42 ^ k
+    h = (h << 13 | h >> 19) & mask
+    h = h * 5 + 0xE6546B64 & mask
+    h ^= 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def placed(df: DataFrame, place: str, slot: str) -> DataFrame:
+    """Like ``materialize``; rows with equal numbers in the int column ``place``
+    (below the number of shuffle partitions) are read again by one task, and rows
+    with others by other tasks. Windows and groups that have ``slot`` among their
+    keys then need no shuffle."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.element_at(F.array(*[F.lit(v) for v in slots(n)]), F.col(place) + 1)
+    return _bucket_table(df.withColumn(slot, number), n, [slot])
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     context = spark.sparkContext
     while paths:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedpanel.operators import ordered
+from feedpanel.session import slots
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +118,32 @@ def test_first_rows(df, rows, splits, n):
     got = {(r["key"], r["id"]): r["rn"] for r in ordered.first_rows(df, ["key"], ["t", "id"], n).collect()}
     want = {(k, r[2]): i + 1 for k, g in by_key(rows).items() for i, r in enumerate(g[:n])}
     assert got == want
+
+
+def test_one_shuffle_of_the_rows(spark, df):
+    """The rows are shuffled by their range when they are stored; afterwards only edges of splits are."""
+    def shuffled(out):
+        plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        return sum("Exchange hashpartitioning" in line or "Exchange SinglePartition" in line for line in plan), sum("Exchange range" in line for line in plan)
+
+    sums = ordered.running_sums(df, ["key"], ["t", "id"], {"n": F.lit(1).cast("bigint")})
+    last = ordered.previous_values(df, ["key"], ["t", "id"], ["x"])
+    known = ordered.last_known(df, ["key"], ["t", "id"], "x", "seen")
+    # one of the edges by key, at most two rows per split
+    assert [shuffled(out) for out in (sums, last, known)] == [(1, 0)] * 3
+
+
+def test_slots(spark):
+    for n in (1, 8, 211):
+        table = spark.createDataFrame([(i, s) for i, s in enumerate(slots(n))], "i int, s int")
+        assert table.filter(F.pmod(F.hash("s"), F.lit(n)) != F.col("i")).count() == 0
+
+
+def test_null_keys_over_many_splits(spark, splits):
+    rows = [(None if i % 3 else "a", i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "key string, i int").repartition(7)
+    got = {r["i"]: (r["n"], r["n_total"]) for r in ordered.running_sums(frame, ["key"], ["i"], {"n": F.lit(1).cast("bigint")}).collect()}
+    assert got == {i: (i // 3 + 1, 1000) if i % 3 == 0 else (i - i // 3, 2000) for i in range(3000)}
+    back = {r["i"]: r["prev_i"] for r in ordered.previous_values(frame, ["key"], ["i"], ["i"]).collect()}
+    assert back[0] is None and back[1] is None and back[300] == 297 and back[301] == 299 and back[302] == 301
+    assert ordered.running_sums(frame.limit(0), [], ["i"], {"n": F.lit(1)}).count() == 0
