@@ -240,8 +240,9 @@ _COMPONENTS = [
 def variance_decomposition(posts: DataFrame, emotions: Sequence[str] = EMOTIONS) -> DataFrame:
     """Nested sums of squares user > ISO year > ISO week > day > post in percent.
 
-    Counts and sums are taken once per day and rolled up; the sum of squares
-    between two levels is the difference of sum(s*s/n) at both.
+    Counts, sums and the squares inside a day are taken once per day and rolled up;
+    the squares between two levels are the difference of sum(n * (mean - centre)^2)
+    at both, with the emotion's mean as centre, so large values cost no digits.
     """
     day = F.to_date("created_at")
     long = posts.select(
@@ -251,21 +252,26 @@ def variance_decomposition(posts: DataFrame, emotions: Sequence[str] = EMOTIONS)
         day.alias("day"),
         *[F.col(f"{e}_v2").alias(e) for e in emotions],
     ).unpivot(_LEVELS, list(emotions), "emotion", "x")
+    n = F.count(F.lit(1))
     base = long.filter("x IS NOT NULL").groupBy("emotion", *_LEVELS).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")
+        n.alias("n"), F.sum("x").alias("s"), (F.var_pop("x") * n).alias("inside")
     )
-    n, s = F.sum("n"), F.sum("s")
     # grouping sets (emotion), (emotion, author), ... (emotion, author, year, week, day)
     sets = [["emotion", *_LEVELS[:k]] for k in range(len(_LEVELS) + 1)]
     rolled = base.groupingSets(sets, "emotion", *_LEVELS).agg(
-        F.grouping_id().alias("level"), (s * s / n).alias("q"), F.sum("ss").alias("ss")
+        F.grouping_id().alias("level"), F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("m"), F.sum("inside").alias("inside")
     )
-    per_level = rolled.groupBy("emotion", "level").agg(F.sum("q").alias("q"), F.sum("ss").alias("ss"))
     # grouping_id has a bit set for every column that is rolled away: 15, 7, 3, 1, 0
+    centre = rolled.filter("level = 15").select("emotion", F.col("m").alias("centre"))
+    off = F.col("m") - F.col("centre")
+    per_level = rolled.join(centre, "emotion").groupBy("emotion", "level").agg(
+        F.sum(F.col("n") * off * off).alias("q"), F.sum("inside").alias("inside")
+    )
     q = [F.max(F.when(F.col("level") == 2 ** (4 - k) - 1, F.col("q"))) for k in range(5)]
-    parts = [q[k + 1] - q[k] for k in range(4)] + [F.max("ss") - q[4]]
-    total = F.max("ss") - q[0]
-    within = F.max("ss") - q[1]
+    inside = F.max(F.when(F.col("level") == 15, F.col("inside")))
+    parts = [q[k + 1] - q[k] for k in range(4)] + [inside]
+    total = q[4] - q[0] + inside
+    within = q[4] - q[1] + inside
     rows = [
         F.struct(
             F.lit(name).alias("component"),

@@ -116,17 +116,19 @@ def wilcoxon_ranksum(
 
 
 def icc_anova(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Intraclass correlation from one-way sums of squares."""
+    """Intraclass correlation from one-way sums of squares. Group means are taken off
+    the overall mean before they are squared, so large values cost no digits."""
     per = df.filter(F.col(value).isNotNull()).groupBy(group).agg(
         F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")
     )
+    centre = per.agg(F.sum(F.col("n") * F.col("m")) / F.sum("n")).scalar()
+    off = F.col("m") - centre
     total = per.agg(
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("N"),
         F.sum(F.col("n") * F.col("n")).alias("n2"),
         F.sum(F.col("n") * F.col("v")).alias("ssw"),
-        # between sum of squares around the weighted mean
-        (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum(F.col("n") * F.col("m")) ** 2 / F.sum("n")).alias("ssb"),
+        (F.sum(F.col("n") * off * off) - F.sum(F.col("n") * off) ** 2 / F.sum("n")).alias("ssb"),
     )
     k, n = F.col("k"), F.col("N")
     msb, msw = F.col("ssb") / (k - 1), F.col("ssw") / (n - k)

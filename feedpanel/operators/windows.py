@@ -3,7 +3,8 @@
 Window totals are differences of running totals: every event places a mark at
 both ends of its two windows, marks and posts are sorted together, and the
 running totals at the marks give counts and sums. The cost is one sort whatever
-the length of the window or the number of posts of one author.
+the length of the window or the number of posts of one author. Scores are added up
+as whole numbers, so a difference of large totals loses no digits.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedpanel.functions import exact
 from feedpanel.functions import scores as S
 from feedpanel.operators.ordered import first_rows, row_numbers, running_sums
 from feedpanel.operators.panel import keep_one
@@ -51,11 +53,13 @@ def window_totals(
 ) -> DataFrame:
     """Per event: posts, scored posts and score sums on both sides."""
     span = int(hours * _HOUR)
+    largest = posts.agg(*[F.max(F.abs(f"{e}_v2")).alias(e) for e in emotions]).first()
+    units = {e: exact.unit_of(largest[e]) for e in emotions}
     # posts of one instant are summed first: copies and bursts become one row
     facts = posts.groupBy("author_id", F.unix_micros("created_at").alias("t")).agg(
         F.count(F.lit(1)).alias("n_tweets"),
         *[F.count(f"{e}_v2").alias(f"n_{e}") for e in emotions],
-        *[F.sum(f"{e}_v2").alias(f"s_{e}") for e in emotions],
+        *[F.sum(k).alias(f"s{i}_{e}") for e in emotions for i, k in enumerate(exact.cuts(F.col(f"{e}_v2"), units[e]))],
     ).withColumn("place", F.lit(_POST))
     event = [
         F.col("id").alias("event_id"),
@@ -65,7 +69,7 @@ def window_totals(
     ]
     marks = events.select("author_id", *event, _marks(F.unix_micros("created_at"), span).alias("m"))
     rows = facts.unionByName(marks.select("*", "m.*").drop("m"), allowMissingColumns=True)
-    names = ["n_tweets", *[f"n_{e}" for e in emotions], *[f"s_{e}" for e in emotions]]
+    names = ["n_tweets", *[f"n_{e}" for e in emotions], *[f"s{i}_{e}" for e in emotions for i in range(exact.CUTS)]]
     totals = running_sums(
         rows.withColumnsRenamed({c: f"_{c}" for c in names}),
         ["author_id"],
@@ -73,13 +77,17 @@ def window_totals(
         {c: F.col(f"_{c}") for c in names},
     ).filter(F.col("place") != _POST)
     own = ["event_id", "author_id", "event_timestamp", "event_score", *[f"event_{e}" for e in emotions]]
-    return totals.groupBy(*own).agg(
+    found = totals.groupBy(*own).agg(
         *[
             F.sum(F.when(F.col("side") == side, F.col("sign") * F.col(name))).alias(f"{name}_{side}")
             for side in ("before", "after")
             for name in names
         ],
     )
+    sides = [(e, side) for side in ("before", "after") for e in emotions]
+    cut = {(e, side): [f"s{i}_{e}_{side}" for i in range(exact.CUTS)] for e, side in sides}
+    sums = {f"s_{e}_{side}": exact.put_together([F.col(c) for c in cut[e, side]], units[e]) for e, side in sides}
+    return found.withColumns(sums).drop(*[c for cs in cut.values() for c in cs])
 
 
 def event_windows(

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedpanel.operators import features, panel, sharers, windows
+from feedpanel.functions import exact
+from feedpanel.operators import features, panel, sharers, stats, windows
 from feedpanel.schema import EMOTIONS, check_language_set
 
 START = datetime(2020, 12, 20)
@@ -178,3 +179,38 @@ def test_period_is_half_open(spark):
     times = ["2018-12-31 23:59:59.999", "2019-01-01 00:00:00", "2023-03-31 23:59:59.999", "2023-04-01 00:00:00"]
     df = spark.createDataFrame([(t,) for t in times], "t string").select(F.to_timestamp("t").alias("created_at"))
     assert panel.in_period(df).count() == 2
+
+
+def test_exact_sums(spark):
+    rng = random.Random(5)
+    values = [rng.choice([1e6, -1.0, 1e-5, 3.0]) * rng.random() for _ in range(5000)] + [0.0, 1e6, -1e6]
+    unit = exact.unit_of(max(map(abs, values)))
+    df = spark.createDataFrame([(v, i % 7) for i, v in enumerate(values)], "x double, g int").repartition(5)
+    sums = df.groupBy("g").agg(*[F.sum(k).alias(f"k{i}") for i, k in enumerate(exact.cuts(F.col("x"), unit))])
+    total = exact.put_together([F.col(f"k{i}") for i in range(exact.CUTS)], unit)
+    got = {r["g"]: r["s"] for r in sums.select("g", total.alias("s")).collect()}
+    assert got == {g: math.fsum(v for i, v in enumerate(values) if i % 7 == g) for g in range(7)}
+    assert exact.unit_of(None) == exact.unit_of(0.0) == 1.0
+
+
+def test_windows_of_a_busy_author_lose_no_digits(spark):
+    """Small scores behind large ones: differences of plain running sums would miss their last digits."""
+    rows = [(str(i), "a", datetime(2024, 1, 1) + timedelta(minutes=i), 1e9 / 3 if i < 3000 else 1e-3 / 3, 80.0 if i > 3900 else None) for i in range(4000)]
+    posts = spark.createDataFrame(rows, "id string, author_id string, created_at timestamp, anger_v2 double, Score double")
+    events = windows.news_events(posts)
+    got = {int(r["event_id"]): r["s_anger_before"] for r in windows.window_totals(posts, events, 1, ["anger"]).collect()}
+    assert got == {i: math.fsum([1e-3 / 3] * 60) for i in range(3901, 4000)}
+
+
+def test_large_values_cost_no_digits(spark):
+    rng = random.Random(6)
+    days = [datetime(2021, 1, 1) + timedelta(hours=7 * i) for i in range(600)]
+    rows = [(f"u{rng.randrange(9)}", d, rng.gauss(rng.randrange(3), 1)) for d in days]
+
+    def table(shift):
+        return spark.createDataFrame([(u, d, x + shift) for u, d, x in rows], "author_id string, created_at timestamp, anger_v2 double")
+
+    near, far = ({r["component"]: r["pct_of_total"] for r in features.variance_decomposition(table(s), ["anger"]).collect()} for s in (0.0, 1e9))
+    assert far == {k: pytest.approx(v, abs=1e-4) for k, v in near.items()} and sum(near.values()) == pytest.approx(100)
+    near, far = (stats.icc_anova(table(s), "anger_v2", "author_id").first() for s in (0.0, 1e9))
+    assert far["icc"] == pytest.approx(near["icc"], abs=1e-6) and far["ms_between"] == pytest.approx(near["ms_between"], rel=1e-6)

@@ -111,6 +111,18 @@ def test_write_by_month(spark, new_folder):
     assert {(r["month"], r["count"]) for r in back.groupBy("month").count().collect()} == {("2021-01", 2), ("2021-02", 1)}
 
 
+def test_a_rerun_replaces_its_month_only(spark, new_folder):
+    def table(rows):
+        return spark.createDataFrame([(datetime(2021, m, 3), x) for m, x in rows], "created_at timestamp, x int")
+
+    path = f"{new_folder}/m"
+    writers.replace_months(table([(1, 1), (1, 2), (2, 3)]), path)
+    writers.replace_months(table([(2, 4), (3, 5)]), path)
+    writers.replace_months(table([(2, 4), (3, 5)]), path)
+    assert sorted(r["x"] for r in spark.read.parquet(path).collect()) == [1, 2, 4, 5]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
 def test_schema():
     kinds = {f.name: f.dataType.simpleString() for f in PANEL_SCHEMA.fields}
     assert kinds["id"] == "string" and kinds["hope_v2"] == "double" and len(kinds) == 34
