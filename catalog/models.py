@@ -470,6 +470,16 @@ def random_ids_cover(t):
         F.min("anon").alias("smallest"), F.max("anon").alias("largest"))
 
 
+@query("permuted_ids", f"WITH {POSTS} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(DISTINCT id) AS n_numbers, count(DISTINCT id) AS n_pairs, true AS in_range FROM posts")
+def permuted_ids(t):
+    """Counts that prove the map of post ids to be one to one: no two ids share a number, no id has two."""
+    posts = t.posts().select("id", F.col("id").alias("event_id"))
+    out = release.permuted_ids(posts, "event_id", release.fresh_key(t.spark))
+    return out.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.count_distinct("event_id").alias("n_numbers"),
+        F.count_distinct("id", "event_id").alias("n_pairs"), F.bool_and(F.col("event_id").between(0, (1 << 60) - 1)).alias("in_range"))
+
+
 @query("apply_mapping", f"WITH {POSTS}, m AS (SELECT author_id, row_number() OVER (ORDER BY author_id) AS anon FROM (SELECT DISTINCT author_id FROM posts)) SELECT anon AS author_id, count(*) AS n FROM posts JOIN m USING (author_id) GROUP BY 1")
 def apply_mapping(t):
     posts = t.posts().select("author_id", "lang")

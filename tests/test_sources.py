@@ -199,3 +199,35 @@ def test_work_folder_is_read_from_the_session(spark):
         conf = Conf()
 
     assert work_folder(Session()) == "hdfs://shared"
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 255, 256, 257, 1000])
+def test_permutation_is_one_to_one(spark, size):
+    key = release.fresh_key(spark, "k")
+    out = spark.range(size).withColumn("_key", key.scalar()).select("id", release.permuted(F.col("id"), size, F.col("_key")).alias("p"))
+    assert sorted(r["p"] for r in out.collect()) == list(range(size))
+
+
+def test_permuted_ids(spark):
+    ids = spark.range(20000).select((F.col("id") * 49_999_999_999_999).cast("string").alias("event_id"), "id")
+    key = release.fresh_key(spark)
+    out = release.permuted_ids(ids, "event_id", key)
+    assert out.columns == ids.columns and out.select("event_id").distinct().count() == 20000
+    again = release.permuted_ids(ids.filter("id < 100"), "event_id", key).join(out.withColumnRenamed("event_id", "e"), "id")
+    assert again.filter("event_id = e").count() == 100
+    other = release.permuted_ids(ids, "event_id", release.fresh_key(spark)).join(out.withColumnRenamed("event_id", "e"), "id")
+    assert other.filter("event_id = e").count() < 5
+    secret = key.first()["key"]
+    assert secret not in out._jdf.queryExecution().toString()
+    assert [r[0] for r in release.permuted_ids(spark.createDataFrame([(None,)], "event_id string"), "event_id", key).collect()] == [None]
+    for bad in ("e1", "-5", "07", "1" * 19):
+        with pytest.raises(Exception, match="whole number"):
+            release.permuted_ids(spark.createDataFrame([(bad,)], "event_id string"), "event_id", key).collect()
+
+
+def test_a_release_of_numbers_stores_no_event_mapping(spark, monkeypatch):
+    monkeypatch.setattr(release, "random_ids", None)
+    w = spark.createDataFrame([("11", "9", 1.0), ("12", "10", 2.0), (None, "9", 3.0)], "event_id string, author_id string, s double")
+    out = release.release({"a": w, "b": w.filter("s > 1")}, {"a": ["event_id", "author_id"], "b": ["event_id", "author_id"]}, w)
+    a, b = ({r["s"]: r["event_id"] for r in out[t].collect()} for t in "ab")
+    assert a[3.0] is None and a[2.0] == b[2.0] and a[1.0] != a[2.0]
