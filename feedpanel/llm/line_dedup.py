@@ -18,7 +18,7 @@ _OTHER_SPACES = ("  ", "\t", "\x0b", "\f", "\r")
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, node, line, string)`` of every line with a word, its words parted by single spaces; ``node`` is the text's hash."""
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
     lines = base.select("doc_id", "node", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     odd = F.lit(False)
     for space in _OTHER_SPACES:
@@ -188,7 +188,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = dropped_lines(docs, id_col, text_col, min_words).withColumnsRenamed({"doc_id": "_id", "node": "_node"})
     base = docs.select(F.col(id_col), F.xxhash64(text_col).alias("node"))
-    same = base[id_col].cast("bigint").eqNullSafe(found["_id"]) & (base["node"] == found["_node"])
+    same = base[id_col].eqNullSafe(found["_id"]) & (base["node"] == found["_node"])
     none = F.array().cast("array<int>")
     every = F.sort_array(F.concat(F.coalesce("exact", none), F.coalesce("near", none)))
     return base.join(found, same, "left").select(
@@ -199,16 +199,17 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the dropped lines. A document none of whose lines stays goes; one without any line is left as it is."""
+    """``docs`` without the dropped lines, with all columns, whatever their names. A document none of whose lines stays
+    goes; one without any line is left as it is."""
     found = dropped_lines(docs, id_col, text_col, min_words)
     found = found.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "n_lines", F.concat("exact", "near").alias("_dropped"))
     found = found.filter(F.size("_dropped") > 0).withColumn("_all", F.size("_dropped") == F.col("n_lines")).drop("n_lines")
-    marked = docs.withColumn("_key", F.xxhash64(text_col))
-    same = marked[id_col].cast("bigint").eqNullSafe(found["_id"]) & (marked["_key"] == found["_node"])
+    marked = docs.select(F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"), F.struct("*").alias("row"))
+    same = marked["key"].eqNullSafe(found["_id"]) & (marked["hash"] == found["_node"])
     joined = marked.join(found, same, "left").filter("_all IS NULL OR NOT _all")
-    lines = F.split(F.col(text_col), "\n")
-    kept = _let(lines, lambda x: F.array_join(
+    before = F.col("row").getField(text_col)
+    kept = _let(F.split(before, "\n"), lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_dropped")), lambda i: F.get(x, i)), "\n"
     ))
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*(text.alias(c) if c == text_col else marked[c] for c in docs.columns))
+    text = F.when(F.col("_dropped").isNull(), before).otherwise(kept)
+    return joined.select(*((text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -124,11 +124,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``copies``: how often. Rows equal in id, source and size share theirs evenly."""
+    """The rows of ``docs`` that the mix takes, with all columns and ``copies``: how often. Where ``docs`` has a column of that
+    name, the new one takes the first free name of ``copies_1``, ``copies_2``, ... Rows equal in id, source and size share theirs evenly."""
     each = queue(_sizes(docs, id_col, text_col, source_col), seed).filter("size > 0").groupBy("doc_id", "source", "size")
     each = each.agg((F.sum("taken") / F.first("size") / F.count("*")).alias("_copies")).filter("_copies > 0")
     each = each.withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"})
-    sized = docs.withColumn("_words", n_words(F.col(text_col)))
-    same = sized[id_col].eqNullSafe(each["_id"]) & sized[source_col].cast("string").eqNullSafe(each["_source"]) & (sized["_words"] == each["_size"])
-    taken = sized.join(each, same)
-    return taken.select(*(sized[c] for c in docs.columns), F.col("_copies").alias("copies"))
+    sized = docs.select(
+        F.col(id_col).alias("key"), F.col(source_col).cast("string").alias("from"), n_words(F.col(text_col)).alias("words"), F.struct("*").alias("row")
+    )
+    same = sized["key"].eqNullSafe(each["_id"]) & sized["from"].eqNullSafe(each["_source"]) & (sized["words"] == each["_size"])
+    name, n = "copies", 0
+    while name.lower() in {c.lower() for c in docs.columns}:
+        n += 1
+        name = f"copies_{n}"
+    return sized.join(each, same).select("row.*", F.col("_copies").alias(name))

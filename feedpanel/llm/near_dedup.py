@@ -254,10 +254,11 @@ def near_duplicates(
     any id has a null class_id. Repeated rows share node and class and are all ``kept`` together. Other columns,
     whatever their names, are ignored; an empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = base.schema["_id"].dataType.simpleString()
     base = base.withColumn("_node", F.xxhash64("_text"))
     signed = materialize(
-        base.mapInArrow(_signed(width, bands, band_rows, weights), "_id bigint, _node bigint, n_words bigint, bands array<bigint>")
+        base.mapInArrow(_signed(width, bands, band_rows, weights), f"_id {kind}, _node bigint, n_words bigint, bands array<bigint>")
     )
     worded = signed.filter("n_words > 0")
     nodes = worded.groupBy("_node").agg(F.min("_id").alias("_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -295,12 +296,12 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class of ``near_duplicates``, all columns kept.
+    """``docs`` with one document of each class of ``near_duplicates``, all columns kept, whatever their names.
 
     Rows that repeat both id and text become one. Texts without words stay.
     """
     gone = near_duplicates(docs, id_col, text_col, **options).filter("NOT kept")
     gone = gone.select(F.col(id_col).alias("_id"), F.col("node").alias("_node")).distinct()
-    marked = docs.withColumn("_node", F.xxhash64(text_col))
-    same = marked[id_col].eqNullSafe(gone["_id"]) & (marked["_node"] == gone["_node"])
-    return marked.join(gone, same, "left_anti").dropDuplicates([id_col, "_node"]).drop("_node")
+    marked = docs.select(F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"), F.struct("*").alias("row"))
+    same = marked["key"].eqNullSafe(gone["_id"]) & (marked["hash"] == gone["_node"])
+    return marked.join(gone, same, "left_anti").dropDuplicates(["key", "hash"]).select("row.*")

@@ -264,12 +264,12 @@ def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     hidden = disguised_spans(text)
     every = {}
     for kind in KINDS:
-        spans = list(base[kind])
-        for s in hidden.get(kind, ()):
-            if all(s[1] <= a or b <= s[0] for a, b in _near(spans, s)):
-                spans.append(s)
-                spans.sort()
-        every[kind] = spans
+        plain, added, end = base[kind], [], 0
+        for s in hidden.get(kind, ()):  # in order, as the way back to the source keeps it
+            if s[0] >= end and all(s[1] <= a or b <= s[0] for a, b in _near(plain, s)):
+                added.append(s)
+                end = s[1]
+        every[kind] = sorted(plain + added)
     return base, every
 
 
@@ -287,7 +287,8 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in frame["_text"]:
             base, every = all_spans(text or "")
-            found = [(kind, a, b, (a, b) not in base[kind]) for kind in KINDS for a, b in every[kind]]
+            plain = {(kind, *s) for kind in KINDS for s in base[kind]}
+            found = [(kind, a, b, (kind, a, b) not in plain) for kind in KINDS for a, b in every[kind]]
             rows.append((*(len(base[k]) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), found))
         out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"])
         out.insert(0, "_id", frame["_id"].to_numpy())

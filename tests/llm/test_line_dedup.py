@@ -110,3 +110,13 @@ def test_texts_that_share_an_id(spark):
     assert kept.count(f"{header} ten") == 0 and kept.count("own a") == 1 and kept.count("own b") == 2
     report = [(r.doc_id, r.n_exact, r.n_near) for r in line_report(docs).collect()]
     assert sum(e for d, e, _ in report if d == 1) == 1 and sum(e for d, e, _ in report if d is None) in (1, 2)
+
+
+def test_any_columns_and_text_ids(spark):
+    """Columns named like the operator's own stay as they are; ids may be texts."""
+    names = ["_key", "_all", "_node", "_id", "_dropped", "key", "row", "hash", "a.b"]
+    rows = [("b", "one line here\nsame line", *range(9)), ("a", "same line\nanother", *range(9, 18)), ("c", "same line", *range(18, 27))]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = {r["doc_id"]: tuple(r)[1:] for r in drop_lines(frame).collect()}
+    assert got == {"a": ("same line\nanother", *range(9, 18)), "b": ("one line here", *range(9))}
+    assert {r["doc_id"]: r["dropped"] for r in line_report(frame).collect()} == {"a": "", "b": "1", "c": "0"}

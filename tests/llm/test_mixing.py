@@ -58,3 +58,12 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, None, None, 5), (1, "", "a", 5)], "doc_id bigint, text string, source string, taken int")
     assert {(r.size, r.target, r.taken) for r in mix(docs).collect()} == {(0, 0.0, 0)}
     assert mix(docs.limit(0)).count() == 0 and mixed_docs(docs).count() == 0
+
+
+def test_any_columns(spark):
+    """Columns named like the operator's own stay as they are."""
+    names = ["_words", "copies", "copies_1", "_id", "_size", "key", "row", "words", "from", "a.b"]
+    rows = [(str(i), f"{'w ' * (i % 9 + 1)}", "ab"[i % 2], *range(i, i + 10)) for i in range(40)]
+    out = mixed_docs(spark.createDataFrame(rows, ["doc_id", "text", "source", *names]))
+    assert out.columns == ["doc_id", "text", "source", *names, "copies_2"]
+    assert {tuple(r)[:-1] for r in out.collect()} <= set(rows) and out.count() > 10

@@ -88,3 +88,12 @@ def test_connected(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 150: 150, 200: 150}
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_any_columns_and_text_ids(spark):
+    """Columns named like the operator's own stay as they are; ids may be texts."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", text, *range(7)), ("a", text + " end", *range(7, 14)), ("z", "other words", *range(14, 21)), (None, text, *range(7))]
+    table = spark.createDataFrame(rows, ["doc_id", "text", "_node", "_id", "node", "key", "row", "hash", "a.b"])
+    assert sorted(tuple(r) for r in near_dedup.drop_near_duplicates(table).collect()) == [rows[1], rows[2]]
+    assert {(r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(table).collect()} == {("a", "a"), ("b", "a"), (None, "a"), ("z", "z")}

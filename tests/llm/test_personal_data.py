@@ -108,3 +108,19 @@ def test_odd_rows(spark):
     texts = [r.text for r in masked(docs).filter("doc_id = 2 OR doc_id = 1").collect()]
     assert sorted(map(str, texts)) == ["", "<email> <email>", "<email> <email>", "None"]
     assert personal_data(docs.limit(0)).count() == 0
+
+
+def test_long_lists_of_addresses_take_linear_time():
+    import time
+
+    one = "write to jane.doe [at] example [dot] com or jim@example.org, call +49 170 1234567; "
+
+    def seconds(copies):
+        text = one * copies
+        start = time.perf_counter()
+        base, every = all_spans(text)
+        assert len(base["email"]) == copies and len(every["email"]) == 2 * copies
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(40_000) < 60  # 3.3 million characters; quadratic work would take many minutes
