@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from feedpanel.llm.words import LOWER, Words, blocks, mix
 from feedpanel.session import materialize
 
-#: Bytes of text in one shard, words of the benchmark that one pass sends to all tasks, words in one of its pieces.
+#: Bytes of text in one shard, words of the benchmark that one pass sends to all tasks (more only if one item has more),
+#: pairs of places that are compared at once.
 SHARD_BYTES = 8 << 20
-PASS_WORDS = 4 << 20
-PIECE_WORDS = 4096
+PASS_WORDS = 1 << 19
+_PAIRS = 1 << 20
 _GRAM = 4
 
 SEPARATOR = np.ones(256, bool)
@@ -29,7 +30,11 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Passages:
-    """Test suffixes of a part of the benchmark, packed for comparison with training suffixes."""
+    """Test suffixes of a part of the benchmark, packed for comparison with training suffixes.
+
+    A test suffix begins at every word at which a window does. Suffixes that begin with the same window are one entry of
+    the tables that are searched (``low``, ``high``, ``size``); ``window_of`` says which one each suffix has.
+    """
 
     def __init__(self, pieces: list[np.ndarray], items: list[list[str]], window: int):
         length = np.array([len(p) for p in pieces], np.int64)
@@ -42,18 +47,28 @@ class Passages:
         end = np.cumsum(length)
         size = np.minimum(length, window)
         count = length - size + 1
-        self.start = _ranges(end - length, count)  # first word of each test suffix that holds a window
-        self.piece = np.repeat(np.arange(len(pieces)), count)
-        self.size = np.repeat(size, count)
-        self.piece_start, self.piece_end = (end - length)[self.piece], end[self.piece]
-        at = self.start[:, None] + np.arange(self.depth)
-        beyond = np.arange(self.depth) >= self.size[:, None]
+        start = _ranges(end - length, count)  # first word of each test suffix
+        piece, size = np.repeat(np.arange(len(pieces)), count), np.repeat(size, count)
+        at = start[:, None] + np.arange(self.depth)
+        beyond = np.arange(self.depth) >= size[:, None]
         ids = self._numbers(self.words)[np.minimum(at, max(len(self.words) - 1, 0))] if len(pieces) else at
-        self.low = self._pack(np.where(beyond, 0, ids))
-        self.high = self._pack(np.where(beyond, (1 << self.bits) - 1, ids))
+        low = self._pack(np.where(beyond, 0, ids))
+        high = self._pack(np.where(beyond, (1 << self.bits) - 1, ids))
+        table = np.stack([*low, *high, size], 1)
+        distinct, self.window_of = np.unique(table, axis=0, return_inverse=True)
+        self.low, self.high, self.size = list(distinct.T[: len(low)]), list(distinct.T[len(low) : -1]), distinct[:, -1]
+        # the items of each window
+        self.held = np.unique(np.stack([self.window_of, piece], 1), axis=0)
+        self.held_from = np.searchsorted(self.held[:, 0], np.arange(len(distinct) + 1))
+        # suffixes by window, then by the word before them, 0 at the beginning of an item
+        ahead = np.where(start > (end - length)[piece], self._numbers(self.words)[np.maximum(start - 1, 0)], 0) if len(pieces) else start
+        self.span = len(self.vocabulary) + 1
+        key = self.window_of * self.span + ahead
+        order = np.argsort(key, kind="stable")
+        self.key, self.start, self.end = key[order], start[order], end[piece][order]
         self.grams = {}
-        for k in np.unique(np.minimum(self.size, _GRAM)):
-            begins = self.start[np.minimum(self.size, _GRAM) == k]
+        for k in np.unique(np.minimum(size, _GRAM)):
+            begins = start[np.minimum(size, _GRAM) == k]
             self.grams[int(k)] = np.unique(_grams(self.words, begins, int(k)))
 
     def _numbers(self, words: np.ndarray) -> np.ndarray:
@@ -90,28 +105,49 @@ class Passages:
         return suffix[order], [k[order] for k in keys]
 
     def matches(self, words: np.ndarray, row_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in the shard, test suffix) of every occurrence of every window."""
+        """(position in the shard, window) of every occurrence of every distinct window."""
         suffix, keys = self.suffix_array(words, row_end)
         lo, hi = _bound(keys, self.low, len(suffix), False), _bound(keys, self.high, len(suffix), True)
         count = hi - lo
-        return suffix[_ranges(lo, count)], np.repeat(np.arange(len(self.start)), count)
+        return suffix[_ranges(lo, count)], np.repeat(np.arange(len(self.size)), count)
+
+    def longest(self, words, row, row_start, row_end, at, which, rows: int) -> np.ndarray:
+        """Words of each row's longest verbatim match.
 
-    def longest(self, words, row_start, row_end, at, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, test suffix, words) of the verbatim matches that reach as far as they can to both sides."""
-        q = self.start[which]
-        before = (at > row_start[at]) & (q > self.piece_start[which])
-        before[before] = words[at[before] - 1] == self.words[q[before] - 1]
+        Occurrences of a window are joined with the test suffixes that begin with it but follow another word than the
+        occurrence does: where the words before are equal too, the match begins further left and is followed from there.
+        """
+        out = np.zeros(rows, np.int64)
+        np.maximum.at(out, row[at], self.size[which])
         whole = self.size[which] == self.window
-        first = ~(before & whole)
-        at, which, q = at[first], which[first], q[first]
-        length = self.size[which].copy()
-        going = np.arange(len(at))
-        while len(going):
-            p, r = at[going] + length[going], q[going] + length[going]
-            going, p, r = (x[(p < row_end[at[going]]) & (r < self.piece_end[which[going]])] for x in (going, p, r))
-            going = going[words[p] == self.words[r]]
-            length[going] += 1
-        return at, which, length
+        at, which = at[whole], which[whole]
+        if not len(at):
+            return out
+        inside = at > row_start[at]
+        ahead = np.where(inside, self._numbers(words[np.maximum(at - 1, 0)]), 0)
+        ahead = np.where(inside & (ahead > 0), ahead, -1)  # no word of the benchmark: no suffix follows it
+        key = which * self.span
+        first, last = np.searchsorted(self.key, key), np.searchsorted(self.key, key + self.span)
+        same = np.where(ahead > 0, np.searchsorted(self.key, key + ahead), last)
+        after = np.where(ahead > 0, np.searchsorted(self.key, key + ahead, "right"), last)
+        begin, count = np.concatenate([first, after]), np.concatenate([same - first, last - after])
+        place = np.concatenate([at, at])
+        upto = np.cumsum(count)
+        lo = 0
+        while lo < len(count):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _PAIRS, "right")))
+            p, q = np.repeat(place[lo:hi], count[lo:hi]), _ranges(begin[lo:hi], count[lo:hi])
+            length = np.full(len(p), self.window, np.int64)
+            going = np.arange(len(p))
+            while len(going):
+                x, y = p[going] + length[going], self.start[q[going]] + length[going]
+                there = (x < row_end[p[going]]) & (y < self.end[q[going]])
+                going, x, y = going[there], x[there], y[there]
+                going = going[words[x] == self.words[y]]
+                length[going] += 1
+            np.maximum.at(out, row[p], length)
+            lo = hi
+        return out
 
 
 def _grams(words: np.ndarray, begins: np.ndarray, k: int) -> np.ndarray:
@@ -142,72 +178,68 @@ class Shard:
     def __init__(self, passages: Passages, data: np.ndarray, offsets: np.ndarray):
         words = Words(LOWER[data], offsets, SEPARATOR)
         self.passages, self.first, self.n_words = passages, words.first, np.diff(words.first)
-        rows = len(self.n_words)
-        self.hit = np.zeros(rows, np.int64)
+        self.rows = len(self.n_words)
+        self.hit, self.longest = np.zeros(self.rows, np.int64), np.zeros(self.rows, np.int64)
         self.row, self.span_start, self.span_end = (np.zeros(0, np.int64) for _ in range(3))
-        self.pairs = np.zeros((0, 2), np.int64)
+        self.windows = np.zeros((0, 2), np.int64)
         if not len(words.start) or not len(passages.start):
             return
         hashes = words.hashes()
         row = words.row
         row_start, row_end = words.first[:-1][row], words.first[1:][row]
         at, which = passages.matches(hashes, row_end)
+        if not len(at):
+            return
         cover = np.zeros(len(hashes) + 1, np.int64)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + passages.size[which], -1)
-        self.hit = np.bincount(row, np.cumsum(cover[:-1]) > 0, rows).astype(np.int64)
-        self.pairs = np.unique(np.stack([row[at], passages.piece[which]], 1), axis=0) if len(at) else self.pairs
-        at, which, length = passages.longest(hashes, row_start, row_end, at, which)
-        self.row, self.span_start = row[at], at - row_start[at]
-        self.span_end = self.span_start + length
-
-    def found(self, count: int):
-        """Of each row: item ids, and [start, end) of the matched words, merged."""
-        items: list[set[str]] = [set() for _ in range(count)]
-        for r, p in self.pairs.tolist():
-            items[r].update(self.passages.items[p])
-        spans: list[list[tuple[int, int]]] = [[] for _ in range(count)]
-        for r, a, b in sorted(zip(self.row.tolist(), self.span_start.tolist(), self.span_end.tolist(), strict=True)):
-            if spans[r] and a <= spans[r][-1][1]:
-                spans[r][-1] = (spans[r][-1][0], max(b, spans[r][-1][1]))
-            else:
-                spans[r].append((a, b))
-        longest = np.zeros(count, np.int64)
-        np.maximum.at(longest, self.row, self.span_end - self.span_start)
-        return items, spans, longest
-
-
-def _pieces(window: int):
-    """Items as word hashes; a long item in pieces that overlap by a window less one word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column("text")):
-                words = Words(LOWER[data], offsets, SEPARATOR)
-                hashes, ids, parts = words.hashes(), [], []
-                for r, item in enumerate(batch.column("item").slice(lo, hi - lo).to_pylist()):
-                    a, b = words.first[r], words.first[r + 1]
-                    for s in range(a, max(b - window + 1, a + (b > a)), PIECE_WORDS):
-                        ids.append(item)
-                        parts.append(hashes[s : min(b, s + PIECE_WORDS + window - 1)])
-                lengths = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.string()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], ["item", "words"]
-                )
-
-    return run
+        covered = np.cumsum(cover[:-1]) > 0
+        self.hit = np.bincount(row, covered, self.rows).astype(np.int64)
+        # runs of matched words inside a row
+        edge = np.arange(len(row)) == row_start
+        begin = covered & (edge | ~np.append(False, covered[:-1]))
+        stop = covered & (np.append(edge[1:], True) | ~np.append(covered[1:], False))
+        begin, stop = np.flatnonzero(begin), np.flatnonzero(stop)
+        self.row, self.span_start, self.span_end = row[begin], begin - row_start[begin], stop + 1 - row_start[begin]
+        self.windows = np.unique(np.stack([row[at], which], 1), axis=0)
+        self.places = hashes, row, row_start, row_end, at, which
+
+    def found(self):
+        """Of each row: item ids, [start, end) of the matched words, and the length of the longest match."""
+        items: list[set[str]] = [set() for _ in range(self.rows)]
+        spans: list[list[tuple[int, int]]] = [[] for _ in range(self.rows)]
+        if not len(self.windows):
+            return items, spans, self.longest
+        p = self.passages
+        row, window = self.windows.T
+        count = p.held_from[window + 1] - p.held_from[window]
+        held = np.stack([np.repeat(row, count), p.held[_ranges(p.held_from[window], count), 1]], 1)
+        for r, piece in np.unique(held, axis=0).tolist():
+            items[r].update(p.items[piece])
+        for r, a, b in zip(self.row.tolist(), self.span_start.tolist(), self.span_end.tolist(), strict=True):
+            spans[r].append((a, b))
+        return items, spans, p.longest(*self.places, self.rows)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items that have words, as word hashes."""
+    for batch in batches:
+        for lo, hi, data, offsets in blocks(batch.column("text")):
+            words = Words(LOWER[data], offsets, SEPARATOR)
+            lists = pa.LargeListArray.from_arrays(pa.array(words.first), pa.array(words.hashes().view(np.int64))).cast(pa.list_(pa.int64()))
+            found = pa.RecordBatch.from_arrays([batch.column("item").slice(lo, hi - lo), lists], ["item", "words"])
+            yield found.filter(pa.array(np.diff(words.first) > 0))
 
 
 def passages_of(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", pass_words: int = PASS_WORDS) -> list:
     """Broadcast ``Passages``, each of about ``pass_words`` words at most.
 
-    The benchmark is measured first. Only one part of that size is held at a time, so a larger benchmark costs more
-    passes over the documents, not more memory.
+    The benchmark is measured first, and equal items become one. A part is a pass over the documents, so a larger
+    benchmark costs more passes, not more memory; only a single item of more words makes a larger part.
     """
     spark = items.sparkSession
     base = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    pieces = base.mapInArrow(_pieces(window), "item string, words array<bigint>")
+    pieces = base.mapInArrow(_hashed, "item string, words array<bigint>")
     pieces = pieces.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
     pieces = materialize(pieces.withColumn("key", F.xxhash64("words")))
     total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
@@ -231,7 +263,7 @@ def _search(passages):
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column("_text"), SHARD_BYTES):
                 shard = Shard(passages.value, data, offsets)
-                items, spans, longest = shard.found(hi - lo)
+                items, spans, longest = shard.found()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").slice(lo, hi - lo), batch.column("_hash").slice(lo, hi - lo), pa.array(shard.n_words),
                      pa.array(shard.hit), pa.array([sorted(s) for s in items], pa.list_(pa.string())),
@@ -250,7 +282,7 @@ def contamination(
 
     Words are runs of digits, a-z (A-Z folded) and anything beyond ASCII. A window is ``window`` words of an item in a
     row, or all of an item with fewer. Each task sorts the suffixes of a shard of documents into an array, and every
-    test suffix is looked up in it by binary search; matches are then followed to their full length. ``n_hit`` counts
+    test suffix is looked up in it by binary search, equal windows once; matches are then followed to their full length. ``n_hit`` counts
     the words inside an occurrence of a window, ``items`` lists the ids of the items found (as strings), ``spans`` the
     matched words as [start, end), ``longest`` the words of the longest verbatim match. Words are compared by 64-bit hashes.
 
@@ -304,6 +336,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text_
 
         return kept
 
-    for passages in passages_of(items, window):
-        docs = docs.mapInArrow(run(passages, docs.columns.index(text_col)), docs.schema)
+    for number, passages in enumerate(passages_of(items, window)):
+        # a part at a time: what the last one left is stored before the next one is sent
+        docs = (materialize(docs) if number else docs).mapInArrow(run(passages, docs.columns.index(text_col)), docs.schema)
     return docs
