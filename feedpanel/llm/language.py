@@ -15,10 +15,10 @@ UNKNOWN = "und"
 HIDDEN = 16
 #: Bytes of one sequence; a longer word is read in pieces.
 PIECE = 32
-#: Training sample: documents of each language, words of each document, and languages (the most frequent ones).
-DOCS_PER_LANG, WORDS_PER_DOC, LANGS = 250, 64, 256
+#: Training sample: documents of each language, and words of each document (or stretches of ``STRETCH`` bytes of longer words).
+DOCS_PER_LANG, WORDS_PER_DOC, STRETCH = 250, 64, 128
 EPOCHS, BATCH, RATE = 6, 256, 0.01
-_KNOWN_WORDS = 1 << 19
+_KNOWN_BYTES = 1 << 26
 _CHUNK = 2048
 
 
@@ -213,7 +213,7 @@ class Reader:
         if not len(words.start):
             return np.zeros((rows, len(self.network.langs)))
         hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.hashes) > _KNOWN_WORDS:
+        if self.hashes.nbytes + self.sums.nbytes + self.count.nbytes > _KNOWN_BYTES:
             self._forget()
         new = np.flatnonzero(~np.isin(hashes, self.hashes, assume_unique=True))
         sums, count = self.network.word_sums(data, words.start[first[new]], words.end[first[new]])
@@ -245,16 +245,29 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
+def stretches(word: bytes) -> list[bytes]:
+    """The word in pieces of at most ``STRETCH`` bytes that part no character."""
+    out, at = [], 0
+    while len(word) - at > STRETCH:
+        end = at + STRETCH
+        while end > at + STRETCH - 4 and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
+
+
 def _sampled(words: int):
-    """A random sample of the words of each text, the same in every run."""
+    """A random sample of the words of each text, the same in every run. Longer words take part by their stretches, so of
+    a script without spaces any part of a text may be learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, key in zip(batch.column("_text").to_pylist(), batch.column("order").to_pylist(), strict=True):
-                found = text.encode().split()
+                found = [piece for word in text.encode().split() for piece in stretches(word)]
                 pick = np.random.default_rng(key & 0x7FFFFFFF).permutation(len(found))[:words]
-                out.append([found[i][: 4 * PIECE] for i in sorted(pick.tolist())])
+                out.append([found[i] for i in sorted(pick.tolist())])
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), pa.array(out, pa.list_(pa.binary()))], ["lang", "order", "words"])
 
     return run
@@ -262,25 +275,24 @@ def _sampled(words: int):
 
 def fit(
     docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int = WORDS_PER_DOC, langs: int = LANGS, epochs: int = EPOCHS,
+    docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int = WORDS_PER_DOC, epochs: int = EPOCHS,
 ) -> Network:
     """A network trained on a bounded sample of the labelled rows for which ``learn`` holds.
 
-    The sample is at most ``docs_per_lang`` documents of each of the ``langs`` most frequent languages (those with the
-    least hash of id and text) and ``words_per_doc`` random words of each, so it does not grow with the table.
+    The sample is at most ``docs_per_lang`` documents of each language (those with the least hash of id and text) and
+    ``words_per_doc`` random words of each, so it grows with the number of languages only.
     """
     order = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.filter(~held_out(id_col) if learn is None else learn)
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"), order.alias("order"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
+    counts = rows.groupBy("lang").count().collect()
     names = sorted(r.lang for r in counts)
     if not names:
         return Network([])
     # a hash below the limit lets about twice the wanted number of a language through; the rank keeps the first ones
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, min(1.0, 2.0 * docs_per_lang / r["count"])).otherwise(share)
+    shares = [F.lit(x) for r in sorted(counts, key=lambda r: r.lang) for x in (r.lang, min(1.0, 2.0 * docs_per_lang / r["count"]))]
+    share = F.try_element_at(F.create_map(*shares), F.col("lang"))
     near = rows.filter(F.pmod("order", F.lit(1 << 20)) <= share * (1 << 20))
     sample = near.mapInArrow(_sampled(words_per_doc), "lang string, order bigint, words array<binary>")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 20)), "order"))

@@ -109,3 +109,21 @@ def test_nothing_to_learn_from(spark):
     network = fit(frame)
     assert network.langs == [] and {(r.lang_pred, r.score) for r in languages(frame, network).collect()} == {("und", 0.0)}
     assert fit(frame.limit(0)).langs == []
+
+
+def test_every_part_of_a_long_word_is_learned_from(spark):
+    word = "漢字é" * 200
+    parts = language.stretches(word.encode())
+    assert b"".join(parts) == word.encode() and max(map(len, parts)) <= language.STRETCH
+    assert "".join(p.decode() for p in parts) == word and language.stretches(b"") == [b""]
+    # two languages that differ only behind the first 128 bytes of their single word
+    rows = [(i, "." * 128 + ("abc" if i % 2 else "xyz") * 300, "l" + str(i % 2)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = languages(frame, fit(frame, epochs=20)).collect()
+    assert all(r.lang_pred == "l" + str(r.doc_id % 2) for r in got)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 20, f"l{i % 300}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(fit(frame, learn=F.lit(True), epochs=1, words_per_doc=2).langs) == 300
