@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog.base import POSTS, TEXTS, query
+from feedpanel.functions import scores
 from feedpanel.operators import panel
 from feedpanel.session import work_folder
 from feedpanel.sources import readers, writers
@@ -34,15 +35,25 @@ def _pages(t) -> str:
         F.when(F.col("k") % 4 != 0, "de").alias("lang"),
         F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"),
         uid.alias("author_id"),
-        F.struct(F.col("k").alias("like_count"), F.when(F.col("k") > 9, F.col("k")).alias("reply_count")).alias("public_metrics"),
-        F.when(F.col("k") > 4, F.struct(F.array_repeat(F.struct(url.alias("expanded_url")), F.col("k") % 3).alias("urls"))).alias("entities"),
+        F.struct(
+            F.col("k").alias("like_count"), F.when(F.col("k") > 9, F.col("k")).alias("reply_count"), (F.col("k") + 1).alias("retweet_count"),
+            F.when(F.col("k") % 2 == 0, F.col("k") * 2).alias("quote_count"), (F.col("k") * 100).alias("impression_count"),
+        ).alias("public_metrics"),
+        F.when(F.col("k") > 4, F.struct(
+            F.array_repeat(F.struct(F.concat(F.lit("https://t.co/"), F.col("k")).alias("url"), url.alias("expanded_url")), F.col("k") % 3).alias("urls"),
+            F.array(F.struct(F.concat(F.lit("h"), F.col("k")).alias("tag")), F.struct(F.lit("z").alias("tag"))).alias("hashtags"),
+            F.when(F.col("k") > 60, F.array(F.struct(F.concat(F.lit("u"), uid).alias("username")))).alias("mentions"),
+        )).alias("entities"),
+        F.col("event_id").cast("string").alias("conversation_id"),
         F.when(F.col("k") > 50, refs).alias("referenced_tweets"),
         F.when(F.col("k") % 7 == 0, uid).alias("in_reply_to_user_id"),
     )
     user = F.struct(
-        uid.alias("id"), F.concat(F.lit("u"), uid).alias("username"),
-        F.when(F.col("user_id") % 3 != 0, F.lit("a\nb")).alias("description"),
-        F.struct((F.col("user_id") * 7).alias("followers_count")).alias("public_metrics"),
+        uid.alias("id"), F.concat(F.lit("u"), uid).alias("username"), F.concat(F.lit("N "), uid).alias("name"),
+        F.when(F.col("user_id") % 3 != 0, F.lit("a\nb")).alias("description"), (F.col("user_id") % 5 == 0).alias("verified"),
+        F.when(F.col("user_id") % 2 == 0, "Graz").alias("location"), F.lit("2020-01-01T00:00:00.000Z").alias("created_at"),
+        F.struct((F.col("user_id") * 7).alias("followers_count"), (F.col("user_id") + 1).alias("following_count")).alias("public_metrics"),
+        F.when(F.col("user_id") % 4 == 0, F.struct(F.struct(F.array(F.struct(F.concat(F.lit("https://me/"), uid).alias("expanded_url"))).alias("urls")).alias("url"))).alias("entities"),
     )
     path = fresh(t)
     e.select(F.to_json(F.struct(F.array(post).alias("data"), F.struct(F.array(user).alias("users")).alias("includes")))).write.text(path)
@@ -52,27 +63,73 @@ def _pages(t) -> str:
 _K = "WITH k AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)"
 
 
-@query("read_posts_json", f"""{_K} SELECT CAST(event_id AS VARCHAR) AS id, event_type || ' "' || k || '", end' AS text, CASE WHEN k % 4 <> 0 THEN 'de' END AS lang,
- strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at, CAST(k AS DOUBLE) AS like_count, CASE WHEN k > 9 THEN CAST(k AS DOUBLE) END AS reply_count,
- CASE WHEN k > 4 THEN trim(repeat('https://x.org/' || k || ' ', k % 3)) ELSE '' END AS expanded_urls,
+@query("read_posts_json", f"""{_K} SELECT CAST(event_id AS VARCHAR) AS id, CAST(event_id AS VARCHAR) AS conversation_id, event_type || ' "' || k || '", end' AS text, CASE WHEN k % 4 <> 0 THEN 'de' END AS lang,
+ strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at, CAST(user_id AS VARCHAR) AS author_id, CAST(k + 1 AS DOUBLE) AS retweet_count, CASE WHEN k > 9 THEN CAST(k AS DOUBLE) END AS reply_count,
+ CASE WHEN k % 2 = 0 THEN CAST(k * 2 AS DOUBLE) END AS quote_count, CAST(k AS DOUBLE) AS like_count, CAST(k * 100 AS DOUBLE) AS impression_count,
+ CASE WHEN k > 4 THEN trim(repeat('https://t.co/' || k || ' ', k % 3)) ELSE '' END AS urls, CASE WHEN k > 4 THEN trim(repeat('https://x.org/' || k || ' ', k % 3)) ELSE '' END AS expanded_urls,
+ CASE WHEN k > 4 THEN 'h' || k || ' z' ELSE '' END AS hashtags, CASE WHEN k > 60 THEN 'u' || user_id ELSE '' END AS mentions,
  CASE WHEN k > 50 THEN concat_ws(' ', CASE WHEN k % 2 = 0 THEN 'retweeted' END, CASE WHEN k % 3 = 0 THEN 'quoted' END) ELSE '' END AS tweet_type,
  CASE WHEN k > 50 AND k % 2 = 0 THEN CAST(event_id + 1 AS VARCHAR) ELSE '' END AS retweeted_id, CASE WHEN k > 50 AND k % 3 = 0 THEN CAST(event_id + 2 AS VARCHAR) ELSE '' END AS quoted_id,
  CASE WHEN k % 7 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS in_reply_to_user_id FROM k""")
 def read_posts_json(t):
-    return readers.read_posts_json(t.spark, _pages(t), multi_line=False).select(
-        "id", "text", "lang", "created_at", "like_count", "reply_count", "expanded_urls", "tweet_type", "retweeted_id",
-        "quoted_id", "in_reply_to_user_id")
+    return readers.read_posts_json(t.spark, _pages(t))
 
 
-@query("read_posts_json_reduced", f"{_K} SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS author_id, CASE WHEN k > 9 THEN '{{\"reply_count\":' || k || ',\"like_count\":' || k || '}}' ELSE '{{\"like_count\":' || k || '}}' END AS public_metrics FROM k")
+_METRICS = "'{\"retweet_count\":' || (k + 1) || CASE WHEN k > 9 THEN ',\"reply_count\":' || k ELSE '' END || CASE WHEN k % 2 = 0 THEN ',\"quote_count\":' || (k * 2) ELSE '' END || ',\"like_count\":' || k || ',\"impression_count\":' || (k * 100) || '}'"
+_REFS = "'[' || concat_ws(',', CASE WHEN k % 2 = 0 THEN '{\"type\":\"retweeted\",\"id\":\"' || (event_id + 1) || '\"}' END, CASE WHEN k % 3 = 0 THEN '{\"type\":\"quoted\",\"id\":\"' || (event_id + 2) || '\"}' END) || ']'"
+
+
+@query("read_posts_json_reduced", f"""{_K} SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS author_id, CAST(event_id AS VARCHAR) AS conversation_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at,
+ CASE WHEN k % 7 = 0 THEN CAST(user_id AS VARCHAR) END AS in_reply_to_user_id, CASE WHEN k % 4 <> 0 THEN 'de' END AS lang, event_type || chr(10) || '"' || k || '",' || chr(13) || 'end' AS text,
+ CASE WHEN k > 50 THEN {_REFS} END AS referenced_tweets, {_METRICS} AS public_metrics FROM k""")
 def read_posts_json_reduced(t):
-    return readers.read_posts_json_reduced(t.spark, _pages(t)).select("id", "author_id", "public_metrics")
+    return readers.read_posts_json_reduced(t.spark, _pages(t))
 
 
-@query("read_users_json", "SELECT CAST(user_id AS VARCHAR) AS author_id, 'u' || user_id AS username, CAST(user_id * 7 AS DOUBLE) AS followers_count, CAST(0 AS DOUBLE) AS tweet_count, CASE WHEN user_id % 3 <> 0 THEN 'a b' ELSE '' END AS description, '' AS location FROM events")
+@query("read_users_json", """SELECT CAST(user_id AS VARCHAR) AS author_id, 'u' || user_id AS username, 'N ' || user_id AS name, CASE WHEN user_id % 5 = 0 THEN 'true' ELSE 'false' END AS verified,
+ CAST(user_id * 7 AS DOUBLE) AS followers_count, CAST(user_id + 1 AS DOUBLE) AS following_count, CAST(0 AS DOUBLE) AS tweet_count, '2020-01-01T00:00:00.000Z' AS created_at,
+ CASE WHEN user_id % 3 <> 0 THEN 'a b' ELSE '' END AS description, CASE WHEN user_id % 2 = 0 THEN 'Graz' ELSE '' END AS location, CASE WHEN user_id % 4 = 0 THEN 'https://me/' || user_id ELSE '' END AS expanded_urls FROM events""")
 def read_users_json(t):
-    return readers.read_users_json(t.spark, _pages(t), multi_line=False).select(
-        "author_id", "username", "followers_count", "tweet_count", "description", "location")
+    return readers.read_users_json(t.spark, _pages(t))
+
+
+_TYPED = ["id", "author_id", "created_at", "lang", "Score", "hashtags", "in_reply_to_user_id", "tweet_type", "like_count"]
+
+
+@query("panel_types", f"WITH {POSTS}, p AS (SELECT *, CAST(length(id) AS DOUBLE) AS like_count FROM posts) " + " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS name, '{'double' if c == 'like_count' else 'string'}' AS type, count({c}) AS n FROM p" for i, c in enumerate(_TYPED)))
+def panel_types(t):
+    """Header and types of a written panel, with the values read under each type."""
+    path = fresh(t)
+    posts = t.posts().withColumns({"like_count": F.length("id").cast("double"), "Score": F.col("Score").cast("string")})
+    writers.write_csv(posts.select(*[F.col(c).cast("string").alias(c) for c in _TYPED]), path)
+    header = readers.read_columns(t.spark, path)
+    back = readers.read_panel_csv(t.spark, path)
+    types = dict(back.dtypes)
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.lit(types[c]).alias("type"), F.count(c).alias("n")) for i, c in enumerate(header)]
+    return back.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+@query("read_annotations", "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(quality AS VARCHAR) AS quality, 'said \"' || toxic || '\"; or, not' AS note FROM labels")
+def read_annotations(t):
+    """Sheets with one delimiter and with the other hold the same rows."""
+    rows = t.table("labels").select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("string").alias("quality"), F.concat(F.lit('said "'), F.col("toxic"), F.lit('"; or, not')).alias("note"))
+    sheets = []
+    for sep in (";", ","):
+        sheets.append(fresh(t))
+        rows.write.option("header", True).option("sep", sep).option("escape", '"').csv(sheets[-1])
+    one, other = (readers.read_annotations(t.spark, path) for path in sheets)
+    return one.intersectAll(other)
+
+
+@query("hash_share", f"WITH {POSTS} SELECT count(*) AS n, true AS about_a_quarter, true AS same_again, true AS other_seed_differs FROM posts")
+def hash_share(t):
+    """A quarter of the posts by hash: the same ones every time, others under another seed."""
+    marks = {"a": scores.hash_share(F.col("id"), 636, 4), "b": scores.hash_share(F.concat("id", F.lit("")), 636, 4), "c": scores.hash_share(F.col("id"), 637, 4)}
+    out = t.posts().select("id", *[m.alias(k) for k, m in marks.items()])
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("a").cast("int")).between(0.22, 0.28).alias("about_a_quarter"),
+        F.bool_and(F.col("a") == F.col("b")).alias("same_again"), F.bool_or(F.col("a") != F.col("c")).alias("other_seed_differs"))
 
 
 @query("read_panel_csv", f"WITH {POSTS} SELECT id, author_id, lang, Score, hashtags FROM posts")

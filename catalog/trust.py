@@ -202,14 +202,23 @@ def make_rated_links(t):
     return ratings.attach_rating(ratings.attach_domains(t.link_posts(), link_map(t)), make_ratings(t), SINCE)
 
 
-@query("attach_domains", f"WITH {_LK} SELECT id, CAST(position AS INTEGER) AS position, url, ng_domain FROM lk")
+def _per_post(links, *cols):
+    """All links of a post in one row, so that a comparison has a row per post."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols]
+    told = F.when(F.col("position").isNotNull(), F.struct("position", F.concat_ws("|", *parts).alias("link")))
+    return links.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(told)), lambda x: x["link"]), " ").alias("links"))
+
+
+@query("attach_domains", f"WITH {_LK} SELECT id, coalesce(string_agg(position || '|' || url || '|' || coalesce(ng_domain, '-'), ' ' ORDER BY position), '') AS links FROM lk GROUP BY id")
 def attach_domains(t):
-    return ratings.attach_domains(t.link_posts(), link_map(t)).select("id", "position", "url", "ng_domain")
+    return _per_post(ratings.attach_domains(t.link_posts(), link_map(t)), "position", "url", "ng_domain")
 
 
-@query("attach_rating", f"WITH {_LK} SELECT id, CAST(position AS INTEGER) AS position, {r('Score', 'Score')}, Orientation, n_ratings FROM rl")
+@query("attach_rating", f"WITH {_LK} SELECT id, coalesce(string_agg(position || '|' || coalesce(CAST(CAST(round(Score * 1000000) AS BIGINT) AS VARCHAR), '-') || '|' || coalesce(Orientation, '-') || '|' || coalesce(CAST(n_ratings AS VARCHAR), '-'), ' ' ORDER BY position), '') AS links FROM rl GROUP BY id")
 def attach_rating(t):
-    return rounded(make_rated_links(t).select("id", "position", "Score", "Orientation", "n_ratings"))
+    """Scores in millionths."""
+    links = make_rated_links(t).withColumn("Score", F.round(F.col("Score") * 1_000_000).cast("bigint"))
+    return _per_post(links, "position", "Score", "Orientation", "n_ratings")
 
 
 _MERGED = f"""{_LK}, mg AS (SELECT id, author_id, min(created_at) AS created_at, sum(Score * n_ratings) / sum(n_ratings) FILTER (Score IS NOT NULL) AS Score,

@@ -35,7 +35,11 @@ REDUCED_COLUMNS = [
 ]
 
 
-def _pages(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+def _pages(spark: SparkSession, path: str, multi_line: bool | None) -> DataFrame:
+    if multi_line is None:
+        # a page that fits its line can be read alone, so files are read in splits
+        first = spark.read.text(path).filter("trim(value) <> ''").limit(1)
+        multi_line = first.filter(F.get_json_object("value", "$").isNotNull()).isEmpty()
     return spark.read.schema(PAGE_SCHEMA).option("multiLine", multi_line).json(path)
 
 
@@ -52,9 +56,10 @@ def _file_stem() -> Column:
     return F.substring_index(F.col("_metadata.file_name"), ".", 1)
 
 
-def read_posts_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_posts_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """The 19 post columns, one row per post of every page. Files with one page per
-    line are read in splits with ``multi_line=False``; otherwise a file is one task."""
+    line are read in splits; pages over several lines make a file one task. Which of
+    them it is shows the first line, unless ``multi_line`` says so."""
     p = _pages(spark, path, multi_line).select(F.explode("data").alias("p")).select("p.*")
     refs = F.col("referenced_tweets")
 
@@ -84,7 +89,7 @@ def read_posts_json_reduced(spark: SparkSession, path: str) -> DataFrame:
     return p.select(*[nested.get(c, F.col(c)).alias(c) for c in REDUCED_COLUMNS])
 
 
-def read_users_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_users_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """The 11 user columns; missing counts are 0, missing text is empty."""
     u = _pages(spark, path, multi_line).select(F.explode("includes.users").alias("u")).select("u.*")
     made = {

@@ -231,3 +231,17 @@ def test_a_release_of_numbers_stores_no_event_mapping(spark, monkeypatch):
     out = release.release({"a": w, "b": w.filter("s > 1")}, {"a": ["event_id", "author_id"], "b": ["event_id", "author_id"]}, w)
     a, b = ({r["s"]: r["event_id"] for r in out[t].collect()} for t in "ab")
     assert a[3.0] is None and a[2.0] == b[2.0] and a[1.0] != a[2.0]
+
+
+def test_page_files_are_read_in_splits_where_they_can_be(spark, new_folder):
+    page = '{"data": [{"id": "%d", "text": "x", "author_id": "a"}], "includes": {"users": [{"id": "a"}]}}'
+    with open(f"{new_folder}/lines.json", "w") as f:
+        f.write("\n" + "".join(page % i + "\n" for i in range(4000)))
+    with open(f"{new_folder}/pretty.json", "w") as f:
+        f.write((page % 7).replace("{", "{\n").replace(",", ",\n"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    posts = readers.read_posts_json(spark, f"{new_folder}/lines.json")
+    tasks = posts.select(F.spark_partition_id()).distinct().count()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks > 3 and posts.count() == 4000 and readers.read_users_json(spark, f"{new_folder}/lines.json").count() == 4000
+    assert [r["id"] for r in readers.read_posts_json(spark, f"{new_folder}/pretty.json").collect()] == ["7"]
