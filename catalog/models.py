@@ -306,6 +306,18 @@ def lag_design(t):
     return rounded(regressions.lag_design(make_series(t).select("flag", "day", "qty"), ["flag"], "day", ["qty"], 2, across_gaps=True))
 
 
+@query("lag_design_days", f"WITH {_SERIES} SELECT flag, day, {r('qty', 'qty')}, {r('lag(qty, 1) OVER w', 'qty_l1')}, {r('lag(qty, 3) OVER w', 'qty_l3')} FROM se WINDOW w AS (PARTITION BY flag ORDER BY day) QUALIFY day - lag(day, 3) OVER w = 3")
+def lag_design_days(t):
+    """Rows whose three predecessors are the three days before: none behind a gap."""
+    return rounded(regressions.lag_design(make_series(t).select("flag", "day", "qty"), ["flag"], "day", ["qty"], 3).drop("qty_l2"))
+
+
+@query("var_fit_days", f"WITH {_SERIES}, d AS (SELECT flag, qty, lag(qty) OVER w AS q1 FROM se WINDOW w AS (PARTITION BY flag ORDER BY day) QUALIFY day - lag(day) OVER w = 1) SELECT flag, 'qty_l1' AS term, regr_count(qty, q1) AS n, {r('regr_slope(qty, q1)', 'estimate')}, {r('sqrt((1 - regr_r2(qty, q1)) * regr_syy(qty, q1) / (regr_count(qty, q1) - 2) / regr_sxx(qty, q1))', 'std_error')}, {r('regr_r2(qty, q1)', 'r_squared')} FROM d GROUP BY flag")
+def var_fit_days(t):
+    fit = regressions.var_fit(make_series(t), "day", ["qty"], 1, keys=["flag"])
+    return rounded(fit.filter("term = 'qty_l1'").select("flag", "term", "n", "estimate", "std_error", "r_squared"))
+
+
 @query("var_fit_one_lag", f"WITH {_SERIES}, d AS (SELECT flag, qty, lag(qty) OVER (PARTITION BY flag ORDER BY day) AS q1 FROM se) SELECT flag, 'qty_l1' AS term, regr_count(qty, q1) AS n, {r('regr_slope(qty, q1)', 'estimate')}, {r('regr_r2(qty, q1)', 'r_squared')} FROM d GROUP BY flag")
 def var_fit_one_lag(t):
     fit = regressions.var_fit(make_series(t), "day", ["qty"], 1, keys=["flag"], across_gaps=True)

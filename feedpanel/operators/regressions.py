@@ -5,16 +5,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedpanel.functions.tails import f_upper, t_two_sided
+from feedpanel.operators.ordered import running_sums
 from feedpanel.session import materialize
 
 
@@ -382,14 +384,29 @@ def lag_design(
     """Adds ``<col>_l1`` .. ``<col>_lp``; rows without all lags are dropped, also
     those behind a gap: the p rows before must be the p days (or whole numbers)
     before, unless ``across_gaps`` takes rows as they follow. A series has one row
-    per key and day."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
-    lags = {f"{c}_l{i}": F.lag(c, i).over(w) for i in range(1, p + 1) for c in cols}
-    kind, first = dict(series.dtypes)[order], F.lag(order, p).over(w)
-    apart = F.datediff(order, first) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(order) - first
-    if across_gaps:
-        return series.withColumns(lags | {"_n": F.row_number().over(w)}).filter(F.col("_n") > p).drop("_n")
-    return series.withColumns(lags | {"_apart": apart}).filter(F.col("_apart") == p).drop("_apart")
+    per key and day.
+
+    Rows are numbered in range splits, and every row sends its values to the p
+    places behind its own, so one long series is spread over tasks."""
+    kind = dict(series.dtypes)[order]
+    numbered = running_sums(series, keys, [order], {"_no": F.lit(1).cast("bigint")})
+    own, past = F.struct(*series.columns), F.struct(order, *cols)
+
+    def sent(i: int) -> Column:
+        row, before = (own, F.lit(None)) if i == 0 else (F.lit(None), past)
+        return F.struct((F.col("_no") + i).alias("_at"), F.lit(i).alias("_back"), row.alias("_own"), before.alias("_past"))
+
+    parts = [numbered.select(*keys, sent(i).alias("_s")).select(*keys, "_s.*") for i in range(p + 1)]
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    met = rows.groupBy(*keys, "_at").agg(
+        F.first("_own", ignorenulls=True).alias("_own"),
+        *[F.first(F.when(F.col("_back") == i, F.col("_past")), ignorenulls=True).alias(f"_l{i}") for i in range(1, p + 1)],
+    )
+    first = F.col(f"_l{p}")[order]
+    apart = F.datediff(F.col("_own")[order], first) if kind in ("date", "timestamp", "timestamp_ntz") else F.col("_own")[order] - first
+    whole = F.col("_own").isNotNull() & F.col(f"_l{p}").isNotNull()
+    lags = [F.col(f"_l{i}")[c].alias(f"{c}_l{i}") for i in range(1, p + 1) for c in cols]
+    return met.filter(whole if across_gaps else whole & (apart == p)).select("_own.*", *lags)
 
 
 def _var_blocks(endo: Sequence[str], exog: Sequence[str], p: int) -> list[str]:

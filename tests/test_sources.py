@@ -245,3 +245,26 @@ def test_page_files_are_read_in_splits_where_they_can_be(spark, new_folder):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert tasks > 3 and posts.count() == 4000 and readers.read_users_json(spark, f"{new_folder}/lines.json").count() == 4000
     assert [r["id"] for r in readers.read_posts_json(spark, f"{new_folder}/pretty.json").collect()] == ["7"]
+
+
+def test_a_scorer_is_loaded_once_per_worker(spark):
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+        return lambda batch: [[float(len(s))] for s in batch]
+
+    texts = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.lit("abc").alias("text_cleaned"))
+    out = scoring.score_texts(texts.repartition(64), scoring.once_per_worker(load), ["n"], batch=20)
+    assert out.agg(F.sum("n")).first()[0] == 12000
+    # 64 tasks, but no more loads than worker processes
+    assert 1 <= loads.value <= spark.sparkContext.defaultParallelism + 1
+
+
+def test_a_profile_is_part_of_the_plan(spark):
+    profile = scoring.accelerated(gpus=2, cores=2, memory="2g")
+    texts = spark.createDataFrame([("1", "a")], "id string, text_cleaned string")
+    plan = scoring.score_texts(texts, lambda b: [[1.0]] * len(b), ["n"], profile=profile)._jdf.queryExecution().optimizedPlan()
+    held = plan.profile()
+    assert held.isDefined() and "gpu" in held.get().toString()
+    assert not scoring.score_texts(texts, lambda b: [[1.0]] * len(b), ["n"])._jdf.queryExecution().optimizedPlan().profile().isDefined()
