@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedpanel.llm import chat, decontaminate, language, licenses, line_dedup, mixing, near_dedup, personal_data, quality, secrets, structure_repair, token_counts, twins, whitening
 from feedpanel.session import apply_defaults
@@ -80,6 +81,20 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op5_quality"] = twins.quality()
 
 
+@query
+def quality_wider_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a risk of a fifth, for which few labelled rows give cut-offs: what each stratum rejects by them."""
+    judged = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), risk=0.2)
+    langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    counted = judged.join(langs, "doc_id").groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_if("base_failed").alias("n_base_failed"), F.count_if("kept").alias("n_kept")
+    )
+    return counted
+
+
+ORACLE["quality_wider_risk"] = f"SELECT lang, count(*) AS n, count(*) FILTER (base_failed) AS n_base_failed, count(*) FILTER (kept) AS n_kept FROM ({twins.quality(risk=0.2)}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang"
+
+
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document a mix of the sources to their targets takes."""
@@ -131,3 +146,21 @@ ORACLE["op12_licenses"] = twins.licenses(licenses.templates())
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leading whitened components of every embedding."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def chat_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best branches of every reply tree: turn t answers turn t // 2, and a turn's score follows from its text."""
+    turns = table(spark, sf_dir, "conversations")
+    messages = turns.select(
+        F.col("conv_id").alias("tree"), F.col("turn").alias("node"), F.when(F.col("turn") > 0, F.floor(F.col("turn") / 2)).alias("parent"),
+        "role", "text", (F.length("text") % 7).cast("double").alias("score"),
+    )
+    found = chat.best_paths(messages, branches=2).join(messages.select("tree", "node", "score"), ["tree", "node"])
+    return found.groupBy("tree", "rank", "leaf").agg(
+        F.count("*").alias("length"), F.round(F.avg("score"), 9).alias("mean"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("order"), "node"))), lambda x: x["node"].cast("string")), ",").alias("nodes"),
+    )
+
+
+ORACLE["chat_branches"] = twins.BRANCHES

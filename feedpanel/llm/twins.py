@@ -98,3 +98,13 @@ told AS (SELECT row, count(*) FILTER (WHERE base) AS n_base, min(begin) FILTER (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
 FROM docs LEFT JOIN told USING (row)"""
+
+
+BRANCHES = """
+WITH RECURSIVE m AS (SELECT conv_id AS tree, turn AS node, CASE WHEN turn > 0 THEN turn // 2 END AS parent, CAST(length(text) % 7 AS DOUBLE) AS score FROM conversations),
+inner_nodes AS (SELECT DISTINCT tree, parent AS node FROM m WHERE parent IS NOT NULL),
+up AS (SELECT tree, node AS leaf, node, 0 AS step FROM m ANTI JOIN inner_nodes USING (tree, node)
+  UNION ALL SELECT u.tree, u.leaf, m.parent, step + 1 FROM up u JOIN m ON m.tree = u.tree AND m.node = u.node JOIN m p ON p.tree = m.tree AND p.node = m.parent),
+scored AS (SELECT up.tree, leaf, count(*) AS length, avg(score) AS mean, string_agg(CAST(up.node AS VARCHAR), ',' ORDER BY step DESC) AS nodes FROM up JOIN m ON m.tree = up.tree AND m.node = up.node GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY mean DESC, length DESC, leaf) AS rank FROM scored)
+SELECT tree, CAST(rank AS INTEGER) AS rank, leaf, length, round(mean, 9) AS mean, nodes FROM ranked WHERE rank <= 2"""
