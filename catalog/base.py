@@ -38,6 +38,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def keyed(key: str, seed: int) -> str:
+    """The order of a reproducible sample in SQL: hexadecimal digits sort like their number."""
+    return f"substr(md5('{seed}/' || {key}), 1, 15)"
+
+
 class Inputs:
     """Reads the driver tables and shapes them like panel data."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import END, POSTS, START, Inputs, query, scored_sql
+from catalog.base import END, POSTS, START, USERS, Inputs, keyed, query, scored_sql
 from feedpanel.functions import scores as S
 from feedpanel.operators import daily, panel
 from feedpanel.plans import flows
@@ -158,7 +158,7 @@ def analysis_sample(t):
     return panel.analysis_sample(t.posts(), users.unionByName(again), 6).select("author_id", "file", "followers_count")
 
 
-@query("sample_authors")
+@query("sample_authors", f"WITH {USERS} SELECT author_id FROM authors ORDER BY {keyed('author_id', 63)}, author_id LIMIT 20")
 def sample_authors(t):
     return panel.sample_authors(t.authors(), 20)
 

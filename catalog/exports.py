@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.base import POSTS, TEXTS, query
+from catalog.base import POSTS, TEXTS, keyed, query
 from feedpanel.functions import scores
 from feedpanel.operators import panel
 from feedpanel.session import work_folder
@@ -122,14 +122,10 @@ def read_annotations(t):
     return one.intersectAll(other)
 
 
-@query("hash_share", f"WITH {POSTS} SELECT count(*) AS n, true AS about_a_quarter, true AS same_again, true AS other_seed_differs FROM posts")
+@query("hash_share", f"WITH {POSTS} SELECT id FROM posts WHERE right({keyed('id', 636)}, 1) IN ('0', '4', '8', 'c')")
 def hash_share(t):
-    """A quarter of the posts by hash: the same ones every time, others under another seed."""
-    marks = {"a": scores.hash_share(F.col("id"), 636, 4), "b": scores.hash_share(F.concat("id", F.lit("")), 636, 4), "c": scores.hash_share(F.col("id"), 637, 4)}
-    out = t.posts().select("id", *[m.alias(k) for k, m in marks.items()])
-    return out.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("a").cast("int")).between(0.22, 0.28).alias("about_a_quarter"),
-        F.bool_and(F.col("a") == F.col("b")).alias("same_again"), F.bool_or(F.col("a") != F.col("c")).alias("other_seed_differs"))
+    """A quarter of the posts, by hash."""
+    return t.posts().select("id").filter(scores.hash_share(F.col("id"), 636, 4))
 
 
 @query("read_panel_csv", f"WITH {POSTS} SELECT id, author_id, lang, Score, hashtags FROM posts")

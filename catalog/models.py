@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import POSTS, TEXTS, query, scored_sql
+from catalog.base import POSTS, TEXTS, keyed, query, scored_sql
 from catalog.daily import PROPS, make_daily, r, rounded, shares_sql
 from catalog.users import (
     FEATURES_SQL, GROUP_FEATURES_SQL, HOURS, WINDOWS_SQL, _BASE, make_features, make_group_features, make_windows,
@@ -416,7 +416,7 @@ def stratified_sample_sizes(t):
     return rounded(s.groupBy("lang", "stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weights")))
 
 
-@query("blind_sheet")
+@query("blind_sheet", f"{_STRATA} SELECT id, lang, hashtags AS text_cleaned, {', '.join(f'CAST(NULL AS BIGINT) AS {e}_manual' for e in EMOTIONS)} FROM pop QUALIFY row_number() OVER (PARTITION BY lang, stratum ORDER BY {keyed('id', 636)}, id) <= CASE WHEN stratum = 'low' THEN 40 ELSE 20 END")
 def blind_sheet(t):
     s = validation.stratified_sample(make_population(t), 20, 40).withColumn("text_cleaned", F.col("hashtags"))
     return validation.blind(s)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import POSTS, START, query, scored_sql
+from catalog.base import POSTS, START, keyed, query, scored_sql
 from catalog.daily import r, rounded
 from feedpanel.functions import scores as S
 from feedpanel.operators import features, panel, sharers, windows
@@ -264,10 +264,10 @@ def ntile_users(t):
     return windows.ntiles(base, "v", "author_id").select("author_id", "decile")
 
 
-@query("sample_per_decile")
+@query("sample_per_decile", f"WITH {scored_sql()}, b AS (SELECT author_id, avg(anger_v2) AS v FROM scored GROUP BY 1 HAVING avg(anger_v2) IS NOT NULL), d AS (SELECT *, CAST(ntile(10) OVER (ORDER BY v, author_id) AS INTEGER) AS decile FROM b) SELECT author_id, {r('v', 'v')}, decile FROM d QUALIFY row_number() OVER (PARTITION BY decile ORDER BY {keyed('author_id', 636)}, author_id) <= 5")
 def sample_per_decile(t):
     base = features.user_baseline(t.scored()).select("author_id", F.col("anger_baseline").alias("v")).filter("v IS NOT NULL")
-    return windows.sample_per_tile(windows.ntiles(base, "v", "author_id"), "decile", "author_id", 5)
+    return rounded(windows.sample_per_tile(windows.ntiles(base, "v", "author_id"), "decile", "author_id", 5))
 
 
 @query("sample_per_decile_sizes", f"WITH {scored_sql()}, b AS (SELECT author_id, avg(anger_v2) AS v FROM scored GROUP BY 1 HAVING avg(anger_v2) IS NOT NULL), d AS (SELECT CAST(ntile(10) OVER (ORDER BY v, author_id) AS INTEGER) AS decile FROM b) SELECT decile, least(count(*), 5) AS n FROM d GROUP BY 1")

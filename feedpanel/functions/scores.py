@@ -79,8 +79,10 @@ def whole_seconds(later: Column, earlier: Column) -> Column:
 
 
 def keyed_order(key: Column, seed: int) -> Column:
-    """Reproducible pseudo-random order of rows."""
-    return F.xxhash64(key, F.lit(seed))
+    """Reproducible pseudo-random order of rows: the first 60 bits of md5 of ``seed/key``,
+    which other engines give as well."""
+    digits = F.substr(F.md5(F.concat_ws("/", F.lit(seed), key.cast("string")).cast("binary")), F.lit(1), F.lit(15))
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
 def hash_share(key: Column, seed: int, k: int) -> Column:
