@@ -16,6 +16,7 @@ from pyspark.sql.types import IntegerType
 from feedpanel.functions import urls as U
 from feedpanel.functions.text import split_list, with_costly
 from feedpanel.operators.panel import keep_one
+from feedpanel.session import materialize
 
 
 def distinct_urls(posts: DataFrame) -> DataFrame:
@@ -289,24 +290,28 @@ def match_domains(
     urls: DataFrame, rated: DataFrame, threshold: int = 97, suffixes: Sequence[str] = U.PUBLIC_SUFFIXES
 ) -> DataFrame:
     """(url, domain, ng_domain) of all URLs that match exactly, by registered
-    domain or nearly; every URL of a nearly matching host is kept."""
-    domains = urls.select("domain").distinct()
-    exact = match_exact(domains, rated)
-    open_1 = domains.join(exact.select("domain"), "domain", "left_anti")
-    registered = match_registered(open_1, rated, suffixes)
-    open_2 = open_1.join(registered.select("domain"), "domain", "left_anti")
-    open_2 = with_costly(open_2, "host", U.registered_domain(F.col("domain"), suffixes))
-    near = open_2.join(match_fuzzy(open_2, rated, threshold), "host")
-    names = (
-        exact.select("domain", "ng_domain", F.lit("exact").alias("matched_by"))
-        .unionByName(registered.select("domain", "ng_domain", F.lit("registered").alias("matched_by")))
-        .unionByName(near.select("domain", "ng_domain", F.lit("fuzzy").alias("matched_by")))
-    )
-    return urls.join(names, "domain")
+    domain or nearly; every URL of a nearly matching host is kept.
+
+    Exact and registered matches are two joins over one table of distinct domains,
+    which is stored: what neither finds goes on to near matching."""
+    names = materialize(rated.select("ng_domain").dropna().distinct())
+    hosts = with_costly(urls.select("domain").dropna().distinct(), "host", U.registered_domain(F.col("domain"), suffixes))
+    exact = names.select(F.col("ng_domain").alias("_exact"))
+    registered = names.select(F.col("ng_domain").alias("_registered"))
+    # domains without a host get keys of their own, which match nothing, instead of one null key
+    key = F.coalesce("host", F.concat(F.lit(" "), F.col("domain")))
+    known = hosts.join(exact, F.col("domain") == F.col("_exact"), "left").join(registered, key == F.col("_registered"), "left")
+    known = materialize(known)
+    found = known.select("domain", "host", F.coalesce("_exact", "_registered").alias("ng_domain"), F.when(F.col("_exact").isNotNull(), "exact").otherwise("registered").alias("matched_by"))
+    rest = found.filter("ng_domain IS NULL").select("domain", "host")
+    near = rest.join(match_fuzzy(rest, names, threshold), "host")
+    matched = found.filter("ng_domain IS NOT NULL").drop("host").unionByName(near.select("domain", "ng_domain", F.lit("fuzzy").alias("matched_by")))
+    return urls.join(matched, "domain")
 
 
 def match_rate(urls: DataFrame, matched: DataFrame) -> DataFrame:
-    n = urls.agg(F.count(F.lit(1))).scalar()
+    """Share of the URLs that match; ``urls`` is only counted."""
+    n = urls.count()
     return matched.agg(F.count(F.lit(1)).alias("n_matched")).select(
-        "n_matched", n.alias("n_urls"), (F.col("n_matched") / n * 100).alias("pct_matched")
+        "n_matched", F.lit(n).cast("bigint").alias("n_urls"), (F.col("n_matched") / F.nullif(F.lit(n), F.lit(0)) * 100).alias("pct_matched")
     )
