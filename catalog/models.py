@@ -290,6 +290,65 @@ def boot_logit_set(t):
     return rounded(regressions.percentile_ci(draws, ["model", "term"]))
 
 
+@query("percentile_interval", f"WITH {scored_sql()} SELECT lang, count(anger_v2) AS n_boot, {r('avg(anger_v2)', 'boot_mean')}, {r('stddev_samp(anger_v2)', 'boot_sd')}, {r('quantile_cont(anger_v2, 0.05)', 'lower')}, {r('quantile_cont(anger_v2, 0.95)', 'upper')}, {r('exp(quantile_cont(anger_v2, 0.05))', 'or_lower')}, {r('exp(quantile_cont(anger_v2, 0.95))', 'or_upper')} FROM scored GROUP BY lang")
+def percentile_interval(t):
+    """The interval of replicates, here of the scores of each language."""
+    return rounded(regressions.percentile_ci(t.scored(), ["lang"], "anger_v2", level=0.9))
+
+
+# every supplier has the same months, so REML has a closed form: variances from the mean squares, the slope from within
+_BALANCED = """WITH b AS (SELECT s_suppkey AS g, CAST(m.i AS DOUBLE) AS x, CAST((s_suppkey * 37 + m.i * 11) % 101 AS DOUBLE) + s_suppkey % 13 * 5 + m.i * 0.3 AS y FROM supplier, range(48) m(i)),
+gm AS (SELECT g, avg(y) AS my, count(*) AS n FROM b GROUP BY g),
+tot AS (SELECT count(*) AS g, max(n) AS n, avg(my) AS my, var_samp(my) AS vm FROM gm),
+w AS (SELECT avg(x) AS mx, sum((x - (SELECT avg(x) FROM b)) ^ 2) AS sxx, sum((x - (SELECT avg(x) FROM b)) * (y - my)) AS sxy, sum((y - my) ^ 2) AS syy FROM b JOIN gm USING (g)),
+v AS (SELECT *, sxy / sxx AS slope, (syy - sxy * sxy / sxx) / (tot.g * (tot.n - 1) - 1) AS within_var, tot.n * vm AS msb FROM tot, w),
+f AS (SELECT *, (msb - within_var) / n AS between_var FROM v)"""
+
+
+@query("random_intercept_balanced", f"{_BALANCED} SELECT '(Intercept)' AS term, {r('my - slope * mx', 'estimate', 5)}, {r('sqrt(msb / (g * n) + mx * mx * within_var / sxx)', 'std_error', 5)}, g * n AS n_rows, g AS n_groups, {r('between_var', 'between_var', 2)}, {r('within_var', 'within_var', 2)}, {r('between_var / (between_var + within_var)', 'icc', 5)} FROM f UNION ALL SELECT 'x', round(slope, 5) + 0.0, round(sqrt(within_var / sxx), 5), g * n, g, round(between_var, 2), round(within_var, 2), round(between_var / (between_var + within_var), 5) FROM f")
+def random_intercept_balanced(t):
+    s = t.table("supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("i"))
+    y = ((F.col("s_suppkey") * 37 + F.col("i") * 11) % 101).cast("double") + F.col("s_suppkey") % 13 * 5 + F.col("i") * 0.3
+    fit = regressions.random_intercept(s.select(F.col("s_suppkey").alias("g"), F.col("i").cast("double").alias("x"), y.alias("y")), "y", ["x"], "g")[0]
+    digits = {"between_var": 2, "within_var": 2}  # the search ends within 1e-7 of the ratio
+    return fit.select(*[F.round(c, digits.get(c, 5)).alias(c) if k == "double" else F.col(c) for c, k in fit.dtypes])
+
+
+def _near_the_fit(draws, fits, keys):
+    """Whether the replicates lie around the fit: their mean within a fifth of their spread, the fit inside the interval."""
+    ci = regressions.percentile_ci(draws, keys).join(fits.select(*keys, "estimate"), keys)
+    centred = F.abs(F.col("boot_mean") - F.col("estimate")) < 0.2 * F.col("boot_sd")
+    return rounded(ci.select(*keys, "n_boot", "estimate", centred.alias("centred"), F.col("estimate").between(F.col("lower"), F.col("upper")).alias("inside")))
+
+
+@query("cluster_boot_close", f"{WINDOWS_SQL}, x AS (SELECT *, {_U} AS untrustworthy FROM win), f AS ({_WINDOW_FITS}) SELECT model, term, CAST(1000 AS BIGINT) AS n_boot, {r('b', 'estimate')}, true AS centred, true AS inside FROM f")
+def cluster_boot_close(t):
+    w = windows.with_untrust_degree(make_windows(t))
+    draws = model_sets.cluster_boot_set(w, "author_id", WINDOW_MODELS, reps=1000)
+    return _near_the_fit(draws, model_sets.ols_set(w, WINDOW_MODELS), ["model", "term"]).filter("term <> '(Intercept)' OR model NOT LIKE '%change'")
+
+
+@query("boot_logit_close", f"{_LOGITS} SELECT model, term, CAST(1000 AS BIGINT) AS n_boot, {r('b', 'estimate')}, true AS centred, true AS inside FROM co")
+def boot_logit_close(t):
+    users = make_model_users(t)
+    draws = model_sets.boot_logit_set(users, "author_id", USER_MODELS, reps=1000)
+    return _near_the_fit(draws, model_sets.logit_set(users, USER_MODELS), ["model", "term"])
+
+
+@query("boot_mean_close", f"{WINDOWS_SQL}, vals AS (SELECT anger_v2 AS value FROM win w JOIN tl p ON p.author_id = w.author_id AND p.t >= w.t - {HOURS * 3600 * 10**6} AND p.t < w.t WHERE anger_v2 IS NOT NULL) SELECT n.n, {r('m', 'pool_mean')}, true AS centred, true AS spread_right FROM (SELECT avg(value) AS m FROM vals), (SELECT CAST(unnest(range(2, 21)) AS INTEGER) AS n) n")
+def boot_mean_close(t):
+    """Means of n draws lie around the pool's mean, with its spread over the root of n."""
+    values = windows.window_values(t.scored(), make_windows(t), HOURS, "anger", "before")
+    total = F.sum("weight")
+    mean = F.sum(F.col("value") * F.col("weight")) / total
+    pool = values.agg(mean.alias("mean"), F.sqrt(F.sum(F.col("value") * F.col("value") * F.col("weight")) / total - mean * mean).alias("sd")).first()
+    out = stats.boot_mean_stability(values, reps=1000)
+    want = pool["sd"] / F.sqrt("n")
+    return rounded(out.select(
+        "n", F.lit(pool["mean"]).alias("pool_mean"), (F.abs(F.col("mean_mean") - pool["mean"]) < want / 6).alias("centred"),
+        F.abs(F.col("sd_mean") / want - 1).between(0, 0.12).alias("spread_right")))
+
+
 # --- series models ---------------------------------------------------------
 _SERIES = "se AS (SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS qty, avg(l_discount) AS disc, CAST(count(*) AS DOUBLE) AS n_lines FROM lineitem GROUP BY 1, 2)"
 

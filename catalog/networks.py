@@ -157,12 +157,49 @@ def path_lengths_sketch(t):
     return rounded(graph.path_lengths(edges, giant).withColumns(close))
 
 
-@query("core_numbers")
+def _cores(edges: str, name: str) -> str:
+    """Core numbers by repeated h-indices: a node's number is the largest k that k of its links lead to numbers of k or more."""
+    return f"""near_{name} AS (SELECT src, dst, CAST(count(*) AS BIGINT) AS m FROM (SELECT src, dst FROM {edges} WHERE src <> dst UNION ALL SELECT dst, src FROM {edges} WHERE src <> dst) GROUP BY 1, 2),
+it_{name} AS (SELECT 0 AS i, src AS id, CAST(sum(m) AS BIGINT) AS core FROM near_{name} GROUP BY src
+ UNION ALL SELECT i + 1, src, CAST(max(least(v, reach)) AS BIGINT) FROM (SELECT i, src, v, sum(n) OVER (PARTITION BY i, src ORDER BY v DESC) AS reach
+  FROM (SELECT a.i, near_{name}.src, least(a.core, b.core) AS v, sum(m) AS n FROM near_{name} JOIN it_{name} a ON a.id = near_{name}.src JOIN it_{name} b ON b.id = near_{name}.dst WHERE a.i < 60 GROUP BY 1, 2, 3)) GROUP BY i, src),
+cores_{name} AS (SELECT id, min(core) AS core FROM it_{name} GROUP BY 1)"""
+
+
+@query("core_numbers", f"{_RP}, {_cores('ie', 'ie')} SELECT v.id, CAST(coalesce(core, 0) AS INTEGER) AS core FROM (SELECT src AS id FROM ie UNION SELECT dst FROM ie) v LEFT JOIN cores_ie c ON c.id = v.id")
 def core_numbers(t):
     return graph.core_numbers(make_internal(t))
 
 
-@query("compare_networks")
+def _network(group: str, n: str) -> tuple[str, str]:
+    """(CTEs, row) of all measures of the replies inside one group."""
+    ctes = f"""e_{n} AS (SELECT DISTINCT src, dst FROM rp WHERE src IN (SELECT author_id FROM groups WHERE "group" = '{group}') AND dst IN (SELECT author_id FROM groups WHERE "group" = '{group}')),
+v_{n} AS (SELECT src AS id FROM e_{n} UNION SELECT dst FROM e_{n}),
+un_{n} AS (SELECT src AS a, dst AS b FROM e_{n} UNION SELECT dst, src FROM e_{n}),
+rc_{n} AS (SELECT a AS id, a AS m FROM un_{n} UNION SELECT un_{n}.b, rc_{n}.m FROM rc_{n} JOIN un_{n} ON rc_{n}.id = un_{n}.a),
+comp_{n} AS (SELECT id, min(m) AS component FROM rc_{n} GROUP BY 1),
+sizes_{n} AS (SELECT component, count(*) AS k FROM comp_{n} GROUP BY 1),
+gc_{n} AS (SELECT id FROM comp_{n} WHERE component = (SELECT component FROM sizes_{n} ORDER BY k DESC, component LIMIT 1)),
+g_{n} AS (SELECT src, dst FROM e_{n} WHERE src <> dst AND src IN (SELECT id FROM gc_{n}) AND dst IN (SELECT id FROM gc_{n})),
+bfs_{n} AS (SELECT src, dst, 1 AS d FROM g_{n} UNION SELECT b.src, g.dst, d + 1 FROM bfs_{n} b JOIN g_{n} g ON b.dst = g.src WHERE d < 20),
+sp_{n} AS (SELECT src, dst, min(d) AS d FROM bfs_{n} WHERE src <> dst GROUP BY 1, 2),
+s_{n} AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e_{n} WHERE src <> dst),
+deg_{n} AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM s_{n} UNION ALL SELECT b FROM s_{n}) GROUP BY 1),
+{_cores(f'e_{n}', n)}"""
+    nodes, edges = f"(SELECT count(*) FROM v_{n})", f"(SELECT count(*) FROM e_{n})"
+    mutual = f"(SELECT avg(CAST((SELECT count(*) FROM e_{n} f WHERE f.src = x.dst AND f.dst = x.src) AS DOUBLE)) FROM e_{n} x WHERE x.src <> x.dst)"
+    triangles = f"(SELECT count(*) FROM s_{n} x JOIN s_{n} y ON x.b = y.a JOIN s_{n} z ON z.a = x.a AND z.b = y.b)"
+    row = f"""SELECT '{group}' AS network, {nodes} AS n_nodes, {edges} AS n_edges, {r(f'{edges} / CAST({nodes} * ({nodes} - 1) AS DOUBLE)', 'density')}, {r(f'2.0 * {edges} / {nodes}', 'mean_degree')},
+ {r(mutual, 'reciprocity')}, (SELECT max(k) FROM sizes_{n}) AS giant_size, {r(f'(SELECT max(k) FROM sizes_{n}) / CAST((SELECT sum(k) FROM sizes_{n}) AS DOUBLE)', 'giant_share')},
+ {r(f'3.0 * {triangles} / (SELECT sum(d * (d - 1) / 2) FROM deg_{n})', 'transitivity')}, {r(f'(SELECT avg(d) FROM sp_{n})', 'avg_path_length')}, CAST((SELECT max(core) FROM cores_{n}) AS INTEGER) AS max_core"""
+    return ctes, row
+
+
+_NETS = [_network("Untrustworthy", "u"), _network("Trustworthy", "t")]
+_GROUP_REPLIES = "rp AS (SELECT author_id AS src, in_reply_to_user_id AS dst FROM posts WHERE in_reply_to_user_id IS NOT NULL AND created_at >= TIMESTAMP '2024-01-02' AND created_at < TIMESTAMP '2024-01-29')"
+
+
+@query("compare_networks", f"{GROUPS_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_GROUP_REPLIES}, {', '.join(c for c, _ in _NETS)} {' UNION ALL '.join(row for _, row in _NETS)}")
 def compare_networks(t):
     edges, groups = make_internal(t), make_groups(t)
     parts = {}
