@@ -26,7 +26,6 @@ SENSITIVE = (
     "password passwd passphrase pwd secret token apikey api_key api-key access_key accesskey credential auth bearer "
     "private_key privatekey client_id signature cookie session salt"
 ).split()
-_SENSITIVE = re.compile("|".join(SENSITIVE))
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~-]{16,}")
 _HEAD, _TAIL = re.compile(r"[A-Za-z0-9+/_=~-]*"), re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~-]*\Z")
 IDENTIFIERS = (
@@ -105,24 +104,62 @@ def _without_copies(before: str, string: str, after: str) -> tuple[str, str]:
     return before, after
 
 
+#: What opens a value on the next line, and what closes the body of a private key.
+_OPENS = re.compile(r"[:=|>({\[\"'][\x20\t\r]*\Z")
+_KEY_OPENS, _KEY_CLOSES = "private key-----", "-----end"
+_CUES = re.compile("|".join((*SENSITIVE, _KEY_OPENS)))
+
+
+def _sensitive_lines(low: str) -> Iterator[tuple[int, int]]:
+    """Lines with a sensitive word, the next line that is not blank where such a line ends by opening a value, and the
+    lines of a private key."""
+    done = 0
+    for cue in _CUES.finditer(low):
+        if cue.start() < done:
+            continue
+        start = low.rfind("\n", 0, cue.start()) + 1
+        end = low.find("\n", cue.end())
+        end = len(low) if end < 0 else end
+        line = low[start:end]
+        yield start, end
+        done = end
+        if line.rstrip().endswith(_KEY_OPENS):
+            closes = low.find(_KEY_CLOSES, end)
+            closes = len(low) if closes < 0 else closes
+            yield end, closes
+            done = closes
+        elif _OPENS.search(line[-64:]):
+            begin = end
+            while begin < len(low) and low[begin].isspace():
+                begin += 1
+            last = low.find("\n", begin)
+            last = len(low) if last < 0 else last
+            # a line with a sensitive word of its own is found by that word
+            if not _CUES.search(low, begin, last):
+                yield begin, last
+                done = last
+
+
+def _random_looking(string: str) -> bool:
+    """Letters and digits, or letters alone that change their case more often than names do."""
+    if any(c.isdigit() for c in string):
+        return any(c.isalpha() for c in string)
+    changes = sum(x.isupper() != y.isupper() for x, y in zip(string, string[1:], strict=False))
+    return 4 * changes >= len(string)
+
+
 def novel_spans(text: str, novelty: Novelty, least: float) -> list[tuple[int, int]]:
-    """Strings on a line with a sensitive word that neither dictionary nor surroundings explain."""
+    """Strings in a sensitive context that neither dictionary nor surroundings explain."""
     low = text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text)
-    found, line_end = [], -1
-    if not any(word in low for word in SENSITIVE):
+    found = []
+    if not any(word in low for word in (*SENSITIVE, _KEY_OPENS)):
         return found
-    for cue in _SENSITIVE.finditer(low):
-        if cue.start() < line_end:
-            continue
-        start = text.rfind("\n", 0, cue.start()) + 1
-        line_end = text.find("\n", cue.end())
-        line_end = len(text) if line_end < 0 else line_end
-        for m in _CANDIDATE.finditer(text, start, line_end):
+    for start, end in _sensitive_lines(low):
+        for m in _CANDIDATE.finditer(text, start, end):
             a, b = m.span()
-            string = text[a:b]
-            if not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
+            if not _random_looking(text[a:b]):
                 continue
-            near = novelty.bytes_of(text[max(0, a - SURROUNDING) : a], string, text[b : b + SURROUNDING])
+            near = novelty.bytes_of(text[max(0, a - SURROUNDING) : a], text[a:b], text[b : b + SURROUNDING])
             if near >= least * (b - a):
                 found.append((a, b))
     return found
@@ -170,7 +207,9 @@ def secret_spans(
     """One row per row of ``docs``: the secrets in its whole text, as kind:start:end in code points, end exclusive.
 
     Base spans match the patterns (assignments, access keys, long hex). Added spans ("novel") are strings of 16 characters
-    or more with letters and digits, on a line with a sensitive word, that overlap no base span and stay incompressible:
+    or more with letters and digits, or with letters of changing case, that overlap no base span and stay incompressible.
+    They stand on a line with a sensitive word, on the next line where such a line ends by opening a value ("key:", "= ("),
+    or in the body of a private key:
     a zstandard compressor primed with ``identifiers`` and the ``SURROUNDING`` characters on both sides still needs
     ``least`` bytes per character for them, whatever their length and alphabet (see ``Novelty.bytes_of``). A string made of identifiers or of what stands around it costs little and is
     not reported; copies of the string itself explain nothing. ``n_assign``, ``n_access``, ``n_hex`` and ``base_sha256`` are of the base spans, ``spans`` of all.
