@@ -123,7 +123,7 @@ def _sensitive_lines(low: str) -> Iterator[tuple[int, int]]:
         line = low[start:end]
         yield start, end
         done = end
-        if line.rstrip().endswith(_KEY_OPENS):
+        if line.rstrip().endswith(_KEY_OPENS) and "-----begin" in line:
             closes = low.find(_KEY_CLOSES, end)
             closes = len(low) if closes < 0 else closes
             yield end, closes
