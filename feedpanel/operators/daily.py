@@ -17,16 +17,17 @@ BANDS = ["max_caution", "caution", "exceptions", "generally_credible", "high_cre
 
 
 def score_quantiles(
-    posts: DataFrame, probs: dict[str, float], emotions: Sequence[str] = EMOTIONS
+    posts: DataFrame, probs: dict[str, float], emotions: Sequence[str] = EMOTIONS, stored: bool = False
 ) -> DataFrame:
-    """Exact quantiles over all scored posts, one row per emotion."""
+    """Exact quantiles over all scored posts, one row per emotion; ``stored`` posts
+    are read as they are, others written once."""
     wide = posts.select(*[F.col(f"{e}_v2").alias(e) for e in emotions])
-    return column_quantiles(wide, list(emotions), probs).withColumnRenamed("variable", "emotion")
+    return column_quantiles(wide, list(emotions), probs, stored).withColumnRenamed("variable", "emotion")
 
 
-def third_quartiles(posts: DataFrame, emotions: Sequence[str] = EMOTIONS) -> dict[str, float]:
+def third_quartiles(posts: DataFrame, emotions: Sequence[str] = EMOTIONS, stored: bool = False) -> dict[str, float]:
     """The q3 cutoffs as constants (one row per emotion reaches the driver)."""
-    rows = score_quantiles(posts, {"q3": 0.75}, emotions).collect()
+    rows = score_quantiles(posts, {"q3": 0.75}, emotions, stored).collect()
     return {r["emotion"]: r["q3"] for r in rows}
 
 

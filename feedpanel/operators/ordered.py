@@ -167,17 +167,18 @@ def last_known(
 _SKETCH = 10_000
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float], stored: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles of whole columns, one row per column
     (``variable``), without shuffling the columns. A column without values has a
     row of nulls.
 
-    The columns are written once. A sketch brackets the wanted ranks, one pass
+    The columns are written once, unless ``df`` is ``stored`` already. A sketch brackets the wanted ranks, one pass
     counts the rows below each bracket, and only the values inside a bracket are
     ranked. A bracket that misses its ranks falls back to ranking the whole column.
     """
     spark = df.sparkSession
-    df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    df = df if stored else materialize(df)
     slack = 3.0 / _SKETCH
     ends = [min(max(p + d, 0.0), 1.0) for p in probs.values() for d in (-slack, slack)]
     sketch = df.agg(

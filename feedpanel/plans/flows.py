@@ -38,7 +38,7 @@ def stored_panel(scored: DataFrame) -> DataFrame:
 def daily_series(scored: DataFrame) -> DataFrame:
     """Daily panel; cutoffs and counts read the stored scores."""
     slim = stored_panel(scored)
-    return daily.daily_panel(slim, daily.third_quartiles(slim))
+    return daily.daily_panel(slim, daily.third_quartiles(slim, stored=True))
 
 
 def user_tables(scored: DataFrame) -> dict[str, DataFrame]:
