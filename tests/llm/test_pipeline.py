@@ -74,5 +74,5 @@ def test_mix_takes_the_budget(steps):
 def test_entry_runs_the_pipeline(spark):
     assert "pipeline" in __spark_entry__.queries() and "pipeline" not in __spark_entry__.oracle_sql()
     ops = {q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")}
-    assert ops == {f"op{i}" for i in range(1, 11)}
+    assert ops == {f"op{i}" for i in range(1, 14)}
     assert corpus_pipeline.run(spark, SF).agg(F.count("*")).first()[0] > 50
