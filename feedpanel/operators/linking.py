@@ -5,6 +5,7 @@ Matching runs on distinct domains; URLs are joined to the finished domain map.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -199,66 +200,129 @@ def _fuzzy_by_deletion(hosts: DataFrame, rated: DataFrame, threshold: int) -> Da
     )
 
 
-# The longest piece; shorter ones are taken where many edits are allowed.
-_PIECE = 4
+# The longest and the shortest piece tried, as far as the threshold lets a name hold enough of them;
+# the length that would list the fewest pairs among this many names is taken.
+_LONGEST_PIECE, _SHORTEST_PIECE = 8, 4
+_TRIED_NAMES = 4000
 
 
-def _piece_length(threshold: int, shortest: int) -> int:
-    """Characters of a piece: as many as leave a pair that may match a shared one."""
+def _edits(length: int, threshold: int) -> int:
+    """Most edits between a name of this length and any host that matches it."""
     c = 100 - threshold
-    for q in range(_PIECE, 0, -1):
-        # edits grow by less than one per step of (100 - c) / 2c characters, so the shortest names are the hardest
-        if all(q * max(-(-2 * c * n // (100 - c)) - 1, 0) < n - q + 1 for n in range(shortest, shortest + 200)):
-            return q
-    raise ValueError("below a similarity of 67 long names need not share a piece")
-
+    return max(-(-2 * c * length // (100 - c)) - 1, 0)
+
+
+def _piece_lengths(threshold: int, shortest: int) -> list[int]:
+    """Lengths of which every long name holds more pieces side by side than edits."""
+    # edits grow by less than one per step of (100 - c) / 2c characters, so the shortest names are the hardest
+    longest = min(n // (_edits(n, threshold) + 1) for n in range(shortest, shortest + 200))
+    if longest < 1:
+        raise ValueError("below a similarity of 67 long names need not share a piece")
+    return list(range(min(_SHORTEST_PIECE, longest), min(_LONGEST_PIECE, longest) + 1))
+
+
+def _rarest_apart(counts: list[np.ndarray], wanted: list[int], q: int) -> list[list[int]]:
+    """Per name the starts (from 0) of so many pieces of ``q`` characters that do not
+    overlap and are together the least frequent; ``counts`` has a number per start."""
+    out: list[list[int]] = [[] for _ in counts]
+    order = sorted(range(len(counts)), key=lambda i: len(counts[i]))
+    while order:
+        width, most = len(counts[order[-1]]), max(wanted[i] for i in order)
+        size = max(1, 4_000_000 // (width * (most + 1)))
+        at, order = order[-size:], order[:-size]
+        cost = np.full((len(at), width), np.inf)
+        for i, k in enumerate(at):
+            cost[i, : len(counts[k])] = counts[k]
+        # the least sum of j pieces that start before p
+        least = np.full((most + 1, width + 1, len(at)), np.inf)
+        least[0] = 0
+        for p in range(1, width + 1):
+            taken = cost[:, p - 1] + least[:-1, max(p - q, 0)]
+            least[1:, p] = np.minimum(least[1:, p - 1], taken)
+        left, upto, rows = np.array([wanted[k] for k in at]), np.full(len(at), width), np.arange(len(at))
+        for p in range(width, 0, -1):
+            hit = (left > 0) & (upto >= p) & (least[left, p, rows] < least[left, p - 1, rows])
+            for i in np.flatnonzero(hit):
+                out[at[i]].append(p - 1)
+            left, upto = left - hit, np.where(hit, p - q, upto)
+    return out
 
-def _rarest_pieces(names: DataFrame, col: str, counts: DataFrame, q: int, threshold: int) -> DataFrame:
-    """(col, piece): the pieces of which a match must share one, rarest first.
 
-    Every edit changes at most ``q`` pieces, so of a name's pieces all but q times
-    the edits survive; whichever do, one of the rarest ``q * edits + 1`` is among
-    them, on either side. Equal pieces of a name count one by one.
-    """
-    pieces = _pieces(names, col, q)
-    ranked = pieces.join(counts, "piece", "left").groupBy(col).agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))).alias("all")
+def _piece_length(names: DataFrame, threshold: int, shortest: int) -> int:
+    """The length of a piece for which some of the names, taken by their hash, collide
+    least. Any of them finds every match; only the work differs."""
+    lengths = _piece_lengths(threshold, shortest)
+    if len(lengths) == 1:
+        return lengths[0]
+    some = [r[0] for r in names.orderBy(F.xxhash64("ng_domain"), "ng_domain").limit(_TRIED_NAMES).collect()]
+    wanted = [_edits(len(x), threshold) + 1 for x in some]
+    collisions = {}
+    for q in lengths:
+        pieces = [[x[i : i + q] for i in range(len(x) - q + 1)] for x in some]
+        times = Counter(piece for name in pieces for piece in name)
+        counts = [np.array([times[piece] - 1 for piece in name], float) for name in pieces]
+        collisions[q] = sum(c[at].sum() for c, at in zip(counts, _rarest_apart(counts, wanted, q), strict=True))
+    return min(lengths, key=lambda q: (collisions[q], -q))
+
+
+def _pieces(names: DataFrame, col: str, q: int, *others: str) -> DataFrame:
+    """(others, at, piece): the hash of every run of ``q`` characters and its start from 0."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(col) - (q - 1)), lambda i: F.xxhash64(F.substr(F.col(col), i, F.lit(q))))
+    return names.select(*others, F.posexplode(runs).alias("at", "piece"))
+
+
+def _index(names: DataFrame, q: int, threshold: int) -> DataFrame:
+    """(name, length, at, piece): of every rated name one piece more than edits are
+    possible, side by side and as rare as can be. An edit changes one of them at
+    most, so every match holds one of them unchanged."""
+    pieces = materialize(_pieces(names, "ng_domain", q, "name", F.length("ng_domain").alias("length")))
+    counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    ranked = pieces.join(counts, "piece").groupBy("name", "length").agg(
+        F.sort_array(F.collect_list(F.struct("at", "n", "piece"))).alias("all")
     )
-    kept = F.slice("all", 1, (q * _max_edits_col(F.length(col), threshold) + 1).cast("int"))
-    return ranked.select(col, F.explode(kept).alias("p")).select(col, "p.piece")
 
+    @F.pandas_udf("array<int>")
+    def rarest(counts: pd.Series, length: pd.Series) -> pd.Series:
+        wanted = [_edits(int(n), threshold) + 1 for n in length]
+        return pd.Series(_rarest_apart([np.asarray(c, float) for c in counts], wanted, q))
 
-def _pieces(names: DataFrame, col: str, q: int) -> DataFrame:
-    """(col, piece) of every run of ``q`` characters, numbered among its equals."""
-    runs = F.transform(F.sequence(F.lit(1), F.length(col) - (q - 1)), lambda i: F.substr(F.col(col), i, F.lit(q)))
-    numbered = F.transform("runs", lambda x, i: F.struct(x.alias("run"), F.size(F.filter(F.slice("runs", F.lit(1), i), lambda y: y == x)).alias("no")))
-    return names.withColumn("runs", runs).select(col, F.explode(numbered).alias("piece"))
+    chosen = ranked.withColumn("kept", rarest(F.col("all.n"), F.col("length")))
+    return chosen.select("name", "length", F.explode("kept").alias("at"), F.col("all.piece").alias("hashes")).select(
+        "name", "length", "at", F.get("hashes", F.col("at")).alias("piece")
+    )
 
 
 def fuzzy_candidates(hosts: DataFrame, rated: DataFrame, threshold: int = 97) -> DataFrame:
     """Pairs (host, ng_domain) of long names, for which three edits or more may be
-    allowed: none that matches is missing. An inverted index lists rated names under
-    their rarest pieces only, and hosts look up their own rarest ones, so a piece
-    that many names share is listed for none that has rarer ones."""
+    allowed: none that matches is missing. Rated names are listed under a few rare
+    pieces that do not overlap, hosts look up all of theirs; the two places of a piece
+    may be no farther apart than the edits allow. Pieces travel as hashes with the
+    numbers of their names; the names come back with the pairs."""
     c, shortest = 100 - threshold, _long_from(threshold)
-    q = _piece_length(threshold, shortest)
-    long_hosts = hosts.filter(F.length("host") >= shortest).select("host")
-    long_rated = rated.filter(F.length("ng_domain") >= shortest).select("ng_domain")
-    counts = _pieces(long_rated, "ng_domain", q).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    index = _rarest_pieces(long_rated, "ng_domain", counts, q, threshold)
-    probes = _rarest_pieces(long_hosts, "host", counts, q, threshold)
-    apart = F.abs(F.length("host") - F.length("ng_domain"))
-    near = apart * 100 < c * (F.length("host") + F.length("ng_domain"))
-    return probes.join(index, "piece").filter(near).select("host", "ng_domain").distinct()
-
-
-def _fuzzy_by_pieces(hosts: DataFrame, rated: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of long names with their distance; candidates are verified."""
+    _piece_lengths(threshold, shortest)
+    number = F.monotonically_increasing_id()
+    long_hosts = materialize(hosts.filter(F.length("host") >= shortest).select("host", number.alias("no")))
+    long_rated = materialize(rated.filter(F.length("ng_domain") >= shortest).select("ng_domain", number.alias("name")))
+    q = _piece_length(long_rated, threshold, shortest)
+    index = materialize(_index(long_rated, q, threshold))
+    probes = _pieces(long_hosts, "host", q, "no", F.length("host").alias("host_length")).withColumnRenamed("at", "host_at")
+    # characters inserted or left out before the piece, and those behind it
+    before = F.col("host_at") - F.col("at")
+    behind = F.col("host_length") - F.col("length") - before
+    near = (F.abs(before) + F.abs(behind)) * 100 < c * (F.col("host_length") + F.col("length"))
+    pairs = probes.join(index, "piece").filter(near).select("no", "name").distinct()
+    return pairs.join(long_rated, "name").join(long_hosts, "no").select("host", "ng_domain").distinct()
+
+
+def _fuzzy_by_pieces(hosts: DataFrame, rated: DataFrame, threshold: int, longest: int) -> DataFrame:
+    """Pairs of long names, up to ``longest`` rated ones, with their distance; candidates are verified."""
     c = 100 - threshold
     pairs = fuzzy_candidates(hosts, rated, threshold)
-    # a changed character is two insertions or deletions, so the built-in distance never is the larger one
+    # a changed character is two insertions or deletions, so the built-in distance never is the larger one; beyond
+    # the edits that the longest name allows it is not counted to its end
     total = F.length("host") + F.length("ng_domain")
-    pairs = pairs.filter(F.levenshtein("host", "ng_domain") * 100 < c * total)
+    edits = F.levenshtein("host", "ng_domain", _edits(longest, threshold))
+    pairs = pairs.filter((edits >= 0) & (edits * 100 < c * total))
     return pairs.withColumn("distance", indel(F.col("host"), F.col("ng_domain")))
 
 
@@ -267,15 +331,16 @@ def match_fuzzy(hosts: DataFrame, rated: DataFrame, threshold: int = 97) -> Data
     the alphabetically first name. From 100 on there is none, and below 67 long
     names are refused, as they need not share anything to match."""
     hosts = hosts.select("host").dropna().distinct()
-    rated = rated.select("ng_domain").dropna().distinct()
+    rated = materialize(rated.select("ng_domain").dropna().distinct())
     # lengths that differ by more than the edits allowed rule out any match
     c, size = 100 - threshold, F.length("ng_domain")
     if c <= 0:
         return hosts.limit(0).selectExpr("host", "host AS ng_domain", "0D AS similarity")
     ends = rated.agg(F.min(size).alias("low"), F.max(size).alias("high")).first()
     low, high = (ends["low"] or 0) * (100 - c) / (100 + c), (ends["high"] or 0) * (100 + c) / (100 - c)
-    hosts = hosts.filter((F.length("host") > low) & (F.length("host") < high))
-    found = _fuzzy_by_deletion(hosts, rated, threshold).unionByName(_fuzzy_by_pieces(hosts, rated, threshold))
+    hosts = materialize(hosts.filter((F.length("host") > low) & (F.length("host") < high)))
+    long_pairs = _fuzzy_by_pieces(hosts, rated, threshold, ends["high"] or 0)
+    found = _fuzzy_by_deletion(hosts, rated, threshold).unionByName(long_pairs)
     total = F.length("host") + F.length("ng_domain")
     passing = found.filter(F.col("distance") * 100 < (100 - threshold) * total)
     best = passing.groupBy("host").agg(

@@ -2,7 +2,9 @@
 
 import random
 import string
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,26 @@ def test_a_common_piece_lists_no_pairs(spark):
         linking.fuzzy_candidates(hosts, rated, 50)
 
 
+def test_long_names_that_differ_in_their_digits_list_few_pairs(spark):
+    names = spark.range(30_000).select(F.concat(F.lit("the-regional-observer-and-evening-courier-of-"), F.md5(F.concat(F.lit("s"), "id").cast("binary")), F.lit(".example-news.com")).alias("ng_domain"))
+    hosts = names.limit(2000).select(F.concat(F.substr("ng_domain", F.lit(1), F.lit(4)), F.substr("ng_domain", F.lit(8))).alias("host"))
+    n = linking.fuzzy_candidates(hosts, names).count()
+    # pieces of four characters listed more than a hundred names per host
+    assert 2000 <= n < 20_000
+
+
+def test_rarest_pieces_apart():
+    rng = random.Random(3)
+    for q in (1, 2, 3):
+        counts = [[rng.randrange(9) for _ in range(rng.randrange(3 * q - q + 1, 9))] for _ in range(40)]
+        wanted = [rng.randrange(1, 4) for _ in counts]
+        got = linking._rarest_apart([np.array(c, float) for c in counts], wanted, q)
+        for c, k, places in zip(counts, wanted, got):
+            ways = [w for w in combinations(range(len(c)), k) if all(b - a >= q for a, b in zip(w, w[1:]))]
+            assert tuple(sorted(places)) in ways
+            assert sum(c[i] for i in places) == min(sum(c[i] for i in w) for w in ways)
+
+
 def test_resolution_and_platforms(spark):
     short = spark.createDataFrame([("u1", "bit.ly"), ("u2", "youtu.be"), ("u3", "bit.ly")], "url string, domain string")
     res = spark.createDataFrame(
