@@ -110,57 +110,107 @@ def source_nodes(shares: DataFrame) -> DataFrame:
     )
 
 
-# Side of a tile of the domain x domain matrix, and rows of the user x domain
-# table one task multiplies at a time.
+# Widest tile of the domain x domain matrix that is multiplied densely, users whose
+# rows one task multiplies at a time, and pairs of their domains one task should list.
 _TILE = 1024
 _USERS_PER_CHUNK = 4096
+_PAIRS_PER_TASK = 8_000_000
+# Pairs counted in one go, and multiplications of a dense product as costly as one of them.
+_PAIRS_AT_ONCE = 2_000_000
+_DENSE_PER_PAIR = 2000
+
+
+def _dense(row_a, at_a, row_b, at_b, width_a: int, width_b: int):
+    """(i, j, weight) of the pairs, by one product of two 0/1 tables."""
+    rows, place = np.unique(np.concatenate([row_a, row_b]), return_inverse=True)
+    left, right = np.zeros((len(rows), width_a), np.float32), np.zeros((len(rows), width_b), np.float32)
+    left[place[: len(row_a)], at_a] = 1
+    right[place[len(row_a) :], at_b] = 1
+    product = left.T @ right
+    i, j = np.nonzero(product)
+    return i, j, product[i, j].astype("int64")
+
+
+def _sparse(row_a, at_a, row_b, at_b, width_b: int, same: bool):
+    """The same from the lists of pairs, a bounded number of them at a time; of two
+    ``same`` tables only pairs of a domain and a later one."""
+    order_a, order_b = np.lexsort((at_a, row_a)), np.lexsort((at_b, row_b))
+    row_a, at_a, row_b, at_b = row_a[order_a], at_a[order_a], row_b[order_b], at_b[order_b]
+    low = np.arange(1, len(row_a) + 1) if same else np.searchsorted(row_b, row_a)
+    n = np.searchsorted(row_b, row_a, "right") - low
+    upto = np.cumsum(n)
+    cells, weights, start = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    while start < len(n):
+        listed = upto[start] - n[start]
+        end = max(int(np.searchsorted(upto, listed + _PAIRS_AT_ONCE, "right")), start + 1)
+        size = n[start:end]
+        first = np.repeat(np.arange(start, end), size)
+        within = np.arange(size.sum()) - np.repeat(upto[start:end] - size - listed, size)
+        second = np.repeat(low[start:end], size) + within
+        cell, weight = np.unique(at_a[first].astype(np.int64) * width_b + at_b[second], return_counts=True)
+        cells.append(cell)
+        weights.append(weight)
+        start = end
+    cell, place = np.unique(np.concatenate(cells), return_inverse=True)
+    weight = np.bincount(place, np.concatenate(weights), len(cell)).astype("int64")
+    return cell // width_b, cell % width_b, weight
+
+
+def _multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Users per pair of one domain of tile ``a`` and a later one of tile ``b``. Domains
+    are numbered anew among those present; the cheaper way is taken."""
+    a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+    row, no, t = pdf["row"].to_numpy(), pdf["no"].to_numpy(), pdf["t"].to_numpy()
+    names_a, at_a = np.unique(no[t == a], return_inverse=True)
+    names_b, at_b = (names_a, at_a) if a == b else np.unique(no[t == b], return_inverse=True)
+    row_a, row_b = row[t == a], row[t == b]
+    pairs = int((np.bincount(row_a, minlength=row.max() + 1) * np.bincount(row_b, minlength=row.max() + 1)).sum())
+    users, size = len(np.unique(row)), len(names_a) * len(names_b)
+    fits = max(size, users * max(len(names_a), len(names_b)) // 4) <= 4 * _TILE * _TILE
+    if fits and users * size <= _DENSE_PER_PAIR * pairs:
+        i, j, weight = _dense(row_a, at_a, row_b, at_b, len(names_a), len(names_b))
+    else:
+        i, j, weight = _sparse(row_a, at_a, row_b, at_b, max(len(names_b), 1), a == b)
+    i_no, j_no = names_a[i].astype("int64"), names_b[j].astype("int64")
+    low, high = np.minimum(i_no, j_no), np.maximum(i_no, j_no)
+    # inside one tile every pair comes twice, and each domain with itself
+    keep = i_no < j_no if a == b else np.ones(len(i_no), bool)
+    return pd.DataFrame({"i": low[keep], "j": high[keep], "weight": weight[keep]})
 
 
 def cosharing_edges(shares: DataFrame, tile: int = _TILE, users_per_chunk: int = _USERS_PER_CHUNK) -> DataFrame:
     """Users sharing both domains, for every unordered pair with at least one.
 
     The edges are the upper half of M'M for the 0/1 table M of users and domains.
-    Domains are numbered and cut into tiles, users into chunks; a task multiplies
-    the two tile columns of one chunk and emits one number per pair, so pairs are
-    summed before the shuffle and no user's pairs are ever listed. A cell is sent
-    as often as its chunk has tiles, not as often as there are tiles.
+    Users are cut into chunks. The domains of a chunk stay one tile while the pairs
+    of its users are few, and are dealt over more tiles, at most one per ``tile``
+    domains, as these grow; a task multiplies two tiles of one chunk and emits one
+    number per pair, so pairs are summed before the shuffle and none of a user with
+    many domains are listed by one task. A cell is sent as often as its chunk has
+    tiles. Thin tables are multiplied pair by pair, full ones as matrices.
     """
     once = materialize(shares.select("author_id", "domain").distinct())
     names = materialize(row_numbers(once.select("domain").distinct(), ["domain"], "no").drop("no_total"))
     n_domains = names.agg(F.max("no")).first()[0] or 0
-    tile = min(tile, n_domains + 1)
-    users = row_numbers(once.select("author_id").distinct(), ["author_id"], "u").drop("u_total")
-    cells = once.join(names, "domain").join(users, "author_id").select(
-        F.col("no").cast("int").alias("no"),
-        F.floor(F.col("no") / tile).cast("int").alias("t"),
-        F.floor(F.col("u") / users_per_chunk).alias("chunk"),
-        (F.col("u") % users_per_chunk).cast("int").alias("row"),
+    most = -(-n_domains // tile) or 1
+    d = F.count("domain")
+    users = once.groupBy("author_id").agg(d.alias("d"))
+    users = row_numbers(users, ["author_id"], "u").select(
+        "author_id", "d", F.floor((F.col("u") - 1) / users_per_chunk).alias("chunk"), ((F.col("u") - 1) % users_per_chunk).cast("int").alias("row")
     )
-    # a cell takes part in its own tile's products with the tiles its chunk has cells in
-    cells = materialize(cells)
-    present = cells.select("chunk", "t").distinct().groupBy("chunk").agg(F.collect_list("t").alias("tiles"))
-    sided = cells.join(present, "chunk").select("chunk", "t", "row", "no", F.explode("tiles").alias("o")).withColumns(
-        {"a": F.least("t", "o"), "b": F.greatest("t", "o")}
-    ).select("chunk", "a", "b", "row", "no")
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        row, no = pdf["row"].to_numpy(), pdf["no"].to_numpy()
-        left = np.zeros((row.max() + 1, tile), dtype=np.float32)
-        right = np.zeros_like(left)
-        in_a, in_b = no // tile == a, no // tile == b
-        left[row[in_a], no[in_a] % tile] = 1
-        right[row[in_b], no[in_b] % tile] = 1
-        product = left.T @ right
-        i, j = np.nonzero(product)
-        i_no, j_no = i + a * tile, j + b * tile
-        keep = i_no < j_no
-        return pd.DataFrame(
-            {"i": i_no[keep], "j": j_no[keep], "weight": product[i, j][keep].astype("int64")}
-        )
-
-    part = sided.groupBy("chunk", "a", "b").applyInPandas(multiply, "i bigint, j bigint, weight bigint")
+    users = materialize(users)
+    pairs = F.sum(F.col("d").cast("double") * F.col("d")) / 2
+    tiles = F.least(F.greatest(F.ceil(F.sqrt(2 * pairs / _PAIRS_PER_TASK)), F.lit(1)), F.lit(most)).cast("int")
+    chunks = users.groupBy("chunk").agg(tiles.alias("tiles"))
+    cells = once.join(names, "domain").join(users.join(chunks, "chunk"), "author_id").select(
+        "chunk", "row", "tiles", F.col("no").cast("int").alias("no"), (F.col("no") % F.col("tiles")).cast("int").alias("t")
+    )
+    # a cell takes part in its own tile's products with all tiles of its chunk
+    sided = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "chunk", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "row", "no", "t"
+    )
+    part = sided.groupBy("chunk", "a", "b").applyInPandas(_multiply, "i bigint, j bigint, weight bigint")
     sums = part.groupBy("i", "j").agg(F.sum("weight").alias("weight"))
-    source = names.select(F.col("no").alias("i"), F.col("domain").alias("source"))
-    target = names.select(F.col("no").alias("j"), F.col("domain").alias("target"))
-    return sums.join(source, "i").join(target, "j").select("source", "target", "weight")
+    name = names.select(F.col("no").alias("i"), F.col("domain").alias("source"))
+    other = names.select(F.col("no").alias("j"), F.col("domain").alias("target"))
+    return sums.join(name, "i").join(other, "j").select("source", "target", "weight")

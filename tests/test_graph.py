@@ -167,6 +167,22 @@ def test_cosharing_in_tiles(spark):
         assert {(r["source"], r["target"]): r["weight"] for r in got} == dict(want)
 
 
+@pytest.mark.parametrize("pairs,at_once,dense", [(20, 7, 0), (20, 7, 10**6), (10**6, 7, 0)])
+def test_cosharing_thin_and_full(spark, monkeypatch, pairs, at_once, dense):
+    rng = random.Random(5)
+    monkeypatch.setattr(networks, "_PAIRS_PER_TASK", pairs)
+    monkeypatch.setattr(networks, "_PAIRS_AT_ONCE", at_once)
+    monkeypatch.setattr(networks, "_DENSE_PER_PAIR", dense)
+    mine = {f"u{i}": {f"d{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 9, 40]))} for i in range(25)}
+    want = defaultdict(int)
+    for ds in mine.values():
+        for pair in combinations(sorted(ds), 2):
+            want[pair] += 1
+    df = spark.createDataFrame([(u, d) for u, ds in mine.items() for d in ds] + [(None, "d1"), ("u1", None)], "author_id string, domain string")
+    got = networks.cosharing_edges(df, 10, 6).collect()
+    assert {(r["source"], r["target"]): r["weight"] for r in got} == dict(want) and len(got) == len(want)
+
+
 def test_reply_tables(spark):
     rows = [("a", "b")] * 3 + [("b", "a"), ("a", "x"), ("x", "a"), ("x", "y"), ("a", "a")]
     replies = spark.createDataFrame(rows, "src string, dst string")
