@@ -57,14 +57,17 @@ def attach_rating(
 
     From the first stable month on a link takes its month's rating; before it
     the domain's mean over all months. Both cases are one join: the rating table
-    holds an extra row per domain for "any month". ``literal`` keeps one row per
-    month there instead of the mean.
+    holds an extra row per domain for "any month". ``literal`` counts every rating
+    row there on its own: a link stays one row, with the mean of its rows, how often
+    each label comes in them (``_labels``), and the label and score of the first one
+    (``Orientation``, ``_first_score``); ``merge_multilink`` lists them again.
     """
     stable = stable_ratings(ratings, since).select("Domain", "file_month", "Score", "Orientation")
     by_month = stable.withColumn("n_ratings", F.lit(1).cast("bigint"))
     any_month = F.lit(_ANY_MONTH).cast("date")
     if literal:
-        overall = by_month.withColumn("file_month", any_month)
+        every = stable.unionByName(stable.withColumn("file_month", any_month))
+        by_month, overall = _counted_ratings(every), None
     else:
         overall = stable.groupBy("Domain").agg(
             any_month.alias("file_month"),
@@ -73,7 +76,7 @@ def attach_rating(
             F.array_join(F.sort_array(F.collect_set("Orientation")), ", ").alias("Orientation"),
             F.count(F.lit(1)).alias("n_ratings"),
         )
-    dim = by_month.unionByName(overall).withColumnRenamed("Domain", "ng_domain")
+    dim = (by_month if literal else by_month.unionByName(overall)).withColumnRenamed("Domain", "ng_domain")
     first = stable.agg(F.min("file_month")).scalar()
     month = S.month_start(F.to_date("created_at"))
     keyed = links.withColumns(
@@ -83,7 +86,25 @@ def attach_rating(
     key = F.coalesce("ng_domain", F.concat(F.lit(" "), F.col("id").cast("string")))
     dim = dim.withColumnsRenamed({"ng_domain": "_domain", "file_month": "_month"})
     joined = keyed.join(dim, (key == F.col("_domain")) & (F.col("file_month") == F.col("_month")), "left")
-    return joined.select("ng_domain", *[c for c in keyed.columns if c not in ("ng_domain", "file_month")], "Score", "Orientation", "n_ratings")
+    return joined.select("ng_domain", *[c for c in keyed.columns if c not in ("ng_domain", "file_month")], *[c for c in dim.columns if c not in ("_domain", "_month")])
+
+
+def _counted_ratings(ratings: DataFrame) -> DataFrame:
+    """The rating rows of a domain and month in one: their mean score, how many have one,
+    the first label and score, and the labels of scored rows with their number."""
+    label = F.when(F.col("Score").isNotNull(), F.col("Orientation"))
+    first = F.min(F.struct("Orientation", "Score"))
+    rows = ratings.groupBy("Domain", "file_month").agg(
+        F.avg("Score").alias("Score"),
+        F.count("Score").alias("n_ratings"),
+        first.alias("_one"),
+        F.sort_array(F.collect_list(label)).alias("_all"),
+    )
+    times = F.transform(F.array_distinct("_all"), lambda x: F.struct(x.alias("label"), F.size(F.filter("_all", lambda y: y == x)).alias("n")))
+    return rows.select(
+        "Domain", "file_month", "Score", F.col("_one.Orientation").alias("Orientation"), "n_ratings",
+        F.col("_one.Score").alias("_first_score"), times.alias("_labels"),
+    )
 
 
 def merge_multilink(links: DataFrame, literal: bool = False) -> DataFrame:
@@ -91,34 +112,40 @@ def merge_multilink(links: DataFrame, literal: bool = False) -> DataFrame:
     ``ng_domain`` lists the rated domains in link order, ``Orientation`` the
     different labels. Without a rated link the first matched domain stays.
 
-    ``literal``: with fewer than two rating rows the first link alone decides,
-    and labels are listed with repeats.
+    ``literal`` (links from ``attach_rating`` with it): with fewer than two rating
+    rows the first link alone decides, and names and labels are listed once per row.
     """
     rated = F.col("Score").isNotNull()
     where = F.struct("position", "ng_domain", "Orientation", "Score")
-    made = ("id", "author_id", "created_at", "position", "url", "ng_domain", "month", "Score", "Orientation", "n_ratings")
+    told = F.struct("position", "ng_domain", "n_ratings", "_labels") if literal else where
+    first = F.struct("position", "ng_domain", "Orientation", F.col("_first_score").alias("Score")) if literal else where
+    made = (
+        "id", "author_id", "created_at", "position", "url", "ng_domain", "month", "Score", "Orientation", "n_ratings", "_first_score", "_labels"
+    )
     others = [c for c in links.columns if c not in made]
-    rows = links.groupBy("id", "author_id").agg(
+    # the links of a post come from many tasks, so they are brought together before anything is collected
+    rows = links.repartition("id", "author_id").groupBy("id", "author_id").agg(
         *[F.first(c).alias(c) for c in others],
         F.min("created_at").alias("created_at"),
         F.sum(F.when(rated, F.col("n_ratings"))).alias("n_ratings"),
         F.sum(F.when(rated, F.col("Score") * F.col("n_ratings"))).alias("_sum"),
-        F.sort_array(F.collect_list(F.when(rated, where))).alias("_rated"),
-        F.min(F.when(F.col("ng_domain").isNotNull(), where)).alias("_matched"),
-        F.min(F.struct("position", "ng_domain", "Orientation", "Score")).alias("_first"),
+        F.sort_array(F.collect_list(F.when(rated, told))).alias("_rated"),
+        F.min(first if literal else F.when(F.col("ng_domain").isNotNull(), where)).alias("_one"),
     )
-    names = F.array_join(F.transform("_rated", lambda x: x["ng_domain"]), ", ")
-    labels = F.transform("_rated", lambda x: x["Orientation"])
     mean = F.col("_sum") / F.col("n_ratings")
-    has = F.size("_rated") > 0
     if literal:
+        names = F.flatten(F.transform("_rated", lambda x: F.array_repeat(x["ng_domain"], x["n_ratings"].cast("int"))))
+        labels = F.flatten(F.transform("_rated", lambda x: F.flatten(F.transform(x["_labels"], lambda y: F.array_repeat(y["label"], y["n"])))))
         several = F.coalesce(F.col("n_ratings"), F.lit(0)) >= 2
-        score = F.when(several, mean).otherwise(F.col("_first.Score"))
-        domain = F.when(several, names).otherwise(F.col("_first.ng_domain"))
-        label = F.when(several, F.array_join(labels, ", ")).otherwise(F.col("_first.Orientation"))
+        score = F.when(several, mean).otherwise(F.col("_one.Score"))
+        domain = F.when(several, F.array_join(names, ", ")).otherwise(F.col("_one.ng_domain"))
+        label = F.when(several, F.array_join(labels, ", ")).otherwise(F.col("_one.Orientation"))
     else:
+        has = F.size("_rated") > 0
+        names = F.array_join(F.transform("_rated", lambda x: x["ng_domain"]), ", ")
+        labels = F.transform("_rated", lambda x: x["Orientation"])
         score = mean
-        domain = F.when(has, names).otherwise(F.col("_matched.ng_domain"))
+        domain = F.when(has, names).otherwise(F.col("_one.ng_domain"))
         label = F.when(has, F.array_join(F.sort_array(F.array_distinct(labels)), ", "))
     return rows.select(
         "id", "author_id", "created_at", domain.alias("ng_domain"), score.alias("Score"), label.alias("Orientation"),

@@ -79,6 +79,31 @@ def test_literal_scores(posts, matched, rated):
     assert sorted(got["3"][2].split(", ")) == ["Left", "Neutral"]
 
 
+def test_literal_ratings_keep_one_row_per_link(spark, posts, matched, rated):
+    links = ratings.attach_domains(posts, matched)
+    rows = ratings.attach_rating(links, rated, literal=True)
+    # a link before the first month is not repeated for every month of its domain
+    assert rows.count() == links.count() == 9
+    got = {(r["id"], r["ng_domain"]): (r["n_ratings"], [(x["label"], x["n"]) for x in r["_labels"]]) for r in rows.filter("_labels IS NOT NULL").collect()}
+    assert got["4", "a.com"] == (2, [("Left", 1), ("Neutral", 1)]) and got["4", "b.com"] == (2, [("Right", 2)])
+    merged = rows_of(ratings.merge_multilink(rows, literal=True))
+    assert merged["4"] == ("a.com, a.com, b.com, b.com", pytest.approx(45.0), "Left, Neutral, Right, Right")
+
+
+def test_literal_ratings_without_score_or_label(spark):
+    day = datetime(2020, 5, 5)
+    posts = spark.createDataFrame([("1", "u", day, "ua"), ("2", "u", day, "ub"), ("3", "u", day, "uc ua"), ("4", "u", day, "ub uc")], "id string, author_id string, created_at timestamp, expanded_urls string")
+    matched = spark.createDataFrame([(f"u{x}", x) for x in "abc"], "url string, ng_domain string")
+    raw = [("a", D(2021, 1, 1), None, "Right"), ("a", D(2021, 2, 1), 50.0, None), ("b", D(2021, 1, 1), 30.0, "Left"), ("b", D(2021, 2, 1), None, "Left"), ("c", D(2021, 1, 1), 20.0, "Right"), ("c", D(2021, 2, 1), 10.0, None)]
+    rated = spark.createDataFrame(raw, "Domain string, file_month date, Score double, Orientation string")
+    got = rows_of(ratings.rate_posts(posts, matched, rated, literal=True))
+    # one scored row: the first row of the first link decides, no label before any label, no score before any score
+    assert got["1"] == ("a", 50.0, None)
+    assert got["2"] == ("b", None, "Left")
+    assert got["3"] == ("c, c, a", pytest.approx(80 / 3), "Right")
+    assert got["4"] == ("b, c, c", 20.0, "Left, Right")
+
+
 def test_band_gaps(spark):
     scores = spark.createDataFrame([(x,) for x in (39.0, 39.5, 59.5, 60.0, 74.5, 99.5, 100.0)], "Score double")
     got = [r[0] for r in scores.select(S.score_band(F.col("Score"))).collect()]
