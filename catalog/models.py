@@ -14,6 +14,7 @@ from feedpanel.operators import (
 )
 from feedpanel.plans import flows
 from feedpanel.schema import EMOTIONS
+from feedpanel.session import materialize
 
 BASELINES = [f"{e}_baseline" for e in EMOTIONS]
 
@@ -505,7 +506,7 @@ def evaluate_classifier(t):
 # --- scoring and release ---------------------------------------------------
 @query("score_texts")
 def score_texts(t):
-    texts = panel.filter_scorable(t.texts())
+    texts = materialize(panel.filter_scorable(t.texts()))
     labelled = texts.join(t.table("labels").select(F.col("doc_id").cast("string").alias("id"), "toxic"), "id")
     model = scoring.train_scorer(labelled, "toxic")
     return rounded(scoring.apply_scorer(model, texts, "toxic_p").select("id", "toxic_p"))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +14,8 @@ from pyspark.resource import ExecutorResourceRequests, ResourceProfile, Resource
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedpanel.session import materialize
+
 # Score columns and rows per call of the scorer.
 LABELS = ["anger_v2", "fear_v2", "disgust_v2", "sadness_v2", "joy_v2", "enthusiasm_v2", "pride_v2", "hope_v2"]
 BATCH = 32
@@ -67,16 +69,15 @@ def score_texts(
 
 
 def train_scorer(labelled: DataFrame, label: str, features: int = 4096) -> PipelineModel:
-    """Bag-of-words logistic regression on (text_cleaned, label)."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="text_cleaned", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-            IDF(inputCol="_tf", outputCol="_x"),
-            LogisticRegression(featuresCol="_x", labelCol=label, predictionCol="_hat", probabilityCol="_p",
-                               rawPredictionCol="_raw", regParam=0.1, maxIter=50),
-        ]
-    ).fit(labelled.dropna(subset=[label]))
+    """Bag-of-words logistic regression on (text_cleaned, label). The texts are read
+    and split into words once: their counts are stored for both fits."""
+    words = RegexTokenizer(inputCol="text_cleaned", outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
+    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features)
+    counted = materialize(counts.transform(words.transform(labelled.dropna(subset=[label]))).select(label, "_tf"))
+    weights = IDF(inputCol="_tf", outputCol="_x").fit(counted)
+    regression = LogisticRegression(featuresCol="_x", labelCol=label, predictionCol="_hat", probabilityCol="_p",
+                                    rawPredictionCol="_raw", regParam=0.1, maxIter=50)
+    return PipelineModel([words, counts, weights, regression.fit(weights.transform(counted))])
 
 
 def apply_scorer(model: PipelineModel, texts: DataFrame, name: str) -> DataFrame:

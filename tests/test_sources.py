@@ -187,6 +187,22 @@ def test_scoring(spark):
     assert scored.filter("(p > 0.5) <> (text_cleaned LIKE 'bad%')").count() == 0
 
 
+def test_training_reads_its_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    texts = spark.createDataFrame([(str(i), "bad things" if i % 3 else "good things", int(i % 3 > 0)) for i in range(60)], "id string, raw string, bad int")
+    model = scoring.train_scorer(texts.select("id", "bad", counted(F.col("raw")).alias("text_cleaned")), "bad")
+    # both fits work on stored counts of words
+    assert seen.value == 60
+    low, high = (r["p"] for r in scoring.apply_scorer(model, texts.limit(2).withColumnRenamed("raw", "text_cleaned"), "p").orderBy("id").collect())
+    assert low < 0.5 < high
+
+
 def test_work_folder_is_read_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert work_folder(spark) == named if named else work_folder(spark).startswith("/tmp/run-")
