@@ -11,6 +11,7 @@ from catalog.daily import _TOP, r, rounded
 from feedpanel.functions import urls as U
 from feedpanel.operators import daily, domains, linking, panel, ratings
 from feedpanel.plans import flows
+from feedpanel.session import materialize
 
 SINCE = "1998-01-01"
 
@@ -180,9 +181,9 @@ def country_domains(t):
     return ratings.country_domains(make_ratings(t)).select("Domain", "file_month")
 
 
-def link_map(t):
+def link_map(t, posts=None):
     """URL to rated name of the order links; a few sites are not in the map."""
-    urls = linking.distinct_urls(t.link_posts())
+    urls = linking.distinct_urls(t.link_posts() if posts is None else posts)
     names = make_ratings(t).select(F.col("Domain").alias("ng_domain")).distinct().filter("ng_domain NOT LIKE 's%9.example.com'")
     return linking.match_exact(urls, names).select("url", "ng_domain")
 
@@ -227,7 +228,8 @@ _MERGED = f"""{_LK}, mg AS (SELECT id, author_id, min(created_at) AS created_at,
 
 
 def make_rated_posts(t):
-    return flows.rated_posts(t.link_posts(), link_map(t), t.raw_ratings(), SINCE)
+    posts = materialize(t.link_posts())
+    return flows.rated_posts(posts, link_map(t, posts), t.raw_ratings(), SINCE)
 
 
 @query("merge_multilink", f"WITH {_MERGED} SELECT id, author_id, ng_domain, {r('Score', 'Score', 9)}, Orientation FROM mg")
@@ -242,7 +244,8 @@ _LIT = f"""WITH {_LK}, ll AS (SELECT lk.*, x.Score, x.Orientation, x.Domain FROM
 @query("merge_multilink_literal", f"""{_LIT} SELECT g.id, {r('CASE WHEN n >= 2 THEN g.Score ELSE f.Score END', 'Score', 9)}, CASE WHEN n >= 2 THEN names ELSE f.ng_domain END AS ng_domain,
  CASE WHEN n >= 2 THEN CAST(n_labels AS BIGINT) WHEN f.Orientation IS NOT NULL THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n_labels FROM g JOIN (SELECT id, Score, Orientation, ng_domain FROM ll WHERE position = 0 OR position IS NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY Score) = 1) f ON g.id = f.id""")
 def merge_multilink_literal(t):
-    out = flows.rated_posts(t.link_posts(), link_map(t), t.raw_ratings(), SINCE, literal=True)
+    posts = materialize(t.link_posts())
+    out = flows.rated_posts(posts, link_map(t, posts), t.raw_ratings(), SINCE, literal=True)
     n = F.when(F.col("Orientation").isNull(), 0).otherwise(F.size(F.split("Orientation", ", "))).cast("bigint")
     return rounded(out.select("id", "Score", "ng_domain", n.alias("n_labels")), 9)
 
