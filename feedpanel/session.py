@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -32,7 +33,12 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and benchmarks on one machine."""
+    """Session for tests and benchmarks on one machine.
+
+    Tasks with two Python steps start two worker processes each. No more than one
+    per core stay for later stages, so these load a scorer that often at most.
+    """
+    kept = os.cpu_count() if cores == "*" else int(cores)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("feedpanel")
@@ -40,6 +46,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.python.factory.idleWorkerMaxPoolSize", str(kept))
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)

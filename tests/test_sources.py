@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+import time
 from datetime import datetime
 
 import pytest
@@ -277,6 +278,27 @@ def test_a_scorer_is_loaded_once_per_worker(spark):
     assert 1 <= loads.value <= spark.sparkContext.defaultParallelism + 1
 
 
+def test_a_scorer_is_loaded_no_more_often_after_tasks_with_two_python_steps(spark):
+    def slowly(frames):
+        for pdf in frames:
+            time.sleep(0.05)
+            yield pdf
+
+    cores = spark.sparkContext.defaultParallelism
+    two_steps = spark.range(0, 1000, 1, 4 * cores).mapInPandas(slowly, "id bigint").mapInPandas(slowly, "id bigint")
+    assert two_steps.count() == 1000
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+        return lambda batch: [[1.0]] * len(batch)
+
+    texts = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.lit("abc").alias("text_cleaned"))
+    out = scoring.score_texts(texts.repartition(64), scoring.once_per_worker(load), ["n"], batch=20)
+    assert out.agg(F.sum("n")).first()[0] == 4000
+    assert 1 <= loads.value <= cores + 1
+
+
 def test_a_profile_is_part_of_the_plan(spark):
     profile = scoring.accelerated(gpus=2, cores=2, memory="2g")
     texts = spark.createDataFrame([("1", "a")], "id string, text_cleaned string")
