@@ -6,12 +6,14 @@ a lost executor costs only its running tasks.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedpanel.operators import search
 from feedpanel.operators.networks import induced_edges
 from feedpanel.operators.ordered import row_numbers
-from feedpanel.session import materialize
+from feedpanel.session import materialize, slots
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -137,6 +139,9 @@ def transitivity(edges: DataFrame) -> DataFrame:
 
 
 _MAX_WORDS = 16  # 64 sources per word
+# Largest graph that one task searches by itself, and bytes of each of the three tables of bits it then holds.
+_EDGES_PER_TASK = 32_000_000
+_BITS_PER_TASK = 64_000_000
 
 
 def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -147,15 +152,55 @@ def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Mean directed distance over reachable ordered pairs of ``nodes``.
 
-    Breadth-first search from all sources at once: a row per node and batch of 1024
-    sources that reach it carries one bit per source, and a step ORs the bits along
-    the edges. Jobs follow the longest distance, not the number of nodes; the state
-    has at most one bit per pair.
+    Breadth-first search from all sources at once, one bit per source and node. A
+    graph of up to ``_EDGES_PER_TASK`` edges is sent to each group of sources, whose
+    task keeps the bits of a batch of them in bounded memory, so only the edges are
+    shuffled, once per shuffle partition. The steps of a larger graph are joins.
     """
     inside = _inside(edges, nodes)
-    numbered = row_numbers(nodes.select("id").distinct(), ["id"], "no").select("id", (F.col("no") - 1).alias("no"), "no_total")
-    numbered = materialize(numbered)
-    n = (numbered.agg(F.max("no_total")).first()[0]) or 0
+    ends = F.array(F.struct(F.col("dst").alias("id"), F.lit(-1).alias("k")), F.struct(F.col("src").alias("id"), F.lit(0).alias("k")))
+    ends = inside.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.sum("e.k").alias("k"))
+    numbered = materialize(row_numbers(ends, ["k", "id"], "no").select("id", (F.col("no") - 1).alias("no"), "no_total", "k"))
+    n, n_edges = numbered.agg(F.max("no_total"), -F.sum("k")).first()
+    if not n:
+        pairs = total = 0
+    elif n_edges <= _EDGES_PER_TASK and 8 * n <= _BITS_PER_TASK:
+        pairs, total = _searched(inside, numbered, n)
+    else:
+        pairs, total = _stepwise(inside, numbered, n)
+    mean = float(total) / pairs if pairs else None
+    return edges.sparkSession.createDataFrame(
+        [(int(pairs), int(total), mean)], "reachable_pairs bigint, total_distance bigint, avg_path_length double"
+    )
+
+
+def _searched(inside: DataFrame, numbered: DataFrame, n: int) -> tuple[int, int]:
+    """Reachable pairs and the sum of their distances, each group of sources searched by one task."""
+    partitions = int(inside.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = min(_MAX_WORDS, _BITS_PER_TASK // (8 * n), n // 64 + 1)
+    per_batch = 64 * words
+    groups = min(partitions, -(-n // per_batch))
+    one, other = (numbered.select(F.col("id").alias(end), F.col("no").alias(end[0])) for end in ("src", "dst"))
+    edges = inside.join(one, "src").join(other, "dst").select("d", "s")
+    packed = edges.repartitionByRange("d", "s").sortWithinPartitions("d", "s").mapInPandas(search.pack, search.PACKED)
+    each = [F.struct(F.lit(g).alias("group"), F.lit(s).alias("slot")) for g, s in enumerate(slots(partitions)[:groups])]
+    sent = packed.withColumn("to", F.explode(F.array(*each))).select("*", "to.*").drop("to").repartition(partitions, "slot")
+
+    def lengths(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph = search.Search(*search.unpack(pdf), n, words)
+        sources, step = graph.sources(), per_batch * groups
+        found = [graph.run(sources[i : i + per_batch]) for i in range(per_batch * int(pdf["group"].iloc[0]), len(sources), step)]
+        return pd.DataFrame({"pairs": [sum(p for p, _ in found)], "total": [sum(t for _, t in found)]})
+
+    found = sent.groupBy("slot").applyInPandas(lengths, "pairs bigint, total bigint")
+    return found.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+
+
+def _stepwise(inside: DataFrame, numbered: DataFrame, n: int) -> tuple[int, int]:
+    """The same by one join per step: a row per node and batch of sources that reach
+    it carries one bit per source. Jobs follow the longest distance, not the number
+    of nodes; the state has at most one bit per pair and is spread by node and batch.
+    """
     words = [f"w{i}" for i in range(min(_MAX_WORDS, n // 64 + 1))]
     per_batch = 64 * len(words)
     bit = F.expr("shiftleft(bigint(1), int(no % 64))")
@@ -186,10 +231,7 @@ def path_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         total += depth * reached
         pairs += reached
-    mean = float(total) / pairs if pairs else None
-    return edges.sparkSession.createDataFrame(
-        [(int(pairs), int(total), mean)], "reachable_pairs bigint, total_distance bigint, avg_path_length double"
-    )
+    return pairs, total
 
 
 def path_lengths_sketch(edges: DataFrame, nodes: DataFrame, precision: int = 12) -> DataFrame:

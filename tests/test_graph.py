@@ -4,10 +4,12 @@ import random
 from collections import defaultdict, deque
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from feedpanel.operators import graph, networks
+from feedpanel.operators import graph, networks, search
 
 
 @pytest.fixture(scope="module")
@@ -115,6 +117,55 @@ def test_path_lengths_need_no_more_jobs_for_more_nodes(spark, monkeypatch):
     assert many <= few + 3
 
 
+def test_path_lengths_need_no_more_jobs_for_longer_paths(spark):
+    def jobs(nodes):
+        path = spark.range(nodes - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+        context, name = spark.sparkContext, f"path-{nodes}"
+        context.setJobGroup(name, name)
+        row = graph.path_lengths(path, graph.nodes_of(path)).first()
+        assert (row["reachable_pairs"], row["total_distance"]) == (nodes * (nodes - 1) // 2, (nodes + 1) * nodes * (nodes - 1) // 6)
+        count = len(context.statusTracker().getJobIdsForGroup(name))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return count
+
+    assert jobs(30) <= jobs(5) + 3  # no step crosses the shuffle
+
+
+@pytest.mark.parametrize("limit", ["_EDGES_PER_TASK", "_BITS_PER_TASK"])
+def test_path_lengths_of_graphs_too_large_for_a_task(df, edges, monkeypatch, limit):
+    monkeypatch.setattr(graph, limit, 1)
+    near = neighbours(edges, directed=True)
+    dists = [d for x in {x for e in edges for x in e} for y, d in reach(x, near).items() if y != x]
+    row = graph.path_lengths(df, graph.nodes_of(df)).first()
+    assert (row["reachable_pairs"], row["total_distance"]) == (len(dists), sum(dists))
+
+
+@pytest.mark.parametrize("few,rows", [(0, 8192), (0, 7), (10**6, 8192), (150, 64)])
+def test_search_inside_a_task(monkeypatch, few, rows):
+    monkeypatch.setattr(search, "_ROWS_AT_ONCE", rows)
+    rng = random.Random(6)
+    # two nodes that nearly all lead to, a path off the rest and nodes without edges in or out
+    links = {(i, h) for h in (200, 201) for i in range(150) if i % 7} | {(rng.randrange(120), rng.randrange(40, 202)) for _ in range(400)}
+    links |= {(200, 3), (201, 210)} | {(i, i + 1) for i in range(210, 240)}
+    links = {(a, b) for a, b in links if a != b}
+    into = defaultdict(int)
+    for _, b in links:
+        into[b] += 1
+    ids = sorted({x for e in links for x in e}, key=lambda x: (-into[x], x))
+    no = {x: i for i, x in enumerate(ids)}
+    table = pd.DataFrame(sorted((no[b], no[a]) for a, b in links), columns=["d", "s"])
+    packed = list(search.pack(table.iloc[i : i + 90] for i in range(0, len(table), 90)))
+    src, dst = search.unpack(pd.concat(packed[::-1], ignore_index=True))
+    assert list(zip(dst, src)) == list(table.itertuples(index=False, name=None))
+    found = search.Search(src, dst, len(ids), 2)
+    sources = found.sources()
+    assert sorted(ids[i] for i in sources) == sorted({a for a, _ in links})
+    near = neighbours(links, directed=True)
+    for some in (sources[:128], sources[128:]):
+        dists = [d for x in some for y, d in reach(ids[x], near).items() if y != ids[x]]
+        assert found.run(np.asarray(some), few) == (len(dists), sum(dists))
+
+
 def test_path_lengths_of_nothing(spark, df):
     none = graph.nodes_of(df).limit(0)
     for lengths in (graph.path_lengths, graph.path_lengths_sketch):
