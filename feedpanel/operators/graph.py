@@ -215,6 +215,7 @@ def _stepwise(inside: DataFrame, numbered: DataFrame, n: int) -> tuple[int, int]
         front = state.filter(" OR ".join(f"f{w} <> 0" for w in words))
         arriving = (
             front.select(F.col("id").alias("src"), "batch", *[f"f{w}" for w in words])
+            .hint("merge")  # the files of a state are small, the state is not
             .join(inside, "src")
             .groupBy(F.col("dst").alias("id"), "batch")
             .agg(*[F.bit_or(f"f{w}").alias(f"n{w}") for w in words])
@@ -253,7 +254,8 @@ def path_lengths_sketch(edges: DataFrame, nodes: DataFrame, precision: int = 12)
     depth = total = 0
     while True:
         depth += 1
-        onward = inside.join(state.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "reach")
+        # sketches that are alike make a small file, but not a small table to send to the driver and all executors
+        onward = inside.join(state.withColumnRenamed("id", "dst").hint("merge"), "dst").select(F.col("src").alias("id"), "reach")
         state = materialize(state.unionByName(onward).groupBy("id").agg(F.hll_union_agg("reach").alias("reach")))
         now = counted(state)
         if now <= before:

@@ -183,6 +183,18 @@ def test_sketched_path_lengths_are_close(spark):
     assert close["avg_path_length"] == pytest.approx(exact["avg_path_length"], rel=0.02)
 
 
+def test_states_of_nodes_are_not_sent_to_the_driver(spark, monkeypatch):
+    plans, store = [], graph.materialize
+    monkeypatch.setattr(graph, "_EDGES_PER_TASK", 0)
+    monkeypatch.setattr(graph, "materialize", lambda t: plans.append((t.columns, t._jdf.queryExecution().executedPlan().toString())) or store(t))
+    ring = spark.range(9).select(F.col("id").alias("src"), ((F.col("id") + 1) % 9).alias("dst"))
+    # in the end every node reaches the same ones: files of equal sketches are small, the sketches are not
+    assert graph.path_lengths(ring, graph.nodes_of(ring)).first()["reachable_pairs"] == 72
+    assert graph.path_lengths_sketch(ring, graph.nodes_of(ring)).first()["reachable_pairs"] == 72
+    steps = [plan for columns, plan in plans if ("reach" in columns or "fw0" in columns) and "Join" in plan]
+    assert len(steps) > 10 and not any("Broadcast" in plan for plan in steps)
+
+
 def test_core_numbers(df, edges):
     near = defaultdict(lambda: defaultdict(int))
     for a, b in edges:
