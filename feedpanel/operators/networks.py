@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -115,6 +117,8 @@ def source_nodes(shares: DataFrame) -> DataFrame:
 _TILE = 1024
 _USERS_PER_CHUNK = 4096
 _PAIRS_PER_TASK = 8_000_000
+# Pairs whose chunks' sums one task should bring together.
+_PAIRS_PER_BLOCK = 4_000_000
 # Pairs counted in one go, and multiplications of a dense product as costly as one of them.
 _PAIRS_AT_ONCE = 2_000_000
 _DENSE_PER_PAIR = 2000
@@ -178,6 +182,45 @@ def _multiply(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"i": low[keep], "j": high[keep], "weight": weight[keep]})
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as all their lowest bytes, then all the next ones: high bytes are mostly alike and compress."""
+    width = max((int(values.max()).bit_length() + 7) // 8, 1)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(planes: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    found = np.frombuffer(planes, np.uint8).reshape(-1, n)
+    wide[:, : len(found)] = found.T
+    return wide.view("<u8").ravel().astype(np.int64)
+
+
+def _packed(pairs: pd.DataFrame, side: int, wide: int) -> pd.DataFrame:
+    """The pairs (i, j) of each of ``side`` x ``side`` blocks, by the remainders of i
+    and j, in one row: sorted cells as steps from one to the next, and weights."""
+    i, j, weight = pairs["i"].to_numpy(), pairs["j"].to_numpy(), pairs["weight"].to_numpy()
+    key = (i % side * side + j % side) * wide**2 + i // side * wide + j // side
+    order = np.argsort(key)
+    key, weight = key[order], weight[order]
+    block, cell = key // wide**2, key % wide**2
+    heads = np.flatnonzero(np.diff(block, prepend=-1))
+    spans = list(zip(heads, np.append(heads[1:], len(block))))
+    cells = [_planes(np.diff(cell[a:b], prepend=0)) for a, b in spans]
+    return pd.DataFrame({"block": block[heads], "n": [b - a for a, b in spans], "cells": cells, "weights": [_planes(weight[a:b]) for a, b in spans]})
+
+
+def _sum_block(pdf: pd.DataFrame, side: int, wide: int) -> pd.DataFrame:
+    """(i, j, weight) of one block, summed over the chunks."""
+    cell = np.concatenate([np.cumsum(_numbers(c, n)) for c, n in zip(pdf["cells"], pdf["n"])])
+    weight = np.concatenate([_numbers(w, n) for w, n in zip(pdf["weights"], pdf["n"])])
+    order = np.argsort(cell)
+    cell, weight = cell[order], weight[order]
+    heads = np.flatnonzero(np.diff(cell, prepend=-1))
+    a, b = divmod(int(pdf["block"].iloc[0]), side)
+    cell, weight = cell[heads], np.add.reduceat(weight, heads)
+    return pd.DataFrame({"i": cell // wide * side + a, "j": cell % wide * side + b, "weight": weight})
+
+
 def cosharing_edges(shares: DataFrame, tile: int = _TILE, users_per_chunk: int = _USERS_PER_CHUNK) -> DataFrame:
     """Users sharing both domains, for every unordered pair with at least one.
 
@@ -187,7 +230,9 @@ def cosharing_edges(shares: DataFrame, tile: int = _TILE, users_per_chunk: int =
     domains, as these grow; a task multiplies two tiles of one chunk and emits one
     number per pair, so pairs are summed before the shuffle and none of a user with
     many domains are listed by one task. A cell is sent as often as its chunk has
-    tiles. Thin tables are multiplied pair by pair, full ones as matrices.
+    tiles. Thin tables are multiplied pair by pair, full ones as matrices. Chunks may
+    have few pairs in common, so their pairs travel packed, some bytes each, in blocks
+    by the remainders of both domains, over which those of a frequent domain spread.
     """
     once = materialize(shares.select("author_id", "domain").distinct())
     names = materialize(row_numbers(once.select("domain").distinct(), ["domain"], "no").drop("no_total"))
@@ -201,16 +246,27 @@ def cosharing_edges(shares: DataFrame, tile: int = _TILE, users_per_chunk: int =
     users = materialize(users)
     pairs = F.sum(F.col("d").cast("double") * F.col("d")) / 2
     tiles = F.least(F.greatest(F.ceil(F.sqrt(2 * pairs / _PAIRS_PER_TASK)), F.lit(1)), F.lit(most)).cast("int")
-    chunks = users.groupBy("chunk").agg(tiles.alias("tiles"))
-    cells = once.join(names, "domain").join(users.join(chunks, "chunk"), "author_id").select(
+    chunks = users.groupBy("chunk").agg(tiles.alias("tiles"), pairs.alias("pairs"))
+    listed = chunks.agg(F.sum(F.least("pairs", F.lit(n_domains * (n_domains - 1) / 2)))).first()[0] or 0
+    partitions = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(min(math.ceil(math.sqrt(max(listed / _PAIRS_PER_BLOCK, partitions))), n_domains), 1)
+    wide = n_domains // side + 1
+    cells = once.join(names, "domain").join(users.join(chunks.drop("pairs"), "chunk"), "author_id").select(
         "chunk", "row", "tiles", F.col("no").cast("int").alias("no"), (F.col("no") % F.col("tiles")).cast("int").alias("t")
     )
     # a cell takes part in its own tile's products with all tiles of its chunk
     sided = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "chunk", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "row", "no", "t"
     )
-    part = sided.groupBy("chunk", "a", "b").applyInPandas(_multiply, "i bigint, j bigint, weight bigint")
-    sums = part.groupBy("i", "j").agg(F.sum("weight").alias("weight"))
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _packed(_multiply(pdf), side, wide)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _sum_block(pdf, side, wide)
+
+    part = sided.groupBy("chunk", "a", "b").applyInPandas(multiply, "block bigint, n bigint, cells binary, weights binary")
+    sums = part.groupBy("block").applyInPandas(total, "i bigint, j bigint, weight bigint")
     name = names.select(F.col("no").alias("i"), F.col("domain").alias("source"))
     other = names.select(F.col("no").alias("j"), F.col("domain").alias("target"))
     return sums.join(name, "i").join(other, "j").select("source", "target", "weight")

@@ -246,6 +246,43 @@ def test_cosharing_thin_and_full(spark, monkeypatch, pairs, at_once, dense):
     assert {(r["source"], r["target"]): r["weight"] for r in got} == dict(want) and len(got) == len(want)
 
 
+def test_cosharing_cells_travel_packed():
+    rng = np.random.default_rng(7)
+    n, side = 100_000, 30
+    cells = np.unique(rng.integers(0, n, (200_000, 2)), axis=0)
+    low, high = (cells.min(axis=1) + 1)[cells[:, 0] != cells[:, 1]], (cells.max(axis=1) + 1)[cells[:, 0] != cells[:, 1]]
+    weight = rng.integers(1, 4, len(low))
+    weight[0] = 2**40
+    wide = n // side + 1
+    packed = networks._packed(pd.DataFrame({"i": low, "j": high, "weight": weight}), side, wide)
+    assert len(packed) == side * side
+    # three words of a pair took 24 bytes
+    assert packed["cells"].map(len).sum() <= 4 * len(low)
+    twice = pd.concat([packed, packed])
+    got = pd.concat([networks._sum_block(part, side, wide) for _, part in twice.groupby("block")])
+    want = defaultdict(int)
+    for i, j, w in zip(low, high, weight):
+        want[int(i), int(j)] += 2 * int(w)
+    assert len(got) == len(want) and {(i, j): w for i, j, w in got.itertuples(index=False, name=None)} == dict(want)
+
+
+@pytest.mark.parametrize("pairs", [1, 50])
+def test_cosharing_in_blocks(spark, monkeypatch, pairs):
+    monkeypatch.setattr(networks, "_PAIRS_PER_BLOCK", pairs)
+    rng = random.Random(8)
+    mine = {f"u{i}": {f"d{rng.randrange(70)}" for _ in range(rng.choice([1, 2, 9]))} | {"d0"} for i in range(30)}
+    want = defaultdict(int)
+    for ds in mine.values():
+        for pair in combinations(sorted(ds), 2):
+            want[pair] += 1
+    df = spark.createDataFrame([(u, d) for u, ds in mine.items() for d in ds], "author_id string, domain string")
+    shared = networks.cosharing_edges(df, 10, 6)
+    got = shared.collect()
+    assert {(r["source"], r["target"]): r["weight"] for r in got} == dict(want) and len(got) == len(want)
+    # no row per pair of a chunk is shuffled
+    assert "HashAggregate" not in shared._jdf.queryExecution().sparkPlan().toString().split("FlatMapGroupsInPandas")[0]
+
+
 def test_reply_tables(spark):
     rows = [("a", "b")] * 3 + [("b", "a"), ("a", "x"), ("x", "a"), ("x", "y"), ("a", "a")]
     replies = spark.createDataFrame(rows, "src string, dst string")
