@@ -166,6 +166,13 @@ def test_search_inside_a_task(monkeypatch, few, rows):
         assert found.run(np.asarray(some), few) == (len(dists), sum(dists))
 
 
+def test_compared_networks_shuffle_no_bits(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_stepwise", None)  # the joins that carry a bit per pair
+    ring = spark.range(9).select(F.col("id").alias("src"), ((F.col("id") + 1) % 9).alias("dst"))
+    row = graph.compare_networks({"ring": ring}).first()
+    assert (row["network"], row["giant_size"], row["avg_path_length"], row["max_core"]) == ("ring", 9, 4.5, 2)
+
+
 def test_path_lengths_of_nothing(spark, df):
     none = graph.nodes_of(df).limit(0)
     for lengths in (graph.path_lengths, graph.path_lengths_sketch):
